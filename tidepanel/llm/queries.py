@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, mixing, pii, quality_classifier, quality_rules, url_filters
+from . import ann, bpe, langid, minhash, mixing, pii, quality_classifier, quality_rules, url_filters, warc
+from .common import new_path
 
 #: The rules of the URL query. Site rules come first; the patterns give the method's verdict.
 SITE_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -39,6 +40,24 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    records = warc.read_warc(spark, path)
+    page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    response = F.col("record_type") == "response"
+    return records.select(
+        page(F.col("record_id")).alias("page_id"),
+        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(response, F.sha1("payload")).otherwise(F.regexp_extract("digest", "^sha1:([0-9a-f]{40})$", 1)).alias("payload_digest"),
+        "record_type", F.when(~response, page(F.col("refers_to"))).alias("refers_to"),
+    )
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
@@ -79,7 +98,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_mix_sources, op3_personal_data, op6_minhash_dedup, op7_language_id, op8_bpe, op9_quality_rules, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_url_filters, op2_mix_sources, op3_personal_data, op4_nearest_neighbours, op5_warc, op6_minhash_dedup, op7_language_id, op8_bpe, op9_quality_rules, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
