@@ -14,7 +14,8 @@ Bands of ROWS coordinates make buckets. The links between documents of a bucket
 So a large group of copies costs one comparison a member, and no bucket is capped.
 
 Defined results: null and empty texts have no shingles and link with nothing; a text of fewer words than a shingle is
-one shingle; repeated rows share a class; an empty table gives an empty table; other columns are ignored.
+one shingle; repeated rows share a class; rows without an id only follow others' classes; an empty table gives an empty
+table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -207,4 +208,18 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: int = THRESHOLD,
     found = materialize(found, "components")
     out = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    own = F.coalesce(F.col("doc_id") == component, component.isNull())
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), own.alias("kept"))
+
+
+def deduplicate(docs: DataFrame, *, k: int = 5, threshold: int = THRESHOLD, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the smallest id. Rows without an id stay."""
+    judged = near_duplicates(docs, k=k, threshold=threshold, text=text, row_id=row_id)
+    gone = materialize(judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    left = docs.join(small_side(gone, BROADCAST_IDS), F.col(row_id) == F.col("_gone"), "left_anti")
+    twice = materialize(docs.where(F.col(row_id).isNotNull()).groupBy(F.col(row_id).alias("_twice")).count().where("count > 1").select("_twice"), "twice")
+    if twice.isEmpty():
+        return left
+    twice = small_side(twice, BROADCAST_IDS)
+    once = left.join(twice, F.col(row_id) == F.col("_twice"), "left_anti")
+    return once.unionByName(left.join(twice, F.col(row_id) == F.col("_twice"), "left_semi").dropDuplicates([row_id]))

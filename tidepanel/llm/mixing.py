@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -68,16 +68,18 @@ def source_budgets(sizes: DataFrame, weights: Sequence[int], share: float = 1.0)
     return filled.crossJoin(F.broadcast(level)).select("_key", "source_size", target.alias("target"), ranges.alias("_ranges"))
 
 
-def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share: float = 1.0, seed: str = "mix", text: str = "text", source: str = "source", row_id: str = "doc_id") -> DataFrame:
-    """``doc_id, size, source_size, target, taken, copies`` for each row of ``docs``.
-
-    ``taken``: words the mix takes of this row, the last one at the cut in part, so that each source's sum is its
-    target rounded down. ``copies``: how often a mix of whole rows takes it, the row at the cut included.
-    """
-    key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("t"))  # a null source comes after all others
+def _row_keys(text: str, source: str, row_id: str, seed: str) -> dict[str, Column]:
     digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(row_id).cast("string"), F.lit(""))).cast("binary"))
-    sizes = docs.select(F.col(row_id).alias("doc_id"), key.alias("_key"), word_count(F.col(text)).alias("_size"), digest.alias("_hash"))
-    sizes = materialize(sizes, "sizes")
+    return {
+        "_key": F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("t")),  # a null source comes after all others
+        "_size": word_count(F.col(text)), "_hash": digest,
+    }
+
+
+def _dealt(docs: DataFrame, weights: Sequence[int], share: float, seed: str, text: str, source: str, row_id: str) -> DataFrame:
+    """Each row's key, size, hash, its source's figures, and ``_part``: the words of the last, partial epoch."""
+    keys = _row_keys(text, source, row_id, seed)
+    sizes = materialize(docs.select(F.col(row_id).alias("doc_id"), *[c.alias(n) for n, c in keys.items()]), "sizes")
     budgets = small_side(materialize(source_budgets(sizes, weights, share), "budgets"), BROADCAST_SOURCES)
     spot = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long")
     rows = sizes.join(budgets, "_key").withColumn("_range", F.shiftright(spot * F.col("_ranges"), 32))
@@ -90,9 +92,32 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share: f
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rows = rows.withColumns({"_at": before, "_epochs": epochs}).withColumn("_rest", budget - F.col("_epochs") * F.col("source_size"))
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), F.col("_rest") - F.col("_at")))
-    return rows.select(
-        "doc_id", F.col("_size").alias("size"), "source_size", "target",
-        (F.col("_epochs") * F.col("_size") + part).alias("taken"),
-        (F.col("_epochs") + (part > 0).cast("long")).alias("copies"),
-    )
+    return rows.withColumn("_part", F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), F.col("_rest") - F.col("_at"))))
+
+
+def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share: float = 1.0, seed: str = "mix", text: str = "text", source: str = "source", row_id: str = "doc_id") -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` for each row of ``docs``.
+
+    ``taken``: words the mix takes of this row, the last one at the cut in part, so that each source's sum is its
+    target rounded down.
+    """
+    rows = _dealt(docs, weights, share, seed, text, source, row_id)
+    return rows.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_epochs") * F.col("_size") + F.col("_part")).alias("taken"))
+
+
+def mix_rows(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share: float = 1.0, seed: str = "mix", text: str = "text", source: str = "source", row_id: str = "doc_id") -> DataFrame:
+    """``docs`` as mixed: each row as often as the mix takes it, whole, the row at the cut included; rows without words only in whole epochs.
+
+    A source's rows are taken in the order of their hash, so a source's mix is its number of epochs and the last row
+    taken once more: a table with a row a source, and texts are never shuffled.
+    """
+    rows = _dealt(docs, weights, share, seed, text, source, row_id)
+    place = F.struct("_hash", "doc_id", "_size")
+    cuts = rows.groupBy("_key").agg(F.max("_epochs").alias("_epochs"), F.max(F.when(F.col("_part") > 0, place)).alias("_cut"))
+    cuts = small_side(materialize(cuts.select(F.col("_key").alias("_mix_key"), F.col("_epochs").alias("_mix_epochs"), F.col("_cut").alias("_mix_cut")), "cuts"), BROADCAST_SOURCES)
+    keys = _row_keys(text, source, row_id, seed)
+    own = docs.withColumns({"_mix_own": F.struct(keys["_hash"].alias("_hash"), F.col(row_id).alias("doc_id"), keys["_size"].alias("_size")), "_mix_mine": keys["_key"]})
+    own = own.join(cuts, F.col("_mix_mine") == F.col("_mix_key"))
+    once = F.coalesce((F.col("_mix_own") <= F.col("_mix_cut")) & (F.col("_mix_own._size") > 0), F.lit(False)).cast("long")
+    copies = F.col("_mix_epochs") + once
+    return own.withColumn("_mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<bigint>")))).select(*docs.columns)

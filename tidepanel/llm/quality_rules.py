@@ -78,11 +78,13 @@ def score_rules(docs: DataFrame, *, text: str = "text", row_id: str = "doc_id",
     })
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED)
     rows = rows.withColumn("base_failed", base)
-    return rows.select(
+    out = [
         F.col("_id").alias(row_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words", "base_failed",
         (~F.col("base_failed") & (F.col("lost_words") * 100 <= F.col("n_words") * MAX_LOST)).alias("kept"),
         *[F.col(f"_keep_{c}").alias(c) for c in keep],
-    )
+    ]
+    # a filter on the result would be moved below, where each use of a word array computes it anew; it can't pass this
+    return rows.select(F.explode(F.array(F.struct(*out))).alias("_scored")).select("_scored.*")
 
 
 def clean_text(text: Column) -> Column:
