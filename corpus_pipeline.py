@@ -1,13 +1,59 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality rules, near-duplicates, personal data, source mixing, tokens.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept; all but the last return the
+columns of ``documents``. The last returns ``doc_id, n_tokens, ids``, a row for each time the mix takes a document.
+"""
+
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidepanel.llm import bpe, minhash, mixing, pii, quality_rules
+from tidepanel.llm.common import materialize
+from tidepanel.llm.queries import vocabulary_path
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line-first rules reject go."""
+    return quality_rules.keep_good(docs)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates on 5-word shingles, the document of the smallest id stays."""
+    return minhash.deduplicate(docs, k=5, threshold=80)
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are masked, and ``n_chars`` follows the text."""
+    masked = pii.mask_personal_data(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mix_rows(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text."""
+    return bpe.encode(docs, vocabulary_path()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("near-duplicates", dedup_stage),
+    ("personal data", personal_data_stage),
+    ("source mixing", mixing_stage),
+    ("tokens", token_stage),
+]
 
-STAGES: list = []
+#: SQL cannot express the sketches, the tagger and the tokens; tests/llm holds the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
