@@ -6,14 +6,20 @@ from pyspark.sql import Column, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Across time, by ticker; across tickers, by time.
-BY_TICKER = W.partitionBy("ticker").orderBy("t")
-BY_TIME = W.partitionBy("t")
 
+def by_ticker() -> WindowSpec:
+    """Across time."""
+    return W.partitionBy("ticker").orderBy("t")
 
-def rows(first: int | None, last: int, by: WindowSpec = BY_TICKER) -> WindowSpec:
-    """The rows from ``first`` (None: the first of all) to ``last``, counted from the current one."""
-    return by.rowsBetween(W.unboundedPreceding if first is None else first, last)
+
+def by_time() -> WindowSpec:
+    """Across tickers."""
+    return W.partitionBy("t")
+
+
+def rows(first: int | None, last: int) -> WindowSpec:
+    """A ticker's rows from ``first`` (None: the first of all) to ``last``, counted from the current one."""
+    return by_ticker().rowsBetween(W.unboundedPreceding if first is None else first, last)
 
 
 def ratio(x: Column, y: Column) -> Column:
@@ -38,11 +44,12 @@ def clipped(x: Column, low: Column | float, high: Column | float) -> Column:
 
 def z_score(x: Column, floor: float = 1e-10) -> Column:
     """Standard score across tickers, the sample deviation raised by ``floor``."""
-    return (x - F.avg(x).over(BY_TIME)) / (F.stddev_samp(x).over(BY_TIME) + floor)
+    return (x - F.avg(x).over(by_time())) / (F.stddev_samp(x).over(by_time()) + floor)
 
 
-def percent_rank_ties(x: Column, by: WindowSpec = BY_TIME) -> Column:
+def percent_rank_ties(x: Column) -> Column:
     """Average rank of ties divided by the number of values; null for null."""
+    by = by_time()
     up, down = F.rank().over(by.orderBy(x.asc_nulls_last())), F.rank().over(by.orderBy(x.desc_nulls_last()))
     n = F.count(x).over(by)  # ranks from both ends add up to n + 1, less the number of other ties
     return F.when(x.isNotNull(), (up + n - down + 1) / 2 / n)

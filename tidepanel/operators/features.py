@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import BY_TICKER, BY_TIME, compounded, percent_rank_ties, ratio, rows, z_score
+from ..functions.columns import by_ticker, by_time, compounded, percent_rank_ties, ratio, rows, z_score
 
 #: Momentum windows in months.
 MOMENTUM = (1, 3, 6, 9, 12, 18)
@@ -15,7 +15,7 @@ FIRST = max(MOMENTUM) + 1
 
 def momentum(returns: DataFrame) -> DataFrame:
     """``mom1`` is last month's return; ``mom{m}`` compounds the m - 1 months before it."""
-    out = {f"mom{m}": F.lag("ret", 1).over(BY_TICKER) if m == 1 else compounded(F.col("ret"), -m, -2) for m in MOMENTUM}
+    out = {f"mom{m}": F.lag("ret", 1).over(by_ticker()) if m == 1 else compounded(F.col("ret"), -m, -2) for m in MOMENTUM}
     return returns.withColumns(out)
 
 
@@ -28,14 +28,14 @@ def dynamics(returns: DataFrame) -> DataFrame:
 
 def size_decile(panel: DataFrame) -> DataFrame:
     """``size_decile`` 1 to 10 by last month's size; a missing size is in the middle, 5."""
-    lagged = panel.withColumn("_size", F.lag("dv", 1).over(BY_TICKER))
+    lagged = panel.withColumn("_size", F.lag("dv", 1).over(by_ticker()))
     place = F.coalesce(percent_rank_ties(F.col("_size")), F.lit(0.5))
     return lagged.withColumn("size_decile", (F.floor(place * 9.999) + 1).cast("int")).drop("_size")
 
 
 def standardised(frame: DataFrame, names: list[str]) -> DataFrame:
     """``z{name}`` across tickers and ``m{name}``, the cross-section's mean, for each name."""
-    return frame.withColumns({f"z{n}": z_score(F.col(n)) for n in names} | {f"m{n}": F.avg(n).over(BY_TIME) for n in names})
+    return frame.withColumns({f"z{n}": z_score(F.col(n)) for n in names} | {f"m{n}": F.avg(n).over(by_time()) for n in names})
 
 
 def feature_names(ffd: tuple[int, ...] = ()) -> list[str]:
@@ -50,7 +50,7 @@ def feature_matrix(returns: DataFrame, ffd: DataFrame | None = None, *, first: i
     if ffd is not None:
         windows = tuple(sorted(int(c[3:]) for c in ffd.columns if c.startswith("ffd")))
         frame = frame.join(ffd.select("t", "ticker", *[f"ffd{m}" for m in windows]), ["t", "ticker"], "left")
-        frame = frame.withColumns({f"ffd{m}": F.lag(f"ffd{m}", 1).over(BY_TICKER) for m in windows})
+        frame = frame.withColumns({f"ffd{m}": F.lag(f"ffd{m}", 1).over(by_ticker()) for m in windows})
     raw = [f"mom{m}" for m in MOMENTUM] + ["accel", "vol", "pos"] + [f"ffd{m}" for m in windows]
     frame = standardised(frame.where(F.col("t") >= first), raw)
     dummies = {f"size_{s}": (F.col("size_decile") == s).cast("double") for s in range(1, 11)}
@@ -60,15 +60,15 @@ def feature_matrix(returns: DataFrame, ffd: DataFrame | None = None, *, first: i
 
 def price_momentum(panel: DataFrame, lookback: int = 12, skip: int = 1) -> DataFrame:
     """``signal``: the price ratio over ``lookback`` months, skipping the last ``skip``, standardised; null where the cross-section has no spread."""
-    raw = panel.withColumn("_raw", ratio(F.lag("close", skip).over(BY_TICKER), F.lag("close", skip + lookback).over(BY_TICKER)) - 1)
-    return raw.withColumn("signal", ratio(F.col("_raw") - F.avg("_raw").over(BY_TIME), F.stddev_samp("_raw").over(BY_TIME))).drop("_raw")
+    raw = panel.withColumn("_raw", ratio(F.lag("close", skip).over(by_ticker()), F.lag("close", skip + lookback).over(by_ticker())) - 1)
+    return raw.withColumn("signal", ratio(F.col("_raw") - F.avg("_raw").over(by_time()), F.stddev_samp("_raw").over(by_time()))).drop("_raw")
 
 
 def decile_labels(returns: DataFrame) -> DataFrame:
     """``t, ticker, ret, label`` of the rows with a return: 0 for the best tenth of the month, 9 for the worst; ties by ticker."""
     known = returns.where(F.col("ret").isNotNull())
-    place = F.row_number().over(BY_TIME.orderBy("ret", "ticker"))
-    tenth = F.floor((place - 1) * 10 / F.count(F.lit(1)).over(BY_TIME))
+    place = F.row_number().over(by_time().orderBy("ret", "ticker"))
+    tenth = F.floor((place - 1) * 10 / F.count(F.lit(1)).over(by_time()))
     return known.select("t", "ticker", "ret", (9 - F.least(tenth, F.lit(9))).cast("int").alias("label"))
 
 

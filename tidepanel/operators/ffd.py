@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import BY_TICKER, forward_fill, rows
+from ..functions.columns import by_ticker, forward_fill, rows
 
 
 def taps(d: float, threshold: float = 1e-4, max_lags: int = 60) -> list[float]:
@@ -44,7 +44,7 @@ def level(panel: DataFrame, d: float, threshold: float = 1e-5, max_lags: int = 6
     weights = taps(d, threshold, max_lags)
     total = F.col("x") * weights[0]
     for k, w in enumerate(weights[1:], 1):
-        total = total + F.lag("x", k).over(BY_TICKER) * w
+        total = total + F.lag("x", k).over(by_ticker()) * w
     return log_price(panel).withColumn("level", total).drop("x")
 
 
@@ -64,7 +64,7 @@ def level_by_ticker(panel: DataFrame, orders: DataFrame, threshold: float = 1e-5
     known = known.withColumn("_d", d).withColumn("_w", F.aggregate(steps, state, extend)["w"])
     total = F.col("x") * F.get("_w", F.lit(0))
     for k in range(1, max_lags):
-        total = total + F.when(F.size("_w") > k, F.lag("x", k).over(BY_TICKER) * F.get("_w", F.lit(k))).otherwise(F.lit(0.0))
+        total = total + F.when(F.size("_w") > k, F.lag("x", k).over(by_ticker()) * F.get("_w", F.lit(k))).otherwise(F.lit(0.0))
     return known.withColumn("level", total).drop("x", "_middle", "_d", "_w", "d")
 
 
@@ -80,4 +80,4 @@ def rolling_scores(levels: DataFrame, windows: Sequence[int] = (1, 3, 6, 9, 12))
 
 def slope_scores(levels: DataFrame, windows: Sequence[int] = (1, 3, 12)) -> DataFrame:
     """``ffd{m}``: the level for 1, else its change over m rows."""
-    return levels.withColumns({f"ffd{m}": F.col("level") if m == 1 else F.col("level") - F.lag("level", m).over(BY_TICKER) for m in windows})
+    return levels.withColumns({f"ffd{m}": F.col("level") if m == 1 else F.col("level") - F.lag("level", m).over(by_ticker()) for m in windows})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import BY_TICKER, clipped, forward_fill, ratio, rows
+from ..functions.columns import by_ticker, clipped, forward_fill, ratio, rows
 
 
 def simple_returns(panel: DataFrame, *, fill: str = "none") -> DataFrame:
@@ -14,7 +14,7 @@ def simple_returns(panel: DataFrame, *, fill: str = "none") -> DataFrame:
         raise ValueError(f"fill must be none or pad, not {fill!r}")
     price = F.col("close") if fill == "none" else forward_fill(F.col("close"))
     priced = panel.withColumn("_p", price)
-    return priced.withColumn("ret", ratio(F.col("_p"), F.lag("_p").over(BY_TICKER)) - 1).drop("_p")
+    return priced.withColumn("ret", ratio(F.col("_p"), F.lag("_p").over(by_ticker())) - 1).drop("_p")
 
 
 def winsorised(returns: DataFrame, tail: float = 0.01) -> DataFrame:

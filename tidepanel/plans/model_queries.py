@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import BY_TICKER
+from ..functions.columns import by_ticker
 from ..operators import execution, features, ffd, portfolio, returns, scoring, universe
 from ..sources.tables import month_panel, smooth_panel
 from .catalog import query, round_all
@@ -82,7 +82,7 @@ LAGGED = ", ".join(f"lag({n}) OVER (PARTITION BY ticker ORDER BY t) AS {n}" for
 @query("feat_ffd", UNIFORM + SLOPES + f", h AS (SELECT t, ticker, {LAGGED} FROM s), z AS (SELECT t, ticker, {z_columns(FFDS)} FROM h WHERE t >= 19) SELECT t, ticker, " + ", ".join(f"round({p}{n}, 6) AS {p}{n}" for n in FFDS for p in "zm") + " FROM z")
 def feat_ffd(spark, sf_dir):
     scores = ffd.slope_scores(ffd.level(month_panel(spark, sf_dir), 0.4, THRESHOLD, LAGS))
-    lagged = scores.withColumns({n: F.lag(n).over(BY_TICKER) for n in FFDS}).where(F.col("t") >= features.FIRST)
+    lagged = scores.withColumns({n: F.lag(n).over(by_ticker()) for n in FFDS}).where(F.col("t") >= features.FIRST)
     names = [f"{p}{n}" for n in FFDS for p in "zm"]
     return round_all(features.standardised(lagged, list(FFDS)).select("t", "ticker", *names), dict.fromkeys(names, 6))
 
@@ -271,7 +271,7 @@ g AS (SELECT t, avg(fwd) FILTER (hi <= n) - avg(fwd) FILTER (lo <= n) AS long_sh
 
 def spreads(spark, sf_dir) -> DataFrame:
     source = smooth_panel(spark, sf_dir)
-    forward = returns.simple_returns(source).select("t", "ticker", F.lead("ret").over(BY_TICKER).alias("fwd"))
+    forward = returns.simple_returns(source).select("t", "ticker", F.lead("ret").over(by_ticker()).alias("fwd"))
     signal = features.price_momentum(source).select("t", "ticker", F.col("signal").alias("score"))
     return portfolio.spread_returns(signal.join(forward, ["t", "ticker"]))
 
