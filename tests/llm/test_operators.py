@@ -103,7 +103,7 @@ def brute_mix(rows):
 
 def test_mixing(spark):
     rng = random.Random(3)
-    rows = [(i, text(rng, rng.randint(0, 60)), "en", rng.choice(["a", "b", "b", "b", "b", "c", None, "é"])) for i in range(300)] + ODD + [(900, "a b c", None, "empty?"), (901, " ", None, "void")]
+    rows = [(1000 + i, text(rng, rng.randint(0, 60)), "en", rng.choice(["a", "b", "b", "b", "b", "c", None, "é"])) for i in range(300)] + ODD + [(900, "a b c", None, "empty?"), (901, " ", None, "void")]
     got = mixing.mix_sources(docs(spark, rows)).collect()
     size, target = brute_mix(rows)
     assert len(got) == len(rows)
@@ -365,7 +365,7 @@ def test_many_languages(spark, monkeypatch):
 
 def test_quality_classifier(spark):
     rng = random.Random(2)
-    good = [(i, text(rng, 120), "en", "s") for i in range(120)]
+    good = [(20 + i, text(rng, 120), "en", "s") for i in range(120)]
     bad = [(200 + i, "".join(rng.choice("#$%&*!") for _ in range(600)), "en", "s") for i in range(60)]
     frame = docs(spark, good + bad + ODD)
     labels = spark.createDataFrame([(i, 1) for i, *_ in good] + [(i, 0) for i, *_ in bad] + [(3, None), (None, 1), (2, 7)], "doc_id long, quality int").withColumn("score", F.lit(1))

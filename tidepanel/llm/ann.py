@@ -63,7 +63,7 @@ class Block:
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the ids and inner products of its k best verified rows, best first."""
-        n, m = len(self.ids), len(self.places)
+        m = len(self.places)
         at = queries @ self.axes[:-1]
         length2 = (queries**2).sum(1) + self.longest**2
         needed = max(1, int(np.floor(m * _EXPECTED - SLACK * np.sqrt(m * _EXPECTED * (1 - _EXPECTED)))))
@@ -84,7 +84,7 @@ class Block:
                     found[q].append(fresh)
                     scores[q].append(self.vectors[fresh] @ queries[q])
                 have = sum(map(len, found[q]))
-                if have >= n - 1 and done[q].all():
+                if done[q].all():
                     continue
                 if have >= k and length2[q] - 2 * np.partition(np.concatenate(scores[q]), have - k)[have - k] <= radius[q] ** 2:
                     continue
