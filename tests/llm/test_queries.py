@@ -42,7 +42,8 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     good = queries.quality_rules.keep_good(docs).collect()
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in good]
-    kept = [r for r in rows if brute_components(rows, 5)[r[0]][1] == r[0]]
+    groups = brute_components(rows, 5)
+    kept = [r for r in rows if groups[r[0]][1] == r[0]]
     stage = corpus_pipeline.personal_data_stage(spark, spark.createDataFrame([r for r in good if r["doc_id"] in {k[0] for k in kept}], docs.schema), SF)
     masked = {r["doc_id"]: r["text"] for r in stage.collect()}
     assert all(not brute_spans(t) for t in masked.values()) and sum("<" in t for t in masked.values()) > 0

@@ -59,13 +59,14 @@ def slots_of(gram: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """``masks[w, slot]``: bit b of word w is set if a gram of language w * BITS + b falls there."""
+    """``masks[w, slot]``: bit b of word w is set if a gram of language w * bits + b falls there."""
 
     languages: list[str]
     masks: np.ndarray
+    bits: int
 
     def false_rates(self) -> np.ndarray:
-        fill = [float(((self.masks[k // BITS] >> np.int64(k % BITS)) & 1).mean()) for k in range(len(self.languages))]
+        fill = [float(((self.masks[k // self.bits] >> np.int64(k % self.bits)) & 1).mean()) for k in range(len(self.languages))]
         return np.array(fill) ** HASHES
 
     def decide(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,9 +80,9 @@ class Model:
             mask = masks[spots[0]]
             for s in spots[1:]:
                 mask &= masks[s]
-            for b in range(min(BITS, len(self.languages) - w * BITS)):
+            for b in range(min(self.bits, len(self.languages) - w * self.bits)):
                 ones = np.concatenate([[0], np.cumsum((mask >> np.int64(b)) & 1)])
-                hits[:, w * BITS + b] = ones[begins[1:]] - ones[begins[:-1]]
+                hits[:, w * self.bits + b] = ones[begins[1:]] - ones[begins[:-1]]
         own = np.maximum(0, (hits - total[:, None] * rates) / np.maximum(1e-9, 1 - rates))
         best, whole = own.argmax(1), own.sum(1)
         return best, np.where(whole > 0, own.max(1) / np.where(whole > 0, whole, 1), 0.0)
@@ -124,7 +125,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", row_id: st
     languages = sorted(seen, key=lambda k: (-seen[k], k))
     if not languages:
         counts.unpersist()
-        return Model([], np.zeros((1, SLOTS), np.int64))
+        return Model([], np.zeros((1, SLOTS), np.int64), BITS)
     place = docs.sparkSession.createDataFrame([(name, k // BITS, 1 << k % BITS, float(seen[name])) for k, name in enumerate(languages)], "lang string, word int, mask long, total double")
     rates = counts.join(F.broadcast(place), "lang").withColumn("rate", F.col("n") / F.col("total"))  # one row a language
     best = rates.withColumn("best", F.max("rate").over(W.partitionBy("gram"))).where((F.col("rate") >= SHARE * F.col("best")) & (F.col("n") >= SEEN))
@@ -133,7 +134,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", row_id: st
     counts.unpersist()
     masks = np.zeros((-(-len(languages) // BITS), SLOTS), np.int64)
     masks[np.asarray(table["word"]), np.asarray(table["slot"])] = np.asarray(table["mask"])
-    return Model(languages, masks)
+    return Model(languages, masks, BITS)
 
 
 def _predict(model):
