@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import drift, execution, features, metrics, model, universe, walkforward
 from ..operators.returns import model_returns
+from ..sources.scratch import settled
 from ..sources.tables import month_panel, smooth_panel
 from .catalog import query, round_all
-from .model_queries import DENSE, P3, SPREAD, momentum_weights, spreads
+from .model_queries import DENSE, P3, SPREAD, spreads, weights_on
 from .panel_queries import FEES, TIERS, tier_case
 
 FREQ = 12
@@ -17,8 +18,8 @@ FREQ = 12
 
 def targets_of(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Quarterly momentum targets, and the panel they are run on."""
-    source = smooth_panel(spark, sf_dir).persist()  # used for signals, prices and both rates
-    weights = momentum_weights(spark, sf_dir).select(F.lit("momentum").alias("strategy"), "t", "ticker", "w")
+    source = settled(smooth_panel(spark, sf_dir), "panel")  # used for signals, prices and both rates
+    weights = settled(weights_on(source), "weights").select(F.lit("momentum").alias("strategy"), "t", "ticker", "w")
     quarterly = source.where("t % 3 = 1").select("t")
     return drift.schedule(weights, source, lag=0, signal_dates=quarterly), source
 
@@ -33,7 +34,7 @@ def held_of(spark, sf_dir) -> DataFrame:
 
 
 def curve_of(spark, sf_dir) -> DataFrame:
-    return drift.curve(held_of(spark, sf_dir), freq=FREQ)
+    return settled(drift.curve(held_of(spark, sf_dir), freq=FREQ), "curve")  # one row a date
 
 
 EXECUTED = """,
@@ -152,7 +153,7 @@ bm AS (SELECT block, ticker, 1.0::DOUBLE AS w FROM sl WHERE g IS NOT NULL QUALIF
 
 
 def walk(spark, sf_dir):
-    source = smooth_panel(spark, sf_dir).persist()
+    source = settled(smooth_panel(spark, sf_dir), "panel")
     plan = walkforward.blocks(source, 24, 6)
     return source, plan, walkforward.best_momentum(walkforward.training_rows(source, plan, 24))
 
@@ -190,14 +191,14 @@ def equal_weights(source: DataFrame) -> DataFrame:
 
 @query("static_weights_backtest", P3 + FIXED.format(when="t >= 2") + NO_COST.format(tc="0.002") + ENGINE.format(freq="12.0::DOUBLE") + " SELECT t, date, round(equity, 8) AS equity, round(turnover, 8) AS turnover, round(cost_frac, 8) AS cost_frac FROM curve")
 def static_weights_backtest(spark, sf_dir):
-    source = smooth_panel(spark, sf_dir).persist()
+    source = settled(smooth_panel(spark, sf_dir), "panel")
     run = drift.backtest(drift.hold(source, equal_weights(source), "equal"), source, freq=FREQ, lag=1, cost=0.002)
     return round_all(run.select("t", "date", "equity", "turnover", "cost_frac"), {"equity": 8, "turnover": 8, "cost_frac": 8})
 
 
 @query("buy_and_hold", P3 + FIXED.format(when="t = 1") + NO_COST.format(tc="0.0") + ENGINE.format(freq="12.0::DOUBLE") + " SELECT t, date, round(equity, 8) AS equity FROM curve")
 def buy_and_hold(spark, sf_dir):
-    source = smooth_panel(spark, sf_dir).persist()
+    source = settled(smooth_panel(spark, sf_dir), "panel")
     run = drift.backtest(drift.hold(source, equal_weights(source), "hold"), source, freq=FREQ, lag=0, signal_dates=source.where("t = 0").select("t"))
     return round_all(run.select("t", "date", "equity"), {"equity": 8})
 
@@ -205,14 +206,15 @@ def buy_and_hold(spark, sf_dir):
 @query("compare_strategies", None)
 def compare_strategies(spark, sf_dir):
     """Momentum, momentum with partial adjustment, a learned model and buying all, as one run of the engine and one table."""
-    source = smooth_panel(spark, sf_dir).persist()
-    momentum = momentum_weights(spark, sf_dir).persist()
+    source = settled(smooth_panel(spark, sf_dir), "panel")
+    momentum = settled(weights_on(source), "weights")
     adjusted = execution.run_policies(momentum, {"adjusted": execution.Policy()}, 0.65).select(F.col("run").alias("strategy"), "t", "ticker", "w")
     learned = model.model_weights(source, min_train=24, last=36, seeds=2, trees=8).select(F.lit("model").alias("strategy"), "t", "ticker", "w")
     held = drift.hold(source.where("t >= 13"), equal_weights(source), "equal")
-    weights = momentum.select(F.lit("momentum").alias("strategy"), "t", "ticker", "w").unionByName(adjusted).unionByName(learned).unionByName(held)
+    weights = settled(momentum.select(F.lit("momentum").alias("strategy"), "t", "ticker", "w").unionByName(adjusted).unionByName(learned).unionByName(held), "weights")
     cost, fee = rates_of(source)
-    return metrics.summary(metrics.metrics(drift.backtest(weights, source, freq=FREQ, lag=0, cost=cost, borrow=fee), freq=FREQ))
+    run = settled(drift.backtest(weights, source, freq=FREQ, lag=0, cost=cost, borrow=fee), "curve")
+    return metrics.summary(metrics.metrics(run, freq=FREQ))
 
 
 @query("d_search", None)
@@ -222,7 +224,7 @@ def d_search(spark, sf_dir):
 
 @query("ensemble_fit_predict", None)
 def ensemble_fit_predict(spark, sf_dir):
-    returns = model_returns(month_panel(spark, sf_dir))
+    returns = settled(model_returns(month_panel(spark, sf_dir)), "returns")
     return model.fit_predict(features.feature_matrix(returns), features.decile_labels(returns), min_train=24, last=36, seeds=2, trees=8)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import by_ticker
 from ..operators import execution, features, ffd, portfolio, returns, scoring, universe
+from ..sources.scratch import settled
 from ..sources.tables import month_panel, smooth_panel
 from .catalog import query, round_all
 from .panel_queries import ELIGIBLE, FLOORS, SIGNAL
@@ -126,14 +127,17 @@ def policy_params(spark, sf_dir):
     return round_all(frame, {"a": 8, "fraction": 8, "aim_weight": 8})
 
 
-def momentum_weights(spark, sf_dir, q: float = 0.1) -> DataFrame:
-    """Dense weights of the price-momentum signal of the smooth panel: every name of every date from the first signal on."""
-    source = smooth_panel(spark, sf_dir)
+def weights_on(source: DataFrame, q: float = 0.1) -> DataFrame:
+    """Dense weights of the price-momentum signal: every name of every date from the first signal on."""
     held = portfolio.long_short(features.price_momentum(source), q, min_names=2)
     dense = source.select("t", "date", "ticker").join(held.select("t", "ticker", "w"), ["t", "ticker"], "left")
     return dense.where(F.col("t") >= 13).select("t", "date", "ticker", F.coalesce("w", F.lit(0.0)).alias("w"))
 
 
+def momentum_weights(spark, sf_dir) -> DataFrame:
+    return weights_on(settled(smooth_panel(spark, sf_dir), "panel"))
+
+
 #: The same weights in SQL: n best and worst by signal; dense in b.
 WEIGHTS = """,
 n AS (SELECT *, greatest(1, floor(count(*) OVER (PARTITION BY t) * {q}::DOUBLE))::INT AS n, count(*) OVER (PARTITION BY t) AS size,
