@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import small_side
 from .shingles import mix, slices, text_buffers
 
 #: Training texts a language, chosen by hash.
@@ -32,6 +33,8 @@ SHARE, SEEN = 0.5, 3
 #: Bits in a mask; more languages take further masks.
 BITS = 62
 SLICE = 2 << 20
+#: Up to so many chosen ids are broadcast to pick their texts from a scan; more are joined.
+BROADCAST_SAMPLE = 1_000_000
 _U = np.uint64
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -117,7 +120,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", row_id: st
     order = W.partitionBy("lang").orderBy(F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")), "_id")
     chosen = rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= sample).select("_id", "lang").distinct()
     chosen = chosen.withColumnRenamed("_id", "_c").withColumnRenamed("lang", "_l")
-    texts = docs.join(chosen, (F.col(row_id) == F.col("_c")) & (F.col(lang) == F.col("_l")), "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    texts = docs.join(small_side(chosen, BROADCAST_SAMPLE), (F.col(row_id) == F.col("_c")) & (F.col(lang) == F.col("_l")), "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = texts.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.persist()
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
