@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The blank characters that separate words.
@@ -62,3 +63,17 @@ def words(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def hashed_sample(rows: DataFrame, group: str, row_id: str, most: int) -> DataFrame:
+    """Up to ``most`` rows of each group, the first by a hash of their id, with their place ``k``.
+
+    Rows are first thinned by their hash to about twice as many, by the group's size, so that the ranking gets as few
+    rows of a large group as of a small one.
+    """
+    digest = F.md5(F.coalesce(F.col(row_id).cast("string"), F.lit("")).cast("binary"))
+    sizes = small_side(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_rows")), 100_000)
+    spot = F.conv(F.substring("_digest", 1, 8), 16, 10).cast("double") / 2.0**32
+    thinned = rows.withColumn("_digest", digest).join(sizes, group).where(spot * F.col("_rows") < 2.0 * most + 100)
+    ranked = thinned.withColumn("k", F.row_number().over(W.partitionBy(group).orderBy("_digest", row_id)))
+    return ranked.where(F.col("k") <= most).drop("_digest", "_rows")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_side
+from .common import hashed_sample, small_side
 from .shingles import mix, slices, text_buffers
 
 #: Training texts a language, chosen by hash.
@@ -117,8 +117,7 @@ def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", row_id: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Learns from at most ``sample`` texts of each language. What reaches the driver is the filter, of fixed size, and the list of languages."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).alias("_id"), F.col(lang).alias("lang"))
-    order = W.partitionBy("lang").orderBy(F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")), "_id")
-    chosen = rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= sample).select("_id", "lang").distinct()
+    chosen = hashed_sample(rows, "lang", "_id", sample).select("_id", "lang").distinct()
     chosen = chosen.withColumnRenamed("_id", "_c").withColumnRenamed("lang", "_l")
     texts = docs.join(small_side(chosen, BROADCAST_SAMPLE), (F.col(row_id) == F.col("_c")) & (F.col(lang) == F.col("_l")), "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = texts.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

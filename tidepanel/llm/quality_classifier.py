@@ -20,9 +20,9 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import hashed_sample
 from .shingles import text_buffers
 
 #: Labelled texts a class, chosen by hash: the first half for its dictionary, the rest for the curve.
@@ -98,8 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", row_id: str
     """Learns from ``labels(doc_id, quality)`` of the rows of ``docs``. The driver gets two dictionaries and ``sample`` numbers a class."""
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").cast("int").alias("quality"))
     known = docs.where(F.col(text).isNotNull()).select(F.col(row_id).alias("_id")).distinct().join(marks, "_id")
-    order = W.partitionBy("quality").orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id")
-    chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).persist()
+    chosen = hashed_sample(known, "quality", "_id", sample).persist()
     shares = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
     texts = docs.select(F.col(row_id).alias("_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "_id").persist()  # 2 * sample narrow rows
     made = {r["quality"]: bytes(r["dictionary"]) for r in texts.where(F.col("k") <= sample // 2).groupBy("quality").applyInPandas(_dictionary, "quality int, dictionary binary").collect()}
