@@ -250,6 +250,18 @@ def test_warc_ignores_what_no_chain_reaches(spark, tmp_path):
     assert got == ["<urn:page:1>", "<urn:page:2>", "<urn:page:4>"]
 
 
+def test_warc_headers_of_any_length(spark, tmp_path):
+    urls = {1: "u", 2: "a" * 70_000, 3: "u", 4: "b " * 30_000, 5: "c" * 5_000_000, 6: "u", 7: "d" * (65_536 - 300), 8: "é" * 40_000, 9: "u"}
+    fake = "WARC/1.0\r\nContent-Length: 3\r\n" + "z" * 70_000 + "\r\nWARC/1.0\r\nContent-Length: 7\r\n" + "y" * 70_000 + "\r\n\r\n"
+    pages = spark.createDataFrame([(i, u, fake if i == 6 else f"page {i}") for i, u in urls.items()], "page_id long, url string, html string")
+    warc.write_warc(pages.coalesce(1), str(tmp_path / "w"))
+    got = {r["record_id"]: (r["target"], bytes(r["payload"]).decode()) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert got == {f"<urn:page:{i}>": (u.replace(" ", "%20"), fake if i == 6 else f"page {i}") for i, u in urls.items()}
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.txt").write_bytes(b"WARC/1.0\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 0\r\n\r\n\r\n\r\nWARC/1.0\r\nContent-Length: 4\r\nX: " + b"x" * 70_000)
+    assert [r["record_id"] for r in warc.read_warc(spark, str(tmp_path / "cut")).collect()] == ["<urn:page:1>"]
+
+
 # near-duplicates
 
 

@@ -6,7 +6,8 @@ files are plain WARC and go through Spark's commit. Of records with the same pay
 Reading: files are looked at in parts. A task emits each place of its part that looks like a record's header, with the
 place where that record says it ends, followed as far as the part goes. Pointer jumping from each file's start then
 finds the places where a real chain enters each part; it doubles its steps every round. What looks like a header inside
-a payload is on no chain and goes. At last each part's chain, a contiguous range of bytes, is parsed into records.
+a payload is on no chain and goes. At last each part's chain, a contiguous range of bytes, is parsed into records. Headers
+that end beyond what a part looks at are resolved from the whole file, in a second pass over the files that have some.
 
 Defined results: a null payload is empty; a null URL has no target header; an id that repeats with the kept payload is
 a response each time; an empty table writes no record and reads back none; a record cut off at the end of its file is
@@ -26,7 +27,7 @@ from .common import materialize, small_side
 
 #: Payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1_000
-#: Bytes of a file, about, and of a part; a header is at most HEADER bytes.
+#: Bytes of a file, about, and of a part, and how far a part looks for the end of a header; longer headers take a second pass.
 FILE, PART, HEADER = 32 << 20, 4 << 20, 64 << 10
 #: Up to so many groups of equal payloads, or entries into parts, are broadcast.
 BROADCAST_ROWS = 200_000
@@ -73,10 +74,11 @@ def write_warc(pages: DataFrame, path: str, **columns: str) -> None:
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[tuple[str, int, int]] = []
+        out: list[tuple[str, int, int | None]] = []
         for path, base, data in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), batch.column("data")):
             piece = data.as_py()
             ends: dict[int, int] = {}
+            beyond: list[int] = []
             for m in _MAGIC.finditer(piece, 0, min(len(piece), PART + 10)):
                 if m.start() >= PART:
                     break
@@ -84,11 +86,35 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 length = _LENGTH.search(piece, m.end() - 2, stop + 2) if stop >= 0 else None
                 if length:
                     ends[m.start()] = stop + 4 + int(length[1]) + 4
+                elif stop < 0:
+                    beyond.append(m.start())
             exits: dict[int, int] = {}
             for start in sorted(ends, reverse=True):  # a successor that is a candidate of this part hands on its own exit
                 exits[start] = exits.get(ends[start], ends[start])
-            out += [(path, base + s, base + e) for s, e in exits.items()]
-        yield pa.record_batch([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64())], names=["path", "start", "exit"])
+            out += [(path, base + s, base + e) for s, e in exits.items()] + [(path, base + s, None) for s in beyond]
+        yield _exits(out)
+
+
+def _exits(rows: list[tuple[str, int, int | None]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["path", "start", "exit"])
+
+
+def _long_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidates of whole files whose header ends more than HEADER bytes on, in one walk over each file."""
+    for batch in batches:
+        for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
+            piece, stop, length, out = data.as_py(), -1, None, []
+            for m in _MAGIC.finditer(piece):
+                low = m.end() - 2
+                if stop < low and (stop := piece.find(b"\r\n\r\n", low)) < 0:
+                    break
+                if stop + 4 <= m.end() + HEADER:  # its part has it
+                    continue
+                if (length is None or length.start() < low) and (length := _LENGTH.search(piece, low)) is None:
+                    break
+                if length.end() <= stop + 2:
+                    out.append((path, m.start(), stop + 4 + int(length[1]) + 4))
+            yield _exits(out)
 
 
 def chain_entries(candidates: DataFrame) -> DataFrame:
@@ -115,7 +141,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in batch.column("data"):
             piece, at, rows = data.as_py(), 0, []
             while m := _MAGIC.match(piece, at):
-                stop = piece.find(b"\r\n\r\n", m.end() - 2, m.end() + HEADER)
+                stop = piece.find(b"\r\n\r\n", m.end() - 2)
                 fields = {}
                 for line in piece[m.end() : stop].split(b"\r\n"):
                     key, _, value = line.partition(b":")
@@ -136,7 +162,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).where("length > 0")
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(PART).cast("long")))
     parts = files.select("path", "content", part.alias("base")).select("path", "base", F.substring("content", F.col("base").cast("int") + 1, F.lit(PART + HEADER + 16)).alias("data"))
-    entries = materialize(chain_entries(parts.mapInArrow(_candidates, "path string, start long, exit long")), "entries")
+    found = materialize(parts.mapInArrow(_candidates, "path string, start long, exit long"), "candidates")
+    candidates, beyond = found.where("exit IS NOT NULL"), found.where("exit IS NULL").select("path").distinct()
+    if not beyond.isEmpty():
+        whole = files.select("path", "content").join(small_side(beyond, BROADCAST_ROWS), "path")
+        candidates = candidates.union(whole.mapInArrow(_long_headers, "path string, start long, exit long"))
+    entries = materialize(chain_entries(candidates), "entries")
     chains = files.select("path", "content").join(small_side(entries, BROADCAST_ROWS), "path")
     chains = chains.select(F.substring("content", F.col("start").cast("int") + 1, (F.col("exit") - F.col("start")).cast("int")).alias("data"))
     return chains.mapInArrow(_parse, "record_id string, record_type string, refers_to string, target string, digest string, payload_length long, payload binary")
