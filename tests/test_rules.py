@@ -168,3 +168,37 @@ def test_performance(spark):
     r = np.array([0.1, -0.5, 0.2])
     assert got["ann"] == pytest.approx(r.mean() * 12) and got["max_dd"] == pytest.approx(-0.5)
     assert got["sharpe"] == pytest.approx(r.mean() * 12 / (r.std() * math.sqrt(12)))
+
+
+def test_comparison_keeps_to_the_masks_and_adjusts_the_learned_weights(spark):
+    from pyspark.sql import functions as F
+
+    from tidepanel.plans.backtest_queries import compared_weights
+    from tidepanel.plans.panel_queries import FLOORS
+
+    rng = np.random.default_rng(5)
+    price = 2000 * np.exp(np.cumsum(rng.normal(0, 0.05, (56, 30)), 0))
+    first = datetime.date(2000, 1, 1)
+    rows = [(t, first + datetime.timedelta(days=31 * t), k, float(max(price[t, k], 1000.0)), 1.0, (1e5, 2.5e5, 1e6)[k % 3]) for t in range(56) for k in range(30)]
+    panel = spark.createDataFrame(rows, "t int, date date, ticker long, close double, volume double, dv double").cache()
+    weights = compared_weights(panel, seeds=1, trees=3).cache()
+    for name in ("momentum", "model"):
+        held = weights.where((F.col("strategy") == name) & (F.col("w") != 0))
+        got = {(r["t"], r["ticker"]): r["w"] for r in held.collect()}
+        assert min(t for t, _ in got) == 42 and max(t for t, _ in got) == 54
+        assert all(k % 3 for _, k in got) and all(k % 3 == 2 for (_, k), w in got.items() if w < 0)
+        assert {t for t, _ in got} == set(range(42, 55)) and all(sum(w < 0 for (u, _), w in got.items() if u == t) == 2 for t in range(42, 55))
+    learned = weights.where("strategy = 'model'")
+    phi = execution.acf1(learned.select("t", "ticker", F.col("w").alias("signal")), ["ticker"]).agg(F.avg("phi")).first()[0]
+    expected = execution.run_policies(learned, {"adjusted": execution.Policy()}, phi)
+    both = weights.where("strategy = 'adjusted'").select("t", "ticker", "w").join(expected.withColumnRenamed("w", "e"), ["t", "ticker"], "full")
+    assert both.where("w is null or e is null or abs(w - e) > 1e-12").isEmpty() and not both.isEmpty()
+    assert universe.eligibility(panel, **FLOORS).where("eligible and t > 20").select("ticker").distinct().count() == 20
+
+
+def test_class_means_are_of_each_fold(spark):
+    labels = spark.createDataFrame([(0, 3, 0.1), (0, 3, 0.3), (1, 3, 0.5)], "fold int, label int, ret double")
+    stats = features.class_stats(labels, ("fold",))
+    assert stats.count() == 20
+    probs = spark.createDataFrame([(f, 0, f, [0.0] * 3 + [1.0] + [0.0] * 6) for f in (0, 1)], "fold int, t int, ticker long, p array<double>")
+    assert [r["ret_score"] for r in scoring.with_scores(probs, stats, ("fold",)).orderBy("fold").collect()] == pytest.approx([0.2, 0.5])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_ticker, by_time, compounded, percent_rank_ties, ratio, rows, z_score
+from ..sources.scratch import settled
 
 #: Momentum windows in months.
 MOMENTUM = (1, 3, 6, 9, 12, 18)
@@ -49,8 +50,8 @@ def feature_matrix(returns: DataFrame, ffd: DataFrame | None = None, *, first: i
     windows: tuple[int, ...] = ()
     if ffd is not None:
         windows = tuple(sorted(int(c[3:]) for c in ffd.columns if c.startswith("ffd")))
-        frame = frame.join(ffd.select("t", "ticker", *[f"ffd{m}" for m in windows]), ["t", "ticker"], "left")
-        frame = frame.withColumns({f"ffd{m}": F.lag(f"ffd{m}", 1).over(by_ticker()) for m in windows})
+        frame = settled(frame, "dynamics").join(ffd.select("t", "ticker", *[f"ffd{m}" for m in windows]), ["t", "ticker"], "left")
+        frame = settled(frame.withColumns({f"ffd{m}": F.lag(f"ffd{m}", 1).over(by_ticker()) for m in windows}), "lagged")
     raw = [f"mom{m}" for m in MOMENTUM] + ["accel", "vol", "pos"] + [f"ffd{m}" for m in windows]
     frame = standardised(frame.where(F.col("t") >= first), raw)
     dummies = {f"size_{s}": (F.col("size_decile") == s).cast("double") for s in range(1, 11)}
@@ -72,8 +73,11 @@ def decile_labels(returns: DataFrame) -> DataFrame:
     return known.select("t", "ticker", "ret", (9 - F.least(tenth, F.lit(9))).cast("int").alias("label"))
 
 
-def class_stats(labels: DataFrame) -> DataFrame:
-    """``k, mu, sigma2`` of each of the ten labels; a label without rows has 0 and 1e-4."""
+def class_stats(labels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, k, mu, sigma2`` of each of the ten labels; a label without rows has 0 and 1e-4."""
     spark = labels.sparkSession
-    own = labels.groupBy(F.col("label").alias("k")).agg(F.avg("ret").alias("mu"), F.var_samp("ret").alias("sigma2"))
-    return spark.range(10).select(F.col("id").cast("int").alias("k")).join(own, "k", "left").select("k", F.coalesce("mu", F.lit(0.0)).alias("mu"), F.coalesce("sigma2", F.lit(1e-4)).alias("sigma2"))
+    own = labels.groupBy(*by, F.col("label").alias("k")).agg(F.avg("ret").alias("mu"), F.var_samp("ret").alias("sigma2"))
+    grid = spark.range(10).select(F.col("id").cast("int").alias("k"))
+    if by:
+        grid = labels.select(*by).distinct().crossJoin(F.broadcast(grid))  # ten rows
+    return grid.join(own, [*by, "k"], "left").select(*by, "k", F.coalesce("mu", F.lit(0.0)).alias("mu"), F.coalesce("sigma2", F.lit(1e-4)).alias("sigma2"))

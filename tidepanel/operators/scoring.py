@@ -16,10 +16,10 @@ def dpr(p: Column) -> Column:
     return dot(p, F.array(*[F.lit(w) for w in weights]))
 
 
-def with_scores(probs: DataFrame, stats: DataFrame) -> DataFrame:
-    """``dpr``, expected return ``ret_score`` and its ratio to the mixture's deviation ``srp`` beside ``p``."""
-    arrays = stats.agg(F.sort_array(F.collect_list(F.struct("k", "mu", "sigma2"))).alias("_s"))  # ten rows
-    joined = probs.crossJoin(F.broadcast(arrays))
+def with_scores(probs: DataFrame, stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``dpr``, expected return ``ret_score`` and its ratio to the mixture's deviation ``srp`` beside ``p``; ``stats`` are for each ``by``, or for all."""
+    arrays = stats.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("k", "mu", "sigma2"))).alias("_s"))  # ten rows each
+    joined = probs.join(F.broadcast(arrays), [*by]) if by else probs.crossJoin(F.broadcast(arrays))
     mu, sigma2 = F.transform("_s", lambda s: s["mu"]), F.transform("_s", lambda s: s["sigma2"])
     expected = dot(F.col("p"), mu)
     second = dot(F.col("p"), F.zip_with(mu, sigma2, lambda m, v: v + m * m))

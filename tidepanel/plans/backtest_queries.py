@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import drift, execution, features, metrics, model, universe, walkforward
-from ..operators.returns import model_returns
+from ..operators import drift, execution, features, metrics, model, portfolio, universe, walkforward
+from ..operators.returns import model_returns, pnl_prices
 from ..sources.scratch import settled
 from ..sources.tables import month_panel, smooth_panel
 from .catalog import query, round_all
-from .model_queries import DENSE, P3, SPREAD, spreads, weights_on
-from .panel_queries import FEES, TIERS, tier_case
+from .model_queries import DENSE, LAGS, P3, SPREAD, THRESHOLD, spreads, weights_on
+from .panel_queries import FEES, FLOORS, TIERS, tier_case
 
 FREQ = 12
 
@@ -203,17 +203,37 @@ def buy_and_hold(spark, sf_dir):
     return round_all(run.select("t", "date", "equity"), {"equity": 8})
 
 
+def bench_weights(source: DataFrame, masks: DataFrame, first: int, q: float = 0.1) -> DataFrame:
+    """``t, date, ticker, w`` by ``zmom12`` of the features' month from ``first`` on, dated one month before: only eligible names, only shortable ones sold."""
+    matrix = features.feature_matrix(model_returns(source)).where(F.col("t") >= first)
+    signals = matrix.select((F.col("t") - 1).alias("t"), "ticker", F.col("zmom12").alias("signal")).join(masks.where("eligible").select("t", "date", "ticker"), ["t", "ticker"])
+    held = settled(portfolio.long_short(signals, q, min_names=2, shortable=masks), "held")
+    dense = source.select("t", "date", "ticker").join(F.broadcast(held.select("t").distinct()), "t", "left_semi")  # one row a date
+    return dense.join(held.select("t", "ticker", "w"), ["t", "ticker"], "left").select("t", "date", "ticker", F.coalesce("w", F.lit(0.0)).alias("w"))
+
+
+def compared_weights(source: DataFrame, min_train: int = 24, seeds: int = 20, trees: int = 300) -> DataFrame:
+    """``strategy, t, ticker, w`` of momentum, the learned model, the model with partial adjustment by its own decay, and all names alike."""
+    first = features.FIRST + min_train
+    masks = settled(universe.eligibility(source, **FLOORS), "masks")
+    bench = bench_weights(source, masks, first)
+    learned = settled(model.model_weights(source, min_train=min_train, last=36, seeds=seeds, trees=trees, masks=masks, threshold=THRESHOLD, max_lags=LAGS), "learned")
+    decay = execution.acf1(learned.select("t", "ticker", F.col("w").alias("signal")), ["ticker"]).agg(F.avg("phi")).first()[0]
+    adjusted = execution.run_policies(learned, {"adjusted": execution.Policy()}, 0.65 if decay is None else decay)
+    named = [frame.select(F.lit(name).alias("strategy"), "t", "ticker", "w") for name, frame in (("momentum", bench), ("model", learned), ("adjusted", adjusted))]
+    held = drift.hold(source.where(F.col("t") >= first - 1), equal_weights(source), "equal")
+    return settled(named[0].unionByName(named[1]).unionByName(named[2]).unionByName(held), "weights")
+
+
 @query("compare_strategies", None)
 def compare_strategies(spark, sf_dir):
-    """Momentum, momentum with partial adjustment, a learned model and buying all, as one run of the engine and one table."""
+    """:func:`compared_weights` as one run of the engine on cleaned prices and one table, from the first signal's month on."""
     source = settled(smooth_panel(spark, sf_dir), "panel")
-    momentum = settled(weights_on(source), "weights")
-    adjusted = execution.run_policies(momentum, {"adjusted": execution.Policy()}, 0.65).select(F.col("run").alias("strategy"), "t", "ticker", "w")
-    learned = model.model_weights(source, min_train=24, last=36, seeds=2, trees=8).select(F.lit("model").alias("strategy"), "t", "ticker", "w")
-    held = drift.hold(source.where("t >= 13"), equal_weights(source), "equal")
-    weights = settled(momentum.select(F.lit("momentum").alias("strategy"), "t", "ticker", "w").unionByName(adjusted).unionByName(learned).unionByName(held), "weights")
+    weights = compared_weights(source)
+    begin = features.FIRST + 24 - 1
+    later = lambda frame: frame.where(F.col("t") >= begin).withColumn("t", F.col("t") - begin)
     cost, fee = rates_of(source)
-    run = settled(drift.backtest(weights, source, freq=FREQ, lag=0, cost=cost, borrow=fee), "curve")
+    run = settled(drift.backtest(later(weights), settled(later(pnl_prices(source)), "prices"), freq=FREQ, lag=0, cost=later(cost), borrow=later(fee)), "curve")
     return metrics.summary(metrics.metrics(run, freq=FREQ))
 
 
