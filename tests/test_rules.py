@@ -202,3 +202,17 @@ def test_class_means_are_of_each_fold(spark):
     assert stats.count() == 20
     probs = spark.createDataFrame([(f, 0, f, [0.0] * 3 + [1.0] + [0.0] * 6) for f in (0, 1)], "fold int, t int, ticker long, p array<double>")
     assert [r["ret_score"] for r in scoring.with_scores(probs, stats, ("fold",)).orderBy("fold").collect()] == pytest.approx([0.2, 0.5])
+
+
+def test_registered_ensemble_is_whole(spark, monkeypatch):
+    from tidepanel.plans import backtest_queries
+
+    asked = {}
+    monkeypatch.setattr(backtest_queries, "month_panel", lambda *_: None)
+    monkeypatch.setattr(backtest_queries, "model_returns", lambda *_: None)
+    monkeypatch.setattr(backtest_queries, "settled", lambda *_: None)
+    monkeypatch.setattr(backtest_queries.features, "feature_matrix", lambda *_: None)
+    monkeypatch.setattr(backtest_queries.features, "decile_labels", lambda *_: None)
+    monkeypatch.setattr(backtest_queries.model, "fit_predict", lambda *_, **options: asked.update(options))
+    backtest_queries.ensemble_fit_predict(spark, "")
+    assert (asked["seeds"], asked["trees"]) == (20, 300)

@@ -245,6 +245,6 @@ def d_search(spark, sf_dir):
 @query("ensemble_fit_predict", None)
 def ensemble_fit_predict(spark, sf_dir):
     returns = settled(model_returns(month_panel(spark, sf_dir)), "returns")
-    return model.fit_predict(features.feature_matrix(returns), features.decile_labels(returns), min_train=24, last=36, seeds=2, trees=8)
+    return model.fit_predict(features.feature_matrix(returns), features.decile_labels(returns), min_train=24, last=36, seeds=20, trees=300)
 
 
