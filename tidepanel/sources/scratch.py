@@ -12,10 +12,14 @@ _folders: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``; below a temporary one only where that is unset."""
+    """A folder of this application below ``spark.checkpoint.dir``. Where that is unset, below the warehouse, which a
+    cluster's machines share; with a local master, which is one machine, below a temporary folder."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
-        root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidepanel-')}"
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and spark.sparkContext.master.startswith("local["):
+            root = f"file://{tempfile.mkdtemp(prefix='tidepanel-')}"
+        root = root or spark.conf.get("spark.sql.warehouse.dir")
         _folders[app] = f"{root.rstrip('/')}/panel-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _folders[app])
     return _folders[app]
@@ -29,8 +33,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def settled(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` written once and read back. What follows is planned from the table, and lost executors cost nothing."""
-    path = f"{folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
