@@ -26,10 +26,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
 from .shingles import slices
 
-#: Words kept per task; when more, the memory is emptied.
-KEPT_WORDS = 200_000
+#: Characters of words kept per task, with 100 for what a word needs besides; when more, the memory is emptied.
+KEPT_CHARACTERS = 16 << 20
 #: Texts are encoded in slices of about so many characters.
 SLICE = 1 << 20
 
@@ -176,14 +177,23 @@ class Vocabulary:
         return SPLIT.findall(text)
 
 
-_loaded: dict[int, tuple[Vocabulary, dict, list, list, list]] = {}
+#: What a task knows: vocabulary, words' numbers, all their ids in a row, where each word's begin and how many, how many ids, characters.
+_loaded: dict[int, list] = {}
 
 
-def _state(text: str) -> tuple[Vocabulary, dict[str, int], list[np.ndarray], np.ndarray, np.ndarray]:
+def forget() -> None:
+    _loaded.clear()
+
+
+def _fresh(vocabulary: Vocabulary) -> list:
+    return [vocabulary, {}, np.zeros(1 << 18, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0]
+
+
+def _state(text: str) -> list:
     key = hash(text)
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = [Vocabulary(text), {}, np.zeros(1 << 20, np.int32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), 0]
+        _loaded[key] = _fresh(Vocabulary(text))
     return _loaded[key]
 
 
@@ -204,15 +214,14 @@ def _learn(state: list, words: list[str]) -> None:
     state[4][first : first + len(names)] = sizes
     codes.update(zip(names, range(first, first + len(names))))
     state[5] = need
+    state[6] += sum(map(len, names)) + 100 * len(names)
 
 
 def encode_texts(texts: list[str | None], spec: str) -> tuple[np.ndarray, np.ndarray]:
     """All token ids of the texts in a row, and the n + 1 places where each text begins."""
     state = _state(spec)
-    if len(state[1]) > KEPT_WORDS:
-        _loaded.clear()
-        fresh = [state[0], {}, np.zeros(1 << 20, np.int32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), 0]
-        _loaded[hash(spec)] = state = fresh
+    if state[6] > KEPT_CHARACTERS:
+        _loaded[hash(spec)] = state = _fresh(state[0])
     found = [state[0].pieces(t) if t else [] for t in texts]
     counts = np.fromiter(map(len, found), np.int64, len(found))
     flat = [w for words in found for w in words]
@@ -249,7 +258,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", row_id: str = "doc
     """``doc_id, ids`` for each row of ``docs``; ``path`` is the tokenizer's JSON file, read once on the driver (about 2 MB)."""
     with open(path, encoding="utf-8") as file:
         spec = docs.sparkSession.sparkContext.broadcast(file.read())
-    return docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encoder(spec), "doc_id long, ids array<int>")
+    return in_arrow(docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text")), _encoder(spec), "doc_id long, ids array<int>", forget)
 
 
 def _decoder(spec):
@@ -271,4 +280,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids, decoded`` for ``encoded(doc_id, ids)``: the tokens' strings with a space between, as the tokenizer's file has no decoder."""
     with open(path, encoding="utf-8") as file:
         spec = encoded.sparkSession.sparkContext.broadcast(file.read())
-    return encoded.select("doc_id", "ids").mapInArrow(_decoder(spec), "doc_id long, ids array<int>, decoded string")
+    return in_arrow(encoded.select("doc_id", "ids"), _decoder(spec), "doc_id long, ids array<int>, decoded string", forget)

@@ -2,51 +2,44 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.scratch import new_path as new_path
+from ..sources.scratch import settled as materialize
 
 #: The blank characters that separate words.
 BLANKS = " \t\n\x0b\x0c\r"
 #: A word, for regular expressions of Java, RE2 and Python.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_folder: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidepanel-')}"
-        path = f"{root.rstrip('/')}/tidepanel-{uuid.uuid4().hex}"
-        _own_folder[app] = path
-        atexit.register(_remove, spark, path)
-    return _own_folder[app]
-
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended before; the folder stays for the cluster's own clean-up
-        pass
+def give_back() -> None:
+    """Hands memory that a task has freed back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # not every C library keeps what is freed
+        trim(0)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def in_arrow(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, drop: Callable[[], None] | None = None) -> DataFrame:
+    """``frame.mapInArrow(run, schema)``; when a task ends, ``drop`` clears what its module keeps, and memory goes back."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if drop is not None:
+                drop()
+            give_back()
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return frame.mapInArrow(task, schema)
 
 
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:

@@ -28,16 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side
+from .common import in_arrow, materialize, small_side
 from .components import components
-from .shingles import mix, shingle_sets, slices, text_buffers
+from .shingles import drop_powers, mix, shingle_sets, slices, text_buffers
 
 #: Coordinates a band, and bands: a pair at similarity 0.8 shares no band with probability 2e-6.
 ROWS, BANDS = 7, 56
 #: Per cent of the union that two linked sets share at least.
 THRESHOLD = 80
 #: Texts are sketched in slices of about so many bytes.
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Documents in a block of the exact comparison.
 BLOCK = 256
 #: Up to so many ids are broadcast to pick their texts from a scan; more are joined.
@@ -116,7 +116,7 @@ def _sets(k: int):
 
 def sets_of(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """``doc_id, items`` for the rows of ``texts(doc_id, text)`` whose id is in ``ids``."""
-    return texts.join(small_side(ids, BROADCAST_IDS), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, items array<long>")
+    return in_arrow(texts.join(small_side(ids, BROADCAST_IDS), "doc_id", "left_semi"), _sets(k), "doc_id long, items array<long>", drop_powers)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -181,7 +181,7 @@ def group_links(groups: DataFrame, texts: DataFrame, k: int, threshold: int) ->
 def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: int = THRESHOLD, text: str = "text", row_id: str = "doc_id", rows: int = ROWS, count: int = BANDS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``; links are sets that share ``threshold`` per cent of their union."""
     texts = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    drawn = materialize(texts.mapInArrow(_sketched(k, rows, count), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"), "sketches")
+    drawn = materialize(in_arrow(texts, _sketched(k, rows, count), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>", drop_powers), "sketches")
     prints = ["n_shingles", "fp1", "fp2"]
     classes = drawn.where("n_shingles > 0").groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     classes = materialize(classes, "classes")

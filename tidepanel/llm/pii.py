@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tagger
+from .common import in_arrow
 from .tagger import KINDS, luhn
 
 #: Characters of a window and from one window to the next; windows read at once; characters a slice.
@@ -192,7 +193,7 @@ def find_personal_data(docs: DataFrame, *, text: str = "text", row_id: str = "do
                 found = all_spans(texts, shared.value, everywhere)
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([_joined(x) for x, _ in found], pa.string()), pa.array([_joined(y) for _, y in found], pa.string())], names=["doc_id", "base", "spans"])
 
-    return docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, base string, spans string")
+    return in_arrow(docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, base string, spans string")
 
 
 def mask_personal_data(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -213,4 +214,4 @@ def mask_personal_data(docs: DataFrame, *, text: str = "text") -> DataFrame:
             arrays[place] = pa.array(out, column.type)
             yield pa.record_batch(arrays, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

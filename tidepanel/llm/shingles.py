@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are hashed in pieces of about so many bytes, cut between words.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -18,7 +18,7 @@ _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 _PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,14 +31,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 2 * PIECE)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+def _power(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers, at least, of the base and of its inverse; for pieces of common size they are kept."""
+    if len(_powers) == 2 and len(_powers[0]) >= n:
+        return _powers
+    made = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(max(n, PIECE + 4096), base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if n <= PIECE + 4096:
+        _powers[:] = made
+    return made
+
+
+def drop_powers() -> None:
+    _powers.clear()
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
