@@ -14,9 +14,14 @@ from tidepanel.llm.common import materialize
 from tidepanel.llm.queries import vocabulary_path
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``n_chars``, where they have it, of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules reject go."""
-    return quality_rules.keep_good(docs)
+    """Documents that the line-first rules reject go; the others lose their failing lines, and ``n_chars`` follows the text."""
+    return counted(quality_rules.keep_good(docs))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +31,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are masked, and ``n_chars`` follows the text."""
-    masked = pii.mask_personal_data(docs)
-    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return counted(pii.mask_personal_data(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
