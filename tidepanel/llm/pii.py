@@ -1,14 +1,16 @@
-"""Personal data: exact patterns, and a character LSTM with CRF transitions for other notations.
+"""Personal data: exact patterns, and a character LSTM with CRF transitions for other notations and for secrets.
 
-The tagger reads overlapping windows; of two windows that cover a character, the one in which it is further from the
-edge decides, so the windows' tags make one sequence for the whole text, and runs of one tag are spans. A tagged span
-is added if it passes its kind's check and touches no span of the patterns; those stay as they are.
+The tagger reads overlapping windows. Where windows overlap their scores are averaged, a character counting the more the
+further it is from a window's edge, and each run of windows is decoded once over the joined scores, so the tags are the
+best sequence for the whole run, whatever its length. Runs of one tag are spans. A span is added if it passes its kind's
+check and touches no span of the patterns; those stay as they are.
 
-Every check needs a digit or an ``@``. So a window can only matter if it or a neighbour has one, and only such windows
-are read; ``everywhere=True`` reads all, with the same result.
+Every check needs a digit, an ``@`` or an ``at`` in brackets. So a window can only matter if it or a neighbour has one,
+and only such windows are read; ``everywhere=True`` reads all.
 
-Defined results: null is the empty text, with no spans; repeated rows are judged alike; an empty table gives an empty
-table; other columns are ignored, or carried as they are by ``mask_personal_data``.
+Defined results: null is the empty text, with no spans; a text of any length is read whole, in memory that grows with
+its length; repeated rows are judged alike; an empty table gives an empty table; other columns are ignored, or carried as
+they are by ``mask_personal_data``.
 """
 
 from __future__ import annotations
@@ -25,18 +27,27 @@ from . import tagger
 from .common import in_arrow
 from .tagger import KINDS, luhn
 
+#: The kinds that patterns find.
+BASE_KINDS = KINDS[:4]
+
 #: Characters of a window and from one window to the next; windows read at once; characters a slice.
 WINDOW, STEP, TOGETHER, SLICE = 128, 64, 512, 1 << 20
+#: Characters of runs that are decoded at once, about; a longer run is decoded alone.
+DECODED = 1 << 17
 
 Span = tuple[str, int, int]
 
-# fixed values: the patterns of the four kinds
+# fixed values: the patterns of the first four kinds
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_CUE = re.compile("[0-9@]")
+_SIGN = re.compile("[0-9@]")
+_BRACKETS = re.compile(r"[\[(] ?at ?[\])]", re.IGNORECASE)
+_DOT = re.compile(r" ?[\[(] ?dot ?[\])] ?", re.IGNORECASE)
+_PIECE = re.compile(r"(?:[^A-Za-z]| ?ext\. ?| x(?=[0-9]))+")
+_EXTENSION = re.compile(r" (?:ext\. ?|x)[0-9]{1,4}\Z")
 _NOT_DIGIT = re.compile("[^0-9]+")
 _LOCAL_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -72,7 +83,7 @@ def valid_phone(s: str, least: int = 10) -> bool:
 
 def base_spans(text: str) -> list[Span]:
     """The patterns' spans, leftmost and non-overlapping within each kind, by start and kind."""
-    if not _CUE.search(text):
+    if not _SIGN.search(text):
         return []
     out: list[Span] = [("email", a, b) for a, b in _emails(text)]
     out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if valid_ip(m.group())]
@@ -83,22 +94,37 @@ def base_spans(text: str) -> list[Span]:
 
 def _added_check(kind: str, s: str) -> bool:
     """What a tagged span must be: all of a span's sign, and of a length that such data have."""
+    s = s.translate(_NARROW)
     if kind == "email":
-        return re.fullmatch(r"[^\s@]{1,64}@[^\s@.]+(\.[^\s@.]+)+", s) is not None
+        plain = _DOT.sub(".", _BRACKETS.sub("@", s)).replace(" @", "@").replace("@ ", "@")
+        return re.fullmatch(r"[^\s@]{1,64}@[^\s@.]+(\.[^\s@.]+)+", plain) is not None
     if kind == "ip":
         return valid_ip(s)
-    if re.fullmatch(r"\+?[0-9(][0-9()\x20./-]*[0-9]", s) is None:
-        return False
-    return valid_card(s, 13) if kind == "card" else valid_phone(s)
+    if kind == "secret":
+        return re.fullmatch(r"[A-Za-z0-9_+/=-]{16,256}", s) is not None and _SIGN.search(s) is not None and not s.isdigit() and len(set(s)) > 8
+    if kind == "card":
+        return re.fullmatch(r"[0-9][0-9\x20./-]*[0-9]", s) is not None and valid_card(s, 13)
+    plain = _EXTENSION.sub("", s)
+    return re.fullmatch(r"\+?[0-9(][0-9()\x20./-]*[0-9]", plain) is not None and valid_phone(plain, 9 if plain.startswith("0") else 10)
+
+
+_NARROW = {c + 0xFEE0: c for c in range(33, 127)}
+
 
+def cued(text: str) -> bool:
+    """Whether a text has anything that a span needs."""
+    return _SIGN.search(text) is not None or _BRACKETS.search(text) is not None or (not text.isascii() and re.search("[０-９＠]", text) is not None)
 
-def _windows(points: np.ndarray, everywhere: bool) -> np.ndarray:
+
+def _windows(text: str, points: np.ndarray, everywhere: bool) -> np.ndarray:
     """The places where the windows to be read begin: all, or those that have a cue in themselves or a neighbour."""
     n = max(1, -(-(len(points) - WINDOW) // STEP) + 1) if len(points) > WINDOW else 1
     starts = np.arange(n) * STEP
     if everywhere:
         return starts
-    cue = np.flatnonzero(((points >= 48) & (points <= 57)) | (points == 64))
+    plain = tagger.narrow(points)
+    cue = np.flatnonzero(((plain >= 48) & (plain <= 57)) | (plain == 64))
+    cue = np.concatenate([cue, np.array([m.start() for m in _BRACKETS.finditer(text)], cue.dtype)])
     read = np.zeros(n, bool)
     for shift in range(-(WINDOW // STEP) - 1, WINDOW // STEP + 1):
         k = cue // STEP + shift
@@ -106,49 +132,87 @@ def _windows(points: np.ndarray, everywhere: bool) -> np.ndarray:
     return starts[read]
 
 
-def tagged_spans(texts: list[str], weights: dict, everywhere: bool = False) -> list[list[Span]]:
-    """The checked spans that the tagger finds in each text."""
-    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-    jobs = [(k, int(s)) for k, p in enumerate(points) if len(p) for s in _windows(p, everywhere)]
-    tags = [None] * len(texts)
-    trust = [None] * len(texts)
-    edge = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
+#: What a character of a window counts where windows overlap.
+_TRUST = 1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.float32)
+
+
+def _runs(points: list[np.ndarray], jobs: list[tuple[int, int]], weights: dict) -> Iterator[tuple[int, int, np.ndarray]]:
+    """``text, place, scores`` of each run of overlapping windows, the windows' scores joined."""
+    at, held = -1, None  # the run that is open: its text, begin, sums and weights
     for a in range(0, len(jobs), TOGETHER):
         part = jobs[a : a + TOGETHER]
         x = np.zeros((WINDOW, len(part)), np.int64)
         for column, (k, s) in enumerate(part):
             piece = points[k][s : s + WINDOW]
             x[: len(piece), column] = tagger.classes(piece)
-        found = tagger.decode(weights, x)
+        scores = tagger.emissions(weights, x)
         for column, (k, s) in enumerate(part):
             size = min(WINDOW, len(points[k]) - s)
-            if tags[k] is None:
-                tags[k], trust[k] = np.zeros(len(points[k]), np.int8), np.full(len(points[k]), -1, np.int16)
-            better = edge[:size] > trust[k][s : s + size]
-            tags[k][s : s + size][better] = found[:size, column][better]
-            trust[k][s : s + size][better] = edge[:size][better]
-    out: list[list[Span]] = []
-    for k, text in enumerate(texts):
-        spans = []
-        if tags[k] is not None:
-            cuts = np.flatnonzero(np.diff(tags[k])) + 1
-            begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(tags[k])]])
-            for b, e in zip(begins.tolist(), ends.tolist()):
-                if tag := int(tags[k][b]):
-                    s = text[b:e]
-                    trimmed = s.strip(" \n\t.,;:-/")
-                    b += s.find(trimmed) if trimmed else 0
-                    if trimmed and _added_check(KINDS[tag - 1], trimmed):
-                        spans.append((KINDS[tag - 1], b, b + len(trimmed)))
-        out.append(spans)
+            if held is None or at != k or s > held[1]:
+                if held is not None:
+                    yield at, held[0], held[2][: held[1] - held[0]] / held[3][: held[1] - held[0], None]
+                at, held = k, [s, s, np.zeros((4 * WINDOW, tagger.TAGS), np.float32), np.zeros(4 * WINDOW, np.float32)]
+            begin = s - held[0]
+            while begin + size > len(held[3]):
+                held[2], held[3] = np.concatenate([held[2], np.zeros_like(held[2])]), np.concatenate([held[3], np.zeros_like(held[3])])
+            held[2][begin : begin + size] += scores[:size, column] * _TRUST[:size, None]
+            held[3][begin : begin + size] += _TRUST[:size]
+            held[1] = s + size
+    if held is not None:
+        yield at, held[0], held[2][: held[1] - held[0]] / held[3][: held[1] - held[0], None]
+
+
+def _tagged(text: str, place: int, tags: np.ndarray) -> Iterator[Span]:
+    """The checked spans of a run's tags; one of numbers that fails is looked at again in the pieces between its words."""
+    cuts = np.flatnonzero(np.diff(tags)) + 1
+    for b, e in zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(tags)]]).tolist()):
+        if tag := int(tags[b]):
+            kind, at = KINDS[tag - 1], place + b
+            whole = list(_checked(kind, text[at : place + e], at))
+            if not whole and kind in ("ip", "card", "phone"):
+                whole = [s for m in _PIECE.finditer(text, at, place + e) for s in _checked(kind, m.group(), m.start())]
+            yield from whole
+
+
+def _checked(kind: str, s: str, at: int) -> Iterator[Span]:
+    trimmed = s.strip(" \n\t.,;:-/\"'")
+    if trimmed and _added_check(kind, trimmed):
+        begin = at + s.find(trimmed)
+        yield kind, begin, begin + len(trimmed)
+
+
+def tagged_spans(texts: list[str], weights: dict, everywhere: bool = False) -> list[list[Span]]:
+    """The checked spans that the tagger finds in each text."""
+    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    jobs = [(k, int(s)) for k, (t, p) in enumerate(zip(texts, points)) if len(p) for s in _windows(t, p, everywhere)]
+    out: list[list[Span]] = [[] for _ in texts]
+    waiting: list[tuple[int, int, np.ndarray]] = []
+
+    def settle() -> None:
+        if not waiting:
+            return
+        lengths = np.array([len(r[2]) for r in waiting], np.int64)
+        tags = tagger.decode(weights, np.concatenate([r[2] for r in waiting]), lengths)
+        for (k, place, _), end, size in zip(waiting, np.cumsum(lengths).tolist(), lengths.tolist()):
+            out[k] += _tagged(texts[k], place, tags[end - size : end])
+        waiting.clear()
+
+    size = 0
+    for run in _runs(points, jobs, weights):
+        waiting.append(run)
+        size += len(run[2])
+        if size > DECODED:
+            settle()
+            size = 0
+    settle()
     return out
 
 
 def all_spans(texts: list[str], weights: dict, everywhere: bool = False) -> list[tuple[list[Span], list[Span]]]:
     """For each text, the patterns' spans and all spans, both by start and kind."""
     base = [base_spans(t) for t in texts]
-    cued = [k for k, t in enumerate(texts) if everywhere or _CUE.search(t)]
-    more = dict(zip(cued, tagged_spans([texts[k] for k in cued], weights, everywhere)))
+    read = [k for k, t in enumerate(texts) if everywhere or cued(t)]
+    more = dict(zip(read, tagged_spans([texts[k] for k in read], weights, everywhere)))
     out = []
     for k, own in enumerate(base):
         free = [s for s in more.get(k, []) if all(s[2] <= b or s[1] >= e for _, b, e in own)]
@@ -199,7 +263,8 @@ def find_personal_data(docs: DataFrame, *, text: str = "text", row_id: str = "do
 def mask_personal_data(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` with the spans in ``text`` masked; null stays null, and all other columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(tagger.train())
-    place = docs.columns.index(text)
+    place, names = docs.columns.index(text), docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # so that names with dots or twice in other cases pass
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,4 +279,4 @@ def mask_personal_data(docs: DataFrame, *, text: str = "text") -> DataFrame:
             arrays[place] = pa.array(out, column.type)
             yield pa.record_batch(arrays, schema=batch.schema)
 
-    return in_arrow(docs, run, docs.schema)
+    return in_arrow(plain, run, plain.schema).toDF(*names)

@@ -36,8 +36,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
-    count = lambda kind: F.regexp_count(F.col("base"), F.lit(rf"(?:^|,){kind}:")).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+    count = lambda spans, kind: F.regexp_count(F.col(spans), F.lit(rf"(?:^|,){kind}:")).cast("long")
+    added = lambda kind: (count("spans", kind) - count("base", kind)).alias(f"added_{kind}")
+    return found.select(
+        "doc_id", *[count("base", k).alias(f"n_{k}") for k in pii.BASE_KINDS], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans",
+        *[added(k) for k in pii.KINDS], count("spans", "[a-z]+").alias("n_spans"),
+    )
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

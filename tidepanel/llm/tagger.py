@@ -1,7 +1,7 @@
 """A character tagger in numpy: two LSTMs over character classes, linear scores and a chain with transition weights.
 
-Trained from labelled spans that a seeded generator writes: the four kinds in many notations, and things that look like
-them (versions, dates, hashes, amounts), between words of random letters.
+Trained from labelled spans that a seeded generator writes: four kinds in many notations, secrets such as keys and
+tokens, and things that look like them (versions, dates, digests, amounts), between words of random letters.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ from random import Random
 import numpy as np
 
 #: Tags; a run of one tag is a span.
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 TAGS = 1 + len(KINDS)
 #: Characters of a training window, hidden units a direction, batches and their size.
-LENGTH, HIDDEN, BATCHES, BATCH = 96, 12, 200, 48
+LENGTH, HIDDEN, BATCHES, BATCH = 96, 16, 280, 48
 
-_SINGLE = "@._%+-()/:,#= \n"
+#: Characters of a piece of a sequence in decoding.
+PIECE = 256
+_SINGLE = "@._%+-()/:,#= \n[]\"'"
 CLASSES = 7 + len(_SINGLE)
 
 
@@ -26,6 +28,7 @@ def _class_table() -> np.ndarray:
     for c in range(128):
         s = chr(c)
         table[c] = 1 if s.isdigit() else 2 if s in "abcdef" else 3 if s.islower() else 4 if s.isupper() else 6
+    table[0] = 0  # what pads a window
     for k, s in enumerate(_SINGLE):
         table[ord(s)] = 7 + k
     return table
@@ -35,8 +38,13 @@ _TABLE = _class_table()
 
 
 def classes(points: np.ndarray) -> np.ndarray:
-    """The class of each code point."""
-    return _TABLE[np.minimum(points, 0x24F)]
+    """The class of each code point; full-width signs count as the narrow ones."""
+    return _TABLE[np.minimum(narrow(points), 0x24F)]
+
+
+def narrow(points: np.ndarray) -> np.ndarray:
+    """Code points with full-width signs replaced by ASCII's."""
+    return np.where((points >= 0xFF01) & (points <= 0xFF5E), points - np.uint32(0xFEE0), points)
 
 
 def _lstm(p: dict, side: str, x: np.ndarray, keep: list | None) -> np.ndarray:
@@ -109,21 +117,47 @@ def _chain_gradient(p: dict, scores: np.ndarray, tags: np.ndarray) -> tuple[np.n
     return d_scores, d_trans
 
 
-def decode(p: dict, x: np.ndarray) -> np.ndarray:
-    """The best tag sequence of each window, time first."""
-    scores = emissions(p, x)
-    t, n, k = scores.shape
-    trans = p["trans"]
-    best, back = scores[0], np.empty((t, n, k), np.int8)
-    for s in range(1, t):
-        paths = best[:, :, None] + trans
-        back[s] = paths.argmax(1)
-        best = scores[s] + paths.max(1)
-    out = np.empty((t, n), np.int8)
-    out[-1] = best.argmax(1)
-    rows = np.arange(n)
-    for s in range(t - 1, 0, -1):
-        out[s - 1] = back[s][rows, out[s]]
+def decode(p: dict, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The best tags of sequences of any length, laid end to end in ``scores`` (a row a character).
+
+    Each sequence is cut into pieces of PIECE characters. For every tag that may come before a piece, all pieces find
+    their best paths at once; then the pieces of a sequence are joined, the tag at each border being the one that makes
+    the whole sequence's score largest, and each piece is traced back. The result is that of one pass over the sequence.
+    """
+    k, trans = scores.shape[1], p["trans"]
+    counts = -(-lengths // PIECE)
+    first = np.cumsum(counts) - counts
+    n = int(counts.sum())
+    owner = np.repeat(np.arange(len(lengths)), counts)
+    within = (np.arange(n) - first[owner]) * PIECE
+    begins = (np.cumsum(lengths) - lengths)[owner] + within
+    sizes = np.minimum(PIECE, lengths[owner] - within)
+    opening = within == 0
+    best = np.where(np.eye(k, dtype=bool), 0.0, -1e9).astype(np.float32) * np.ones((n, 1, 1), np.float32)
+    back = np.zeros((int(sizes.max(initial=0)), n, k, k), np.int8)
+    for s in range(len(back)):
+        live = np.flatnonzero(sizes > s)
+        step = np.where(opening[live, None, None], 0.0, trans).astype(np.float32) if s == 0 else trans[None]
+        paths = best[live][:, :, :, None] + step[:, None]
+        back[s, live] = paths.argmax(2)
+        best[live] = paths.max(2) + scores[begins[live] + s][:, None, :]
+    before, after = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for a, b in zip(first.tolist(), (first + counts).tolist()):
+        value, trail = np.zeros(k, np.float32), []
+        for q in range(a, b):
+            whole = value[:, None] + best[q]
+            trail.append(whole.argmax(0))
+            value = whole.max(0)
+        tag = int(value.argmax())
+        for q in range(b - 1, a - 1, -1):
+            after[q] = tag
+            before[q] = tag = int(trail[q - a][tag])
+    out = np.empty(len(scores), np.int8)
+    tag = after.copy()
+    for s in range(len(back) - 1, -1, -1):
+        live = np.flatnonzero(sizes > s)
+        out[begins[live] + s] = tag[live]
+        tag[live] = back[s, live, before[live], tag[live]]
     return out
 
 
@@ -131,6 +165,8 @@ _LETTERS, _ALNUM, _HEX = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwx
 
 
 def _word(rng: Random, letters: str = _LETTERS) -> str:
+    if letters is _LETTERS and rng.random() < 0.15:
+        return rng.choice(("a", "or", "and", "at", "to", "of", "by", "or call", "call", "mail", "see", "from"))
     return "".join(rng.choices(letters, k=rng.randint(1, 8)))
 
 
@@ -146,40 +182,67 @@ def luhn(digits: str) -> bool:
 
 
 def sample_item(rng: Random, kind: int) -> str:
-    """Something of kind 1 to 4 (email, ip, card, phone), or for 0 something that only looks like one."""
+    """Something of kind 1 to 5 (email, ip, card, phone, secret), or for 0 something that only looks like one."""
     n, pick = rng.randint, rng.choice
     if kind == 1:
         local = _word(rng) + pick(["", ".", "_", "-", "+"]) + pick([_word(rng), _digits(rng, 2), ""])
-        return local.rstrip("._-+") + "@" + ".".join([_word(rng, _ALNUM) for _ in range(n(1, 2))] + [pick(["com", "org", "net", "de", "fr", "io"])])
+        names = [_word(rng, _ALNUM) for _ in range(n(1, 2))] + [pick(["com", "org", "net", "de", "fr", "io"])]
+        sign, dot = pick([("@", "."), ("@", "."), (" @ ", "."), ("[at]", "."), (" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "(dot)")])
+        return widened(rng, local.rstrip("._-+") + sign + dot.join(names))
     if kind == 2:
-        return ".".join(str(n(0, 255)) for _ in range(4))
+        return widened(rng, ".".join(str(n(0, 255)) for _ in range(4)))
     if kind == 3:
         body = str(n(3, 6)) + _digits(rng, pick([13, 14, 14, 14, 15, 17]))
         body = next(body + str(d) for d in range(10) if luhn(body + str(d)))
-        return pick(["", "", " ", "-"]).join(body[i : i + 4] for i in range(0, len(body), 4))
+        return widened(rng, pick(["", "", " ", "-", ".", "/"]).join(body[i : i + 4] for i in range(0, len(body), 4)))
     if kind == 4:
         area, a, b = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
-        return pick([f"+1 ({area}) {a}-{b}", f"({area}) {a}-{b}", f"{area}-{a}-{b}", f"+{n(1, 98)} {area} {a} {b}", f"+{n(1, 98)}{area}{a}{b}", f"{area}.{a}.{b}", f"+{n(1, 98)}-{area}-{a}-{b}"])
-    hexed = "".join(rng.choices(_HEX, k=24))
+        plain = pick([
+            f"+1 ({area}) {a}-{b}", f"({area}) {a}-{b}", f"{area}-{a}-{b}", f"+{n(1, 98)} {area} {a} {b}", f"+{n(1, 98)}{area}{a}{b}", f"{area}.{a}.{b}", f"+{n(1, 98)}-{area}-{a}-{b}",
+            f"0{n(10, 99)} {a}{b}", f"0{n(100, 999)}/{a}{b}", f"0{n(10, 99)}-{a}{b}", f"00{n(10, 98)} {area} {a}{b}", f"0{n(1, 9)} {n(10, 99)} {n(10, 99)} {n(10, 99)} {n(10, 99)}",
+        ])
+        return widened(rng, plain + pick(["", "", "", f" ext. {n(1, 999)}", f" x{n(1, 999)}"]))
+    hexed, mixed = "".join(rng.choices(_HEX, k=pick([24, 32, 40, 40, 64]))), "".join(rng.choices(_ALNUM + _LETTERS.upper(), k=n(20, 44)))
+    if kind == 5:
+        return pick([hexed, hexed, mixed, f"AKIA{''.join(rng.choices(_LETTERS.upper() + '0123456789', k=16))}", f"ghp_{mixed}", f"sk-{mixed}"])
     return pick([
-        f"{n(1900, 2029)}-{n(1, 12):02}-{n(1, 28):02}", f"{n(0, 19)}.{n(0, 19)}", f"{n(0, 19)}.{n(0, 19)}.{n(0, 19)}", f"key={hexed}", f'"{hexed}"', _digits(rng, n(1, 8)),
-        f"{n(1, 998)},{_digits(rng, 3)}", f"@{_word(rng)}", f"{n(1, 23)}:{_digits(rng, 2)}", f"#{_digits(rng, 5)}", f"AKIA{hexed[:16].upper()}", f"https://{_word(rng)}.org/{_digits(rng, 5)}", f"({n(1, 98)})", f"+{n(1, 98)}",
+        f"{n(1900, 2029)}-{n(1, 12):02}-{n(1, 28):02}", f"{n(1, 28)}.{n(1, 12)}.{n(1900, 2029)}", f"{n(0, 19)}.{n(0, 19)}", f"{n(0, 19)}.{n(0, 19)}.{n(0, 19)}", f"sha{pick([1, 256])}:{hexed}", f"commit {hexed}", f"md5 {hexed[:24]}",
+        _digits(rng, n(1, 8)), f"{n(1, 998)},{_digits(rng, 3)}", f"{n(1, 998)}.{_digits(rng, 3)},{_digits(rng, 2)}", f"@{_word(rng)}", f"{n(1, 23)}:{_digits(rng, 2)}", f"#{_digits(rng, 5)}", f"https://{_word(rng)}.org/{_digits(rng, 5)}/{hexed[:10]}",
+        f"({n(1, 98)})", f"+{n(1, 98)}", f"{_word(rng)}{_digits(rng, 2)}", f"{_word(rng)} at {_word(rng)}", f"{n(1, 99)}/{n(1, 99)}", f"{_digits(rng, 3)}-{_digits(rng, 2)}", f"ISBN 978-{n(0, 9)}-{_digits(rng, 4)}-{_digits(rng, 4)}-{n(0, 9)}",
     ])
 
 
+_WIDE = {c: c + 0xFEE0 for c in range(33, 127)}
+#: What stands before a secret; without such a sign a long run of letters and digits is none.
+SIGNS = ('token = "', 'token="', "token: ", 'api_key = "', "api_key=", 'secret: "', 'password = "', "key=", 'Authorization: Bearer ', "")
+
+
+def widened(rng: Random, s: str) -> str:
+    """``s``, rarely in full-width signs."""
+    return s.translate(_WIDE) if rng.random() < 0.05 else s
+
+
 def sample_window(rng: Random) -> tuple[str, list[int]]:
     """A text of LENGTH characters and the tag of each."""
     text, tags = "", []
     while len(text) < LENGTH + 24:
-        kind = rng.choices(range(TAGS), [3, 1, 1, 1, 1])[0] if rng.random() < 0.3 else -1
+        kind = rng.choices(range(TAGS), [4, 1, 1, 1, 1, 1])[0] if rng.random() < 0.3 else -1
         part = _word(rng) if kind < 0 else sample_item(rng, kind)
+        if kind == 5:
+            sign = "" if part[:4] in ("AKIA", "ghp_") or part[:3] == "sk-" else rng.choice(SIGNS[:-1])
+            text, tags = text + sign, tags + [0] * len(sign)
         if kind < 0 and rng.random() < 0.15:
             part = part.capitalize()
-        after = rng.choice([" ", " ", " ", " ", ". ", ", ", ".\n", "\n", ": "])
+        after = rng.choice([" ", " ", " ", " ", ". ", ", ", ".\n", "\n", ": ", "### ", "&&& "])
+        after = '"' + after if kind == 5 and sign.endswith('"') else after
         text += part + after
         tags += [max(kind, 0)] * len(part) + [0] * len(after)
     at = rng.randint(0, len(text) - LENGTH)
-    return text[at : at + LENGTH], tags[at : at + LENGTH]
+    text, tags = text[at : at + LENGTH], tags[at : at + LENGTH]
+    if rng.random() < 0.2:  # the end of a text
+        end = rng.randint(LENGTH // 4, LENGTH)
+        text, tags = text[:end].ljust(LENGTH, "\0"), tags[:end] + [0] * (LENGTH - end)
+    return text, tags
 
 
 def training_batch(rng: Random, n: int) -> tuple[np.ndarray, np.ndarray]:
