@@ -2,11 +2,13 @@
 
 Vectors get one coordinate more, so that the largest inner product is the smallest distance. Blocks of rows are indexed
 by PROJECTIONS sorted arrays, one for each direction of random orthogonal bases. A query looks at a window around its
-own place in each array; windows widen from round to round (virtual rehashing).
-Rows that lie in enough windows are verified by their exact inner product. A query is done with a block when its k-th
-best verified row is nearer than the radius for which the count's threshold holds; at the widest, every row is verified.
+own place in each array; windows widen from round to round (virtual rehashing), and each round reads only what they gain
+at either end. Rows that lie in enough windows are verified by their exact inner product. A query is done with a block
+when its k-th best verified row is nearer than the radius for which the count's threshold holds; at the widest, every row
+is verified. The first radius comes from the k-th distances of a sample of the block's own rows.
 
-Blocks and groups of queries are tasks of bounded size; each query's best rows of all blocks are then ranked together.
+A task is a block and a group of queries, both of bounded size and about alike in bytes: so the index is shuffled once
+for every GROUP queries. Each query's best rows of all blocks are then ranked together.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have another length than most
 take no part; ties go to the smaller id; a query's own id is no candidate; a repeated query id is asked
@@ -24,12 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Sorted arrays; rows of a block and queries of a group, about (a block has below 65,536); queries searched side by side.
-PROJECTIONS, BLOCK, GROUP, TOGETHER = 64, 32_768, 512, 64
+#: Sorted arrays; rows of a block (below 65,536 in any case) and queries of a group, about; queries searched side by side.
+PROJECTIONS, BLOCK, GROUP, TOGETHER = 64, 16_384, 32_768, 64
 #: Half width of a window at radius r, in units of r / sqrt(dimensions); deviations by which the threshold lies below the expected count.
 WIDTH, SLACK = 1.1, 0.9
-#: First radius, as a share of the largest distance, and its growth from round to round.
-FIRST, GROWTH = 0.5, 1.08
+#: Rows of a block whose k-th distances give the first radius, the share of the least of them, and the growth from round to round.
+PROBES, FIRST, GROWTH = 32, 0.9, 1.08
 _EXPECTED = 0.7287  # the share of a normal distribution within WIDTH deviations
 
 
@@ -41,45 +43,57 @@ def directions(dimensions: int, seed: int = 11) -> np.ndarray:
 
 
 class Block:
-    """The index of one block: ids, vectors, and for each direction the sorted projections and each row's rank in them."""
+    """The index of one block: ids, vectors, and for each direction the sorted projections and the rows in their order.
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float) -> None:
+    ``touched`` counts the entries of sorted arrays that searches have read, ``verified`` the inner products taken.
+    """
+
+    touched = verified = 0
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, k: int) -> None:
         self.ids, self.vectors, self.longest = ids, vectors, longest
         self.axes = directions(vectors.shape[1] + 1)
-        extra = np.sqrt(np.maximum(0, longest**2 - (vectors**2).sum(1)))
+        norms = (vectors**2).sum(1)
+        extra = np.sqrt(np.maximum(0, longest**2 - norms))
         places = vectors @ self.axes[:-1] + extra[:, None] * self.axes[-1]
         order = np.argsort(places, 0, kind="stable")
         self.places = np.ascontiguousarray(np.take_along_axis(places, order, 0).T)
-        ranks = np.empty(order.shape, np.uint16)
-        np.put_along_axis(ranks, order, np.arange(len(ids), dtype=np.uint16)[:, None], 0)
-        self.ranks = np.ascontiguousarray(ranks.T)
-
-    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """In how many of the windows [low, high) of the sorted arrays each row lies; below a window ranks wrap round."""
-        counts = np.zeros(len(self.ids), np.uint8)
-        for ranks, a, size in zip(self.ranks, low.astype(np.uint16), (high - low).tolist()):
-            counts += ((ranks - a) < size).view(np.uint8)
-        return counts
+        self.order = np.ascontiguousarray(order.T.astype(np.uint16))
+        probes = np.linspace(0, len(ids) - 1, min(PROBES, len(ids))).astype(int)
+        near = np.sort(vectors[probes] @ vectors.T, 1)[:, max(0, len(ids) - 1 - k)]
+        length2 = norms[probes] + longest**2
+        self.first = FIRST * float(np.sqrt(np.maximum(1 - 2 * near / length2, 1e-4).min()))
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the ids and inner products of its k best verified rows, best first."""
-        m = len(self.places)
+        m, n, count = len(self.places), len(self.ids), len(query_ids)
         at = queries @ self.axes[:-1]
         length2 = (queries**2).sum(1) + self.longest**2
         needed = max(1, int(np.floor(m * _EXPECTED - SLACK * np.sqrt(m * _EXPECTED * (1 - _EXPECTED)))))
         done = self.ids[None, :] == query_ids[:, None]
+        seen = np.zeros((count, n), np.uint8)
+        low = np.stack([np.searchsorted(p, at[:, j]) for j, p in enumerate(self.places)], 1)
+        high = low.copy()
         found: list[list[np.ndarray]] = [[] for _ in query_ids]
         scores: list[list[np.ndarray]] = [[] for _ in query_ids]
-        radius = FIRST * np.sqrt(2 * length2)
-        active = np.arange(len(query_ids))
+        radius = self.first * np.sqrt(length2)
+        active = np.arange(count)
         while len(active):
             half = (WIDTH / np.sqrt(self.axes.shape[0])) * radius[active]
-            low = np.stack([np.searchsorted(p, at[active, j] - half, "left") for j, p in enumerate(self.places)], 1)
-            high = np.stack([np.searchsorted(p, at[active, j] + half, "right") for j, p in enumerate(self.places)], 1)
+            left = np.stack([np.searchsorted(p, at[active, j] - half, "left") for j, p in enumerate(self.places)], 1)
+            right = np.stack([np.searchsorted(p, at[active, j] + half, "right") for j, p in enumerate(self.places)], 1)
             going = []
             for row, q in enumerate(active.tolist()):
-                fresh = np.flatnonzero((self.collisions(low[row], high[row]) >= needed) & ~done[q])
+                gained = [o[a:b] for o, a, b in zip(self.order, left[row].tolist(), low[q].tolist()) if a < b]
+                gained += [o[a:b] for o, a, b in zip(self.order, high[q].tolist(), right[row].tolist()) if a < b]
+                low[q], high[q] = np.minimum(low[q], left[row]), np.maximum(high[q], right[row])
+                if gained:
+                    met = np.concatenate(gained)
+                    self.touched += len(met)
+                    seen[q] += np.bincount(met, minlength=n).astype(np.uint8)
+                fresh = np.flatnonzero((seen[q] >= needed) & ~done[q])
                 if len(fresh):
+                    self.verified += len(fresh)
                     done[q, fresh] = True
                     found[q].append(fresh)
                     scores[q].append(self.vectors[fresh] @ queries[q])
@@ -91,7 +105,7 @@ class Block:
                 going.append(q)
             active = np.array(going, np.int64)
             radius[active] *= GROWTH
-        return [self._best(queries[q], np.concatenate(found[q] or [np.zeros(0, np.int64)]), np.concatenate(scores[q] or [np.zeros(0)]), k) for q in range(len(query_ids))]
+        return [self._best(queries[q], np.concatenate(found[q] or [np.zeros(0, np.int64)]), np.concatenate(scores[q] or [np.zeros(0)]), k) for q in range(count)]
 
     def _best(self, query: np.ndarray, found: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         if len(found) > k:  # a little more than k, for ties that rounding hides
@@ -108,16 +122,16 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda x: x != 0)
 
 
-def _build(longest: float):
+def _build(longest: float, k: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for a in range(0, len(frame), 2 * BLOCK - 1):  # more only if one id is repeated without end
             part = frame.iloc[a : a + 2 * BLOCK - 1]
             ids = part["vec_id"].to_numpy(np.int64)
             vectors = np.array(part["v"].tolist(), np.float64)
-            block = Block(ids, vectors, longest)
-            rows.append([int(part["block"].iloc[0]), len(ids), *[x.tobytes() for x in (ids, vectors, block.ranks, block.places)]])
-        return pd.DataFrame(rows, columns=["block", "rows", "p0", "p1", "p2", "p3"])
+            block = Block(ids, vectors, longest, k)
+            rows.append([int(part["block"].iloc[0]), len(ids), block.first, *[x.tobytes() for x in (ids, vectors, block.order, block.places)]])
+        return pd.DataFrame(rows, columns=["block", "rows", "first", "p0", "p1", "p2", "p3"])
 
     return run
 
@@ -127,7 +141,8 @@ def _restored(row, longest: float) -> Block:
     block.longest = longest
     block.ids = np.frombuffer(row.p0, np.int64)
     block.vectors = np.frombuffer(row.p1, np.float64).reshape(row.rows, -1)
-    block.ranks = np.frombuffer(row.p2, np.uint16).reshape(-1, row.rows)
+    block.first = row.first
+    block.order = np.frombuffer(row.p2, np.uint16).reshape(-1, row.rows)
     block.places = np.frombuffer(row.p3, np.float64).reshape(-1, row.rows)
     block.axes = directions(block.vectors.shape[1] + 1)
     return block
@@ -148,11 +163,11 @@ def _search(longest: float, k: int):
     return run
 
 
-def build_index(vectors: DataFrame, rows: int, longest: float) -> DataFrame:
+def build_index(vectors: DataFrame, rows: int, longest: float, k: int) -> DataFrame:
     """One row per block, written to the shared folder."""
     blocks = max(1, -(-rows // BLOCK))
     dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    return materialize(dealt.groupBy("block").applyInPandas(_build(longest), "block int, rows int, p0 binary, p1 binary, p2 binary, p3 binary"), "index")
+    return materialize(dealt.groupBy("block").applyInPandas(_build(longest, k), "block int, rows int, first double, p0 binary, p1 binary, p2 binary, p3 binary"), "index")
 
 
 def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, vector: str = "embedding", row_id: str = "vec_id") -> DataFrame:
@@ -166,7 +181,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, vector: str =
     stats = rows.agg(F.sqrt(F.max(norm)), F.count(F.lit(1)), F.count(F.when(F.col("_query"), 1))).first()
     longest, n, asked = float(stats[0] or 0), stats[1], stats[2]
     blocks, groups = max(1, -(-n // BLOCK)), max(1, -(-asked // GROUP))
-    index = build_index(rows.select("vec_id", "v"), n, longest).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    index = build_index(rows.select("vec_id", "v"), n, longest, k).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     queries = rows.where("_query").select("vec_id", "v").dropDuplicates(["vec_id"]).withColumn("grp", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int"))
     queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     found = index.groupBy("block", "grp").cogroup(queries.groupBy("block", "grp")).applyInPandas(_search(longest, k), "query_id long, vec_id long, score double")
