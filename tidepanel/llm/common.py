@@ -18,6 +18,8 @@ from ..sources.scratch import settled as materialize
 BLANKS = " \t\n\x0b\x0c\r"
 #: A word, for regular expressions of Java, RE2 and Python.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key with more rows may be hot: it is broadcast, or split.
+HOT = 1_000
 
 
 def give_back() -> None:
@@ -48,6 +50,25 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def hot_keys(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``key, n`` for the keys with more than ``max(HOT, rows / 100,000)`` of the ``rows`` rows of ``df``: below 100,000 keys, so they can be broadcast."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(HOT, rows // 100_000))
+    return F.broadcast(materialize(counts, "hot"))
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null text has none."""
     flat = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import HOT, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -13,22 +13,35 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
+def _with_least(pairs: DataFrame, rows: int) -> DataFrame:
+    """``x, y, m`` for the ``rows`` of ``pairs(x, y)``, ``m`` the least ``y`` of each ``x``. Nodes of many pairs get it by broadcast, where the pairs lie."""
+    least = pairs.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("_n"))
+    if rows <= HOT:
+        return pairs.join(least.drop("_n"), "x")
+    least = materialize(least, "least")
+    many = F.col("_n") > max(HOT, rows // 100_000)  # so below 100,000 nodes
+    hot, cold = F.broadcast(least.where(many).drop("_n")), least.where(~many).drop("_n")
+    if hot.isEmpty():
+        return pairs.join(cold, "x")
+    return pairs.join(hot, "x").unionByName(pairs.join(hot, "x", "left_anti").join(cold, "x"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for each node of ``edges(a, b)``; the component is its smallest node.
 
     Each round joins every node's larger neighbours to its smallest one, then its smaller neighbours likewise, until
-    nothing changes: about log(n) rounds. Smallest neighbours are found with map-side aggregation, and the joins'
-    hot nodes are left to the adaptive skew handling.
+    nothing changes: about log(n) rounds. Smallest neighbours are found with map-side aggregation; the pairs of a node that
+    has many stay where they are.
     """
     now = edges.where("a != b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct()
     now = materialize(now, "edges")
     before = _state(now)
     while before[0]:
-        both = now.union(now.select("y", "x"))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
-        low = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(low, "x").select(F.explode(F.array(F.struct(F.col("x"), F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.*")
+        both = now.union(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        least = _with_least(both, 2 * before[0]).select("x", "y", F.least("x", "m").alias("m"))
+        large = materialize(least.where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct(), "large")
+        low = _with_least(large, before[0])
+        small = low.select(F.explode(F.array(F.struct(F.col("x"), F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.*")
         now = materialize(small.where("x != y").distinct(), "edges")
         after = _state(now)
         if after == before:

@@ -14,7 +14,7 @@ Bands of ROWS coordinates make buckets. The links between documents of a bucket
 So a large group of copies costs one comparison a member, and no bucket is capped.
 
 Defined results: null and empty texts have no shingles and link with nothing; a text of fewer words than a shingle is
-one shingle; repeated rows share a class; rows without an id only follow others' classes; an empty table gives an empty
+one shingle; a text of any length gives its whole set, held in one task; repeated rows share a class; rows without an id only follow others' classes; an empty table gives an empty
 table; other columns are ignored.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, materialize, small_side
+from .common import HOT, columns_of, hot_keys, in_arrow, materialize, small_side, unused
 from .components import components
 from .shingles import drop_powers, mix, shingle_sets, slices, text_buffers
 
@@ -41,7 +41,7 @@ SLICE = 1 << 20
 #: Documents in a block of the exact comparison.
 BLOCK = 256
 #: Up to so many ids are broadcast to pick their texts from a scan; more are joined.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 250_000
 _U = np.uint64
 
 
@@ -123,8 +123,13 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> Data
     """Those of ``pairs(a, b)`` whose full sets share ``threshold`` per cent of their union."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = materialize(sets_of(texts, ids, k), "sets")
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("_s")), sets.select(F.col("doc_id").alias("b"), F.col("items").alias("_t"))
-    both = pairs.join(left, "a").join(right, "b")
+    # the pairs of an ``a`` that has many are split, and its set goes to each part
+    hot = hot_keys(pairs, "a", pairs.count()).select("a", F.ceil(F.col("n") / HOT).alias("_splits"))
+    dealt = pairs.join(hot, "a", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("b"), F.col("_splits")), F.lit(0).cast("long"))).drop("_splits")
+    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("_s")).join(hot, "a", "left")
+    left = left.select("a", "_s", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_splits", F.lit(1)).cast("long") - 1)).alias("_salt"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("_t"))
+    both = dealt.join(left, ["a", "_salt"]).join(right, "b")
     common = F.size(F.array_intersect("_s", "_t"))
     return both.where(common * 100 >= (F.size("_s") + F.size("_t") - common) * threshold).select("a", "b").distinct()
 
@@ -180,7 +185,7 @@ def group_links(groups: DataFrame, texts: DataFrame, k: int, threshold: int) ->
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: int = THRESHOLD, text: str = "text", row_id: str = "doc_id", rows: int = ROWS, count: int = BANDS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``; links are sets that share ``threshold`` per cent of their union."""
-    texts = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(f"`{row_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     drawn = materialize(in_arrow(texts, _sketched(k, rows, count), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>", drop_powers), "sketches")
     prints = ["n_shingles", "fp1", "fp2"]
     classes = drawn.where("n_shingles > 0").groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -213,13 +218,17 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: int = THRESHOLD,
 
 
 def deduplicate(docs: DataFrame, *, k: int = 5, threshold: int = THRESHOLD, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that of the smallest id. Rows without an id stay."""
+    """``docs`` with one row of each group of near-duplicates: that of the smallest id. Rows without an id stay.
+
+    Rows that share an id are one document: they stay or go together, and of those with equal texts one stays.
+    """
     judged = near_duplicates(docs, k=k, threshold=threshold, text=text, row_id=row_id)
-    gone = materialize(judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    left = docs.join(small_side(gone, BROADCAST_IDS), F.col(row_id) == F.col("_gone"), "left_anti")
-    twice = materialize(docs.where(F.col(row_id).isNotNull()).groupBy(F.col(row_id).alias("_twice")).count().where("count > 1").select("_twice"), "twice")
+    key, own = unused(docs, "_key"), F.col(f"`{row_id}`")
+    gone = materialize(judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(key)).distinct(), "gone")
+    left = docs.join(small_side(gone, BROADCAST_IDS), own == F.col(key), "left_anti")
+    twice = materialize(docs.where(own.isNotNull()).groupBy(own.alias(key)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "twice")
     if twice.isEmpty():
         return left
     twice = small_side(twice, BROADCAST_IDS)
-    once = left.join(twice, F.col(row_id) == F.col("_twice"), "left_anti")
-    return once.unionByName(left.join(twice, F.col(row_id) == F.col("_twice"), "left_semi").dropDuplicates([row_id]))
+    again = left.join(twice, own == F.col(key), "left_semi").withColumn(key, F.xxhash64(own, F.col(f"`{text}`"))).dropDuplicates([row_id, text] if not {".", "`"} & set(row_id + text) else [key])
+    return left.join(twice, own == F.col(key), "left_anti").select(*columns_of(docs)).union(again.select(*columns_of(docs)))

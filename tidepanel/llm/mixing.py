@@ -7,7 +7,7 @@ first), the sums accumulated per source, and rows accumulated inside their range
 is spread over as many tasks as it has ranges.
 
 Defined results: null text has size 0 and takes 0; a null source is a source, the last; sources whose sizes are all 0
-have target 0; repeated rows count each; an empty table gives an empty table; other columns are ignored.
+have target 0; a text of any length is counted whole; repeated rows count each; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side, word_count
+from .common import columns_of, materialize, small_side, unused, word_count
 
 #: No target exceeds this many epochs of its source.
 MAX_EPOCHS = 3
@@ -69,17 +69,17 @@ def source_budgets(sizes: DataFrame, weights: Sequence[int], share: float = 1.0)
 
 
 def _row_keys(text: str, source: str, row_id: str, seed: str) -> dict[str, Column]:
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(row_id).cast("string"), F.lit(""))).cast("binary"))
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(f"`{row_id}`").cast("string"), F.lit(""))).cast("binary"))
     return {
-        "_key": F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("t")),  # a null source comes after all others
-        "_size": word_count(F.col(text)), "_hash": digest,
+        "_key": F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`")), F.lit("t")),  # a null source comes after all others
+        "_size": word_count(F.col(f"`{text}`")), "_hash": digest,
     }
 
 
 def _dealt(docs: DataFrame, weights: Sequence[int], share: float, seed: str, text: str, source: str, row_id: str) -> DataFrame:
     """Each row's key, size, hash, its source's figures, and ``_part``: the words of the last, partial epoch."""
     keys = _row_keys(text, source, row_id, seed)
-    sizes = materialize(docs.select(F.col(row_id).alias("doc_id"), *[c.alias(n) for n, c in keys.items()]), "sizes")
+    sizes = materialize(docs.select(F.col(f"`{row_id}`").alias("doc_id"), *[c.alias(n) for n, c in keys.items()]), "sizes")
     budgets = small_side(materialize(source_budgets(sizes, weights, share), "budgets"), BROADCAST_SOURCES)
     spot = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long")
     rows = sizes.join(budgets, "_key").withColumn("_range", F.shiftright(spot * F.col("_ranges"), 32))
@@ -114,10 +114,12 @@ def mix_rows(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share: floa
     rows = _dealt(docs, weights, share, seed, text, source, row_id)
     place = F.struct("_hash", "doc_id", "_size")
     cuts = rows.groupBy("_key").agg(F.max("_epochs").alias("_epochs"), F.max(F.when(F.col("_part") > 0, place)).alias("_cut"))
-    cuts = small_side(materialize(cuts.select(F.col("_key").alias("_mix_key"), F.col("_epochs").alias("_mix_epochs"), F.col("_cut").alias("_mix_cut")), "cuts"), BROADCAST_SOURCES)
+    mine, theirs, epochs, cut, copy = (unused(docs, f"_mix_{n}") for n in ("mine", "key", "epochs", "cut", "copy"))
+    cuts = small_side(materialize(cuts.select(F.col("_key").alias(theirs), F.col("_epochs").alias(epochs), F.col("_cut").alias(cut)), "cuts"), BROADCAST_SOURCES)
     keys = _row_keys(text, source, row_id, seed)
-    own = docs.withColumns({"_mix_own": F.struct(keys["_hash"].alias("_hash"), F.col(row_id).alias("doc_id"), keys["_size"].alias("_size")), "_mix_mine": keys["_key"]})
-    own = own.join(cuts, F.col("_mix_mine") == F.col("_mix_key"))
-    once = F.coalesce((F.col("_mix_own") <= F.col("_mix_cut")) & (F.col("_mix_own._size") > 0), F.lit(False)).cast("long")
-    copies = F.col("_mix_epochs") + once
-    return own.withColumn("_mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<bigint>")))).select(*docs.columns)
+    own = F.struct(keys["_hash"].alias("_hash"), F.col(f"`{row_id}`").alias("doc_id"), keys["_size"].alias("_size"))
+    dealt = docs.withColumn(mine, F.struct(own.alias("place"), keys["_key"].alias("key")))
+    dealt = dealt.join(cuts, F.col(mine)["key"] == F.col(theirs))
+    once = F.coalesce((F.col(mine)["place"] <= F.col(cut)) & (F.col(mine)["place"]["_size"] > 0), F.lit(False)).cast("long")
+    copies = F.col(epochs) + once
+    return dealt.withColumn(copy, F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<bigint>")))).select(*columns_of(docs))
