@@ -10,7 +10,7 @@ gives an empty table; repeated rows are each judged; other columns of the input
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -69,6 +69,19 @@ def pattern_rule(pattern: str, verdict: str) -> Rule:
     return Rule(pattern, verdict, False, regex, tuple(dict.fromkeys(tokens)), 1_000_000 * (verdict == "allow") + len(pattern))
 
 
+def read_rules(lines: Iterable[str]) -> list[Rule]:
+    """The rules of a list, a line each: a pattern, or ``site:`` and a host with the start of a path; ``@@`` before either allows instead of blocking.
+    Empty lines and those that begin with ``!`` or ``#`` are skipped."""
+    rules = []
+    for line in map(str.strip, lines):
+        if not line or line[0] in "!#":
+            continue
+        verdict = "allow" if line.startswith("@@") else "block"
+        body = line.removeprefix("@@")
+        rules.append(site_rule(body.removeprefix("site:").strip(), verdict) if body.startswith("site:") else pattern_rule(body, verdict))
+    return rules
+
+
 def host_of(url: Column) -> Column:
     host = F.regexp_extract(url, r"://([^/?#]*)", 1)
     return F.coalesce(F.translate(host, UPPER, LOWER), F.lit(""))
