@@ -4,6 +4,7 @@ import datetime
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidepanel.operators import drift, metrics, panel, universe, walkforward
 
@@ -126,9 +127,10 @@ def test_closed_form_is_the_sequential_run(spark):
 def test_wiped_out_portfolio_is_stepped(spark):
     px = prices(spark, a=[1, 1, 2.5, 2.5, 5])
     short = weights(spark, [(0, 0, -1)])
-    held_rows = drift.positions(drift.schedule(short, px, lag=0), px)
-    assert drift.wiped_out(held_rows)
-    last = drift.backtest(short, px, freq=12, lag=0, careful=True).orderBy("t").collect()[-1]
+    both = short.unionByName(short.withColumn("strategy", F.lit("long")).withColumn("w", -short["w"]))
+    curves = drift.backtest(both, px, freq=12, lag=0)
+    last = curves.where("strategy = 's'").orderBy("t").collect()[-1]
+    assert curves.where("strategy = 'long'").orderBy("t").collect()[-1]["equity"] == pytest.approx(5.0) and curves.count() == 10
     # the loss of 150 % turns the value negative and stops the drift: the short of 1 then loses 100 % more, of -0.5
     assert last["equity"] == pytest.approx((1 - 1.5) * (1 - 1.0))
 

@@ -3,7 +3,7 @@
 Between two executions holdings only grow with their returns, so a segment has a closed form: with growth G of a name
 since the execution and V = 1 + sum w (G - 1), its weight is w G / V and the portfolio's return V / V before. So the
 engine is windows by ticker and segment, by date, and by ticker, without a loop. It holds while V stays positive;
-:func:`wiped_out` tells, and :func:`sequential` steps through the dates instead, where a lost portfolio stops drifting.
+:func:`backtest` looks for that, and sends such strategies to :func:`sequential`, where a lost portfolio stops drifting.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settled
 from .returns import simple_returns
 from .universe import align_rates
 
@@ -60,7 +61,7 @@ def positions(targets: DataFrame, panel: DataFrame, cost: DataFrame | float = 0.
 
 
 def curve(held: DataFrame, *, freq: float = 252, short_mult: float = 1.5) -> DataFrame:
-    """``strategy, t, date, equity, turnover, cost_frac, borrow_frac`` (turnover one way) from :func:`positions`."""
+    """``strategy, t, date, equity, turnover, cost_frac, borrow_frac`` (turnover one way) from :func:`positions`; ``lowest`` is a value since the execution, not positive where the form fails."""
     change = F.abs(F.col("held") - F.col("before"))
     penalty = F.when(F.col("held") < 0, F.lit(short_mult)).otherwise(F.lit(1.0))
     owed = F.when((F.col("held") < 0) & (F.col("t") > 0), -F.col("held") * F.col("bf") / freq).otherwise(F.lit(0.0))
@@ -72,12 +73,7 @@ def curve(held: DataFrame, *, freq: float = 252, short_mult: float = 1.5) -> Dat
     factors = sums.withColumns({"cost_frac": F.least(F.col("cost"), F.lit(CAP)), "borrow_frac": F.least(F.col("owed"), F.lit(CAP))})
     step = F.when(F.col("t") > 0, F.col("v") / F.col("v0")).otherwise(F.lit(1.0)) * (1 - F.col("cost_frac")) * (1 - F.col("borrow_frac"))
     equity = F.product(step).over(W.partitionBy("strategy").orderBy("t").rowsBetween(W.unboundedPreceding, 0))
-    return factors.withColumn("equity", equity).select("strategy", "t", "date", "equity", (F.col("traded") / 2).alias("turnover"), "cost_frac", "borrow_frac")
-
-
-def wiped_out(held: DataFrame) -> bool:
-    """Whether some portfolio's value falls to zero or below within a segment, so that the closed form doesn't hold."""
-    return not held.where("v <= 0").isEmpty()
+    return factors.withColumn("equity", equity).select("strategy", "t", "date", "equity", (F.col("traded") / 2).alias("turnover"), "cost_frac", "borrow_frac", F.least("v", "v0").alias("lowest"))
 
 
 def sequential(targets: DataFrame, panel: DataFrame, cost: DataFrame | float = 0.0, borrow: DataFrame | float = 0.0, *, freq: float = 252, short_mult: float = 1.5) -> DataFrame:
@@ -109,13 +105,15 @@ def sequential(targets: DataFrame, panel: DataFrame, cost: DataFrame | float = 0
     return _grid(targets, panel, cost, borrow).groupBy("strategy").applyInPandas(follow, schema)
 
 
-def backtest(weights: DataFrame, panel: DataFrame, *, freq: float = 252, lag: int = 1, signal_dates: DataFrame | None = None, cost: DataFrame | float = 0.0, borrow: DataFrame | float = 0.0, short_mult: float = 1.5, careful: bool = False) -> DataFrame:
-    """The curve of each strategy of ``weights(strategy, t, ticker, w)``. ``careful`` looks for wiped-out portfolios first and then steps."""
+def backtest(weights: DataFrame, panel: DataFrame, *, freq: float = 252, lag: int = 1, signal_dates: DataFrame | None = None, cost: DataFrame | float = 0.0, borrow: DataFrame | float = 0.0, short_mult: float = 1.5) -> DataFrame:
+    """The curve of each strategy of ``weights(strategy, t, ticker, w)``. Strategies that are ever wiped out are stepped through, the others are in closed form."""
     targets = schedule(weights, panel, lag=lag, signal_dates=signal_dates)
-    held = positions(targets, panel, cost, borrow)
-    if careful and wiped_out(held):
-        return sequential(targets, panel, cost, borrow, freq=freq, short_mult=short_mult)
-    return curve(held, freq=freq, short_mult=short_mult)
+    curves = settled(curve(positions(targets, panel, cost, borrow), freq=freq, short_mult=short_mult), "curves")  # a row a strategy and date
+    lost = settled(curves.where("lowest <= 0").select("strategy").distinct(), "lost")
+    if lost.isEmpty():
+        return curves.drop("lowest")
+    stepped = sequential(targets.join(F.broadcast(lost), "strategy", "left_semi"), panel, cost, borrow, freq=freq, short_mult=short_mult)  # a row a strategy
+    return curves.join(F.broadcast(lost), "strategy", "left_anti").drop("lowest").unionByName(stepped)
 
 
 def hold(panel: DataFrame, fixed: DataFrame, strategy: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,20 +16,17 @@ def taps(d: float, threshold: float = 1e-4, max_lags: int = 60) -> list[float]:
     """The filter's weights, up to the first below ``threshold`` in size."""
     if not 0 <= d <= 2:
         raise ValueError("d must lie in [0, 2]")
-    out = [1.0]
-    for k in range(1, max_lags):
-        nxt = -out[-1] * (d - k + 1) / k
-        if abs(nxt) < threshold:
-            break
-        out.append(nxt)
-    return out
+    lags = np.arange(1, max_lags)
+    weights = np.concatenate([[1.0], np.cumprod((lags - 1 - d) / lags)])
+    small = np.flatnonzero(np.abs(weights[1:]) < threshold)
+    return weights[: 1 + small[0] if len(small) else max_lags].tolist()
 
 
 def tap_table(spark: SparkSession, orders: Sequence[float], threshold: float = 1e-4, max_lags: int = 60) -> DataFrame:
     """``d, k, w`` of several orders, as a running product."""
     by = W.partitionBy("d").orderBy("k")
     grid = spark.range(max_lags).select(F.col("id").cast("int").alias("k"), F.explode(F.array(*[F.lit(float(d)) for d in orders])).alias("d"))
-    factor = F.when(F.col("k") == 0, F.lit(1.0)).otherwise(-(F.col("d") - F.col("k") + 1) / F.col("k"))
+    factor = F.when(F.col("k") == 0, F.lit(1.0)).otherwise((F.col("k") - 1 - F.col("d")) / F.col("k"))
     weights = grid.withColumn("w", F.product(factor).over(by.rowsBetween(W.unboundedPreceding, 0)))
     ended = F.max((F.abs("w") < threshold).cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0))
     return weights.withColumn("_ended", ended).where("_ended = 0").select("d", "k", "w")

@@ -10,10 +10,12 @@ from ..operators.returns import model_returns, pnl_prices
 from ..sources.scratch import settled
 from ..sources.tables import month_panel, smooth_panel
 from .catalog import query, round_all
-from .model_queries import DENSE, LAGS, P3, SPREAD, THRESHOLD, spreads, weights_on
+from .model_queries import DENSE, P3, SPREAD, THRESHOLD, spreads, weights_on
 from .panel_queries import FEES, FLOORS, TIERS, tier_case
 
 FREQ = 12
+#: Taps of the comparison: with 60 and 12 months of slope, a panel of 71 months would leave nothing to train on.
+SHORT_LAGS = 12
 
 
 def targets_of(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -217,7 +219,7 @@ def compared_weights(source: DataFrame, min_train: int = 24, seeds: int = 20, tr
     first = features.FIRST + min_train
     masks = settled(universe.eligibility(source, **FLOORS), "masks")
     bench = bench_weights(source, masks, first)
-    learned = settled(model.model_weights(source, min_train=min_train, last=36, seeds=seeds, trees=trees, masks=masks, threshold=THRESHOLD, max_lags=LAGS), "learned")
+    learned = settled(model.model_weights(source, min_train=min_train, last=36, seeds=seeds, trees=trees, masks=masks, threshold=THRESHOLD, max_lags=SHORT_LAGS), "learned")
     decay = execution.acf1(learned.select("t", "ticker", F.col("w").alias("signal")), ["ticker"]).agg(F.avg("phi")).first()[0]
     adjusted = execution.run_policies(learned, {"adjusted": execution.Policy()}, 0.65 if decay is None else decay)
     named = [frame.select(F.lit(name).alias("strategy"), "t", "ticker", "w") for name, frame in (("momentum", bench), ("model", learned), ("adjusted", adjusted))]

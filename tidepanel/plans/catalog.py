@@ -30,6 +30,6 @@ def round_all(frame: DataFrame, digits: Mapping[str, int]) -> DataFrame:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import backtest_queries, model_queries, panel_queries  # noqa: F401
+    from . import backtest_queries, model_queries, panel_queries, research_queries  # noqa: F401
 
     return QUERIES, ORACLES

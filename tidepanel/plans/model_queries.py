@@ -13,7 +13,7 @@ from .catalog import query, round_all
 from .panel_queries import ELIGIBLE, FLOORS, SIGNAL
 from .sql import LABELS, P1, P3, RET_GAP, RET_MODEL, z_columns
 
-THRESHOLD, LAGS = 1e-5, 12
+THRESHOLD, LAGS = 1e-5, 60
 
 
 def taps_sql(orders: str, threshold: str = "1e-4", lags: int = 60) -> str:
@@ -197,7 +197,7 @@ def made_up_probabilities(source: DataFrame) -> DataFrame:
 
 PROBS = """,
 c AS (SELECT k::INT AS k, coalesce(avg(ret), 0) AS mu, coalesce(var_samp(ret), 1e-4) AS sigma2 FROM range(10) g(k) LEFT JOIN l ON label = k GROUP BY k),
-o AS (SELECT t, ticker, k, (1 + (ticker * 7 + t * 13 + (k + 1) * 29) % 17)::DOUBLE AS r FROM p CROSS JOIN c WHERE t >= 60),
+o AS (SELECT t, ticker, k, (1 + (ticker * 7 + t * 13 + (k + 1) * 29) % 17)::DOUBLE AS r FROM p CROSS JOIN c),
 b AS (SELECT t, ticker, k, r / sum(r) OVER (PARTITION BY t, ticker) AS q FROM o),
 e AS (SELECT t, ticker, sum(q * CASE WHEN k < 5 THEN 5 - k ELSE 4 - k END) AS dpr, sum(q * mu) AS mean, sum(q * (sigma2 + mu * mu)) AS second FROM b JOIN c USING (k) GROUP BY 1, 2)"""
 SCORES = P1 + RET_MODEL + LABELS + PROBS
@@ -206,7 +206,7 @@ SCORES = P1 + RET_MODEL + LABELS + PROBS
 def scored(spark, sf_dir) -> DataFrame:
     source = month_panel(spark, sf_dir)
     stats = features.class_stats(features.decile_labels(returns.model_returns(source)))
-    return scoring.with_scores(made_up_probabilities(source.where("t >= 60")), stats)
+    return scoring.with_scores(made_up_probabilities(source), stats)
 
 
 @query("score_dpr", SCORES + " SELECT t, ticker, round(dpr, 6) AS score FROM e")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rows
 from ..operators.panel import densify
+from .scratch import settled
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +23,7 @@ def month_facts(spark: SparkSession, sf_dir: str, key: str = "l_suppkey") -> Dat
 
 def month_panel(spark: SparkSession, sf_dir: str, key: str = "l_suppkey") -> DataFrame:
     """The dense panel of :func:`month_facts`."""
-    return densify(month_facts(spark, sf_dir, key))
+    return densify(settled(month_facts(spark, sf_dir, key), "months"))  # for names, calendar and cells: one scan of the lines
 
 
 def smooth_panel(spark: SparkSession, sf_dir: str, first: int = 12) -> DataFrame:
