@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, materialize
+from .common import materialize
+
+#: Pairs (16 bytes each) that one task may get for one node; nodes of more are broadcast.
+HOT = 100_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -39,7 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = now.union(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = _with_least(both, 2 * before[0]).select("x", "y", F.least("x", "m").alias("m"))
-        large = materialize(least.where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct(), "large")
+        large = least.where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        large = materialize(large, "large") if before[0] > HOT else large
         low = _with_least(large, before[0])
         small = low.select(F.explode(F.array(F.struct(F.col("x"), F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.*")
         now = materialize(small.where("x != y").distinct(), "edges")
