@@ -11,9 +11,11 @@ from .common import materialize
 HOT = 100_000
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("x", "y"))).first()
-    return row[0], row[1]
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node of ``edges(x, y)`` has one smaller neighbour at most, which has none itself."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("x").alias("node"), F.lit(1).alias("up")), F.struct(F.col("y").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    wrong = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 or (ups = 1 and least = 0)")
+    return wrong.agg(F.count(F.lit(1))).first()[0] == 0
 
 
 def _with_least(pairs: DataFrame, rows: int) -> DataFrame:
@@ -33,22 +35,18 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for each node of ``edges(a, b)``; the component is its smallest node.
 
     Each round joins every node's larger neighbours to its smallest one, then its smaller neighbours likewise, until
-    nothing changes: about log(n) rounds. Smallest neighbours are found with map-side aggregation; the pairs of a node that
-    has many stay where they are.
+    every node hangs on its component's smallest: about log(n) rounds. Smallest neighbours are found with map-side
+    aggregation; the pairs of a node that has many stay where they are.
     """
     now = edges.where("a != b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct()
     now = materialize(now, "edges")
-    before = _state(now)
-    while before[0]:
+    while not _are_stars(now):
+        count = now.count()
         both = now.union(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = _with_least(both, 2 * before[0]).select("x", "y", F.least("x", "m").alias("m"))
+        least = _with_least(both, 2 * count).select("x", "y", F.least("x", "m").alias("m"))
         large = least.where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
-        large = materialize(large, "large") if before[0] > HOT else large
-        low = _with_least(large, before[0])
+        large = materialize(large, "large") if count > HOT else large
+        low = _with_least(large, count)
         small = low.select(F.explode(F.array(F.struct(F.col("x"), F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.*")
         now = materialize(small.where("x != y").distinct(), "edges")
-        after = _state(now)
-        if after == before:
-            break
-        before = after
     return now.select(F.col("x").alias("node"), F.col("y").alias("component")).union(now.select(F.col("y").alias("node"), F.col("y").alias("component")).distinct())

@@ -208,8 +208,8 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: int = THRESHOLD,
     left = buckets.join(mixed, "band", "left_semi").where("doc_id != low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
     left = materialize(left, "left")
     if not left.isEmpty():
-        links = links.union(group_links(components(left), texts, k, threshold))
-        found = components(links)
+        stars = found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = components(stars.union(group_links(components(left), texts, k, threshold)))
     found = materialize(found, "components")
     out = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
