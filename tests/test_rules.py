@@ -101,6 +101,30 @@ def test_policy_parameters():
     assert aim == pytest.approx(np.array([0.5, 0.5]) * policy.aim_weight(0.65))
 
 
+@pytest.mark.parametrize("span", [3, 128])
+def test_policies_step_by_step(spark, monkeypatch, span):
+    monkeypatch.setattr(execution, "SPAN", span)
+    monkeypatch.setattr(execution, "CELLS", 40)
+    rng = np.random.default_rng(3)
+    wide = rng.standard_normal((11, 17)) * (rng.random((11, 17)) > 0.4)
+    wide[:2] = 0  # nothing to hold at first
+    rows = spark.createDataFrame([(t, k, float(wide[t, k])) for t in range(11) for k in range(17) if wide[t, k] or t == 0], "t int, ticker long, w double").repartition(3)
+    phi = spark.createDataFrame([(4, 0.3), (6, None), (9, 0.9), (99, 0.1)], "t int, phi double")
+    decay = [0.65] * 4 + [0.3] * 5 + [0.9] * 2
+    policies = {"slow": execution.Policy(cost=10.0), "fast": execution.Policy(cost=0.5, gross=1.5), "base": execution.Policy()}
+    got = {(r["run"], r["t"], r["ticker"]): r["w"] for r in execution.run_policies(rows, policies, phi).collect()}
+    days = sorted({t for _, t, _ in got})
+    assert days == [0, *range(2, 11)] and len(got) == 3 * len(days) * 17
+    for name, policy in policies.items():
+        held = np.zeros(17)
+        for t in days:
+            held = (1 - policy.fraction) * held + policy.fraction * policy.aim_weight(decay[t]) * wide[t]
+            if np.abs(held).sum() > 0:
+                held *= policy.gross / np.abs(held).sum()
+            assert [got[name, t, k] for k in range(17)] == pytest.approx(held.tolist(), abs=1e-12)
+    assert execution.run_policies(rows.limit(0), policies, 0.65).count() == 0
+
+
 def test_shorts_only_among_shortable(spark):
     rows = frame(spark, [(0, k, float(k)) for k in range(30)], "signal double")
     masks = spark.createDataFrame([(0, k, k in (7, 9)) for k in range(30)], "t int, ticker long, shortable boolean")

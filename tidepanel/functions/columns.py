@@ -42,11 +42,6 @@ def clipped(x: Column, low: Column | float, high: Column | float) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, low), high))
 
 
-def z_score(x: Column, floor: float = 1e-10) -> Column:
-    """Standard score across tickers, the sample deviation raised by ``floor``."""
-    return (x - F.avg(x).over(by_time())) / (F.stddev_samp(x).over(by_time()) + floor)
-
-
 def percent_rank_ties(x: Column) -> Column:
     """Average rank of ties divided by the number of values; null for null."""
     by = by_time()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settled
+
+#: Dates whose scales are found together; and cells of targets that a task holds at a time.
+SPAN, CELLS = 128, 2_000_000
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -63,35 +69,106 @@ def rolling_acf1(signals: DataFrame, window: int = 24) -> DataFrame:
     return acf1(dealt.select("end", "t", "ticker", "signal"), ["end", "ticker"]).groupBy(F.col("end").alias("t")).agg(F.avg("phi").alias("phi"))
 
 
+def _paths(w: np.ndarray, scales: np.ndarray, pull: np.ndarray, stay: float, last: int) -> Iterator[np.ndarray]:
+    """For each date below ``last`` the positions before they are scaled, of a matrix of targets (name, date)."""
+    held = np.zeros(len(w))
+    for t in range(last):
+        wanted = stay * held + pull[t] * w[:, t]
+        yield wanted
+        held = wanted * scales[t]
+
+
+def _signed_sums(w: np.ndarray, scales: np.ndarray, pull: np.ndarray, stay: float, a: int, b: int) -> np.ndarray:
+    """For the dates a to b - 1, the sums over names of their position's sign times what they held at a and times each date's target."""
+    paths = _paths(w, scales, pull, stay, b)
+    held = np.zeros(len(w))
+    for t in range(a):
+        held = next(paths) * scales[t]
+    signs = np.sign(np.stack(list(paths), axis=1))
+    return signs.T @ np.column_stack([stay * held, w[:, a:b] * pull[a:b]])
+
+
+def _solved(sums: np.ndarray, stay: float, gross: float) -> np.ndarray:
+    """The scale of each date, given the signs: every gross exposure is a sum of ``sums``, weighted by the scales before it."""
+    n = len(sums)
+    scales, weights = np.ones(n), np.zeros(n + 1)
+    weights[0] = 1.0
+    for i in range(n):
+        weights[i + 1] = 1.0
+        size = sums[i] @ weights
+        scales[i] = gross / size if size > 0 else 1.0
+        weights *= stay * scales[i]
+    return scales
+
+
 def run_policies(targets: DataFrame, policies: dict[str, Policy], phi: DataFrame | float) -> DataFrame:
     """``run, t, ticker, w``: positions of each policy that follow the dense ``targets(t, ticker, w)`` from zero.
 
-    Each step goes the policy's fraction towards the discounted target and is scaled to the gross exposure, which makes
-    it sequential; a run is one group, and a sweep's runs go side by side. ``phi`` is a number, or ``(t, phi)`` where
-    dates without one keep the last known, at first 0.65.
+    Each step goes the policy's fraction towards the discounted target and is scaled to the gross exposure. ``phi`` is a
+    number, or ``(t, phi)`` where dates without one keep the last known, at first 0.65.
+
+    Only one scale a run and date ties names together. Given each position's sign, all gross exposures are sums over
+    names that don't depend on the scales, so these follow one from the other; with them come new signs, and so on until
+    the scales stay. A date's scale is right once those before it are, so this ends, mostly after a few turns. Rows are
+    spread by ticker; to the driver come dates, and for ``SPAN`` of them at a time a square of sums a run.
     """
     spark = targets.sparkSession
-    table = spark.createDataFrame([(name, p.risk, p.cost, p.discount, p.gross) for name, p in policies.items()], "run string, risk double, cost double, discount double, gross double")
-    known = targets.select("t", "ticker", F.coalesce("w", F.lit(0.0)).alias("w"))
-    if isinstance(phi, DataFrame):
-        known = known.join(F.broadcast(phi.select("t", "phi")), "t", "left")  # one row a date
-    else:
-        known = known.withColumn("phi", F.lit(float(phi)))
-
-    def follow(frame: pd.DataFrame) -> pd.DataFrame:
-        first = frame.iloc[0]
-        policy = Policy(first["risk"], first["cost"], first["discount"], first["gross"])
-        wide = frame.pivot(index="t", columns="ticker", values="w").sort_index().fillna(0.0)
-        decay = frame.groupby("t")["phi"].first().sort_index().ffill().fillna(0.65).to_numpy()
-        matrix, held = wide.to_numpy(), np.zeros(wide.shape[1])
-        for k, target in enumerate(matrix):
-            held = (1 - policy.fraction) * held + policy.fraction * policy.aim_weight(decay[k]) * target
-            size = np.abs(held).sum()
-            if size > 0:
-                held = held * (policy.gross / size)
-            matrix[k] = held
-        out = wide.stack().rename("w").reset_index()
-        out["run"] = first["run"]
-        return out[["run", "t", "ticker", "w"]]
-
-    return known.crossJoin(F.broadcast(table)).groupBy("run").applyInPandas(follow, "run string, t int, ticker long, w double")  # a row a policy
+    kind = targets.schema["ticker"].dataType.simpleString()
+    moves = targets.select("ticker", F.struct("t", F.coalesce(F.col("w").cast("double"), F.lit(0.0)).alias("w")).alias("_m"))
+    series = moves.groupBy("ticker").agg(F.collect_list("_m").alias("_m")).select("ticker", F.col("_m.t").alias("ts"), F.col("_m.w").alias("ws"))
+    series = settled(series, "series")  # a row a ticker
+    days = np.array([r[0] for r in series.select(F.explode("ts").alias("t")).distinct().orderBy("t").collect()], np.int64)
+    known = {r["t"]: r["phi"] for r in phi.select("t", "phi").collect()} if isinstance(phi, DataFrame) else dict.fromkeys(days[:1].tolist(), float(phi))
+    decay, last = [], 0.65
+    for t in days.tolist():
+        value = known.get(t)
+        last = last if value is None or math.isnan(value) else value
+        decay.append(last)
+    stay = {name: 1 - p.fraction for name, p in policies.items()}
+    pull = {name: np.array([p.fraction * p.aim_weight(x) for x in decay]) for name, p in policies.items()}
+    scales = {name: np.ones(len(days)) for name in policies}
+
+    def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        many = max(1, CELLS // max(1, len(days)))
+        for frame in frames:
+            for first in range(0, len(frame), many):
+                part = frame.iloc[first : first + many]
+                w = np.zeros((len(part), len(days)))
+                for row, (ts, ws) in enumerate(zip(part["ts"], part["ws"], strict=True)):
+                    w[row, np.searchsorted(days, ts)] = ws
+                yield part["ticker"].to_numpy(), w
+
+    def sums(a: int, b: int, at: dict[str, np.ndarray]):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = {name: np.zeros((b - a, b - a + 1)) for name in at}
+            for _, w in matrices(frames):
+                for name in at:
+                    total[name] += _signed_sums(w, at[name], pull[name], stay[name], a, b)
+            i, j = np.tril_indices(b - a, 1, b - a + 1)
+            for name, held in total.items():
+                yield pd.DataFrame({"run": name, "i": i, "j": j, "v": held[i, j]})
+
+        return run
+
+    for a in range(0, len(days), SPAN):
+        b = min(a + SPAN, len(days))
+        open_runs = set(policies)
+        while open_runs:
+            at = {name: scales[name] for name in open_runs}
+            found = series.mapInPandas(sums(a, b, at), "run string, i int, j int, v double").groupBy("run", "i", "j").agg(F.sum("v").alias("v")).collect()
+            squares = {name: np.zeros((b - a, b - a + 1)) for name in open_runs}
+            for r in found:
+                squares[r["run"]][r["i"], r["j"]] = r["v"]
+            for name, square in squares.items():
+                new = _solved(square, stay[name], policies[name].gross)
+                if np.allclose(new, scales[name][a:b], rtol=1e-12, atol=0):
+                    open_runs.discard(name)
+                scales[name] = np.concatenate([scales[name][:a], new, scales[name][b:]])
+
+    def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for tickers, w in matrices(frames):
+            for name in policies:
+                paths = [wanted * scales[name][t] for t, wanted in enumerate(_paths(w, scales[name], pull[name], stay[name], len(days)))]
+                yield pd.DataFrame({"run": name, "t": np.tile(days, len(tickers)), "ticker": np.repeat(tickers, len(days)), "w": np.stack(paths, axis=1).ravel()})
+
+    return series.mapInPandas(follow, f"run string, t int, ticker {kind}, w double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_ticker, by_time, compounded, percent_rank_ties, ratio, rows, z_score
+from ..functions.columns import by_ticker, by_time, compounded, percent_rank_ties, ratio, rows
 from ..sources.scratch import settled
 
 #: Momentum windows in months.
@@ -35,8 +35,11 @@ def size_decile(panel: DataFrame) -> DataFrame:
 
 
 def standardised(frame: DataFrame, names: list[str]) -> DataFrame:
-    """``z{name}`` across tickers and ``m{name}``, the cross-section's mean, for each name."""
-    return frame.withColumns({f"z{n}": z_score(F.col(n)) for n in names} | {f"m{n}": F.avg(n).over(by_time()) for n in names})
+    """``z{name}`` across tickers, the sample deviation raised by 1e-10, and ``m{name}``, the cross-section's mean, for each name."""
+    frame = settled(frame, "raw")  # for the months' figures, and for the rows
+    figures = frame.groupBy("t").agg(*[F.avg(n).alias(f"m{n}") for n in names], *[F.stddev_samp(n).alias(f"_s{n}") for n in names])
+    joined = frame.join(F.broadcast(figures), "t")  # one row a date
+    return joined.withColumns({f"z{n}": (F.col(n) - F.col(f"m{n}")) / (F.col(f"_s{n}") + 1e-10) for n in names}).drop(*[f"_s{n}" for n in names])
 
 
 def feature_names(ffd: tuple[int, ...] = ()) -> list[str]:
@@ -62,7 +65,10 @@ def feature_matrix(returns: DataFrame, ffd: DataFrame | None = None, *, first: i
 def price_momentum(panel: DataFrame, lookback: int = 12, skip: int = 1) -> DataFrame:
     """``signal``: the price ratio over ``lookback`` months, skipping the last ``skip``, standardised; null where the cross-section has no spread."""
     raw = panel.withColumn("_raw", ratio(F.lag("close", skip).over(by_ticker()), F.lag("close", skip + lookback).over(by_ticker())) - 1)
-    return raw.withColumn("signal", ratio(F.col("_raw") - F.avg("_raw").over(by_time()), F.stddev_samp("_raw").over(by_time()))).drop("_raw")
+    raw = settled(raw, "momentum")
+    figures = raw.groupBy("t").agg(F.avg("_raw").alias("_mean"), F.stddev_samp("_raw").alias("_spread"))
+    joined = raw.join(F.broadcast(figures), "t")  # one row a date
+    return joined.withColumn("signal", ratio(F.col("_raw") - F.col("_mean"), F.col("_spread"))).drop("_raw", "_mean", "_spread")
 
 
 def decile_labels(returns: DataFrame) -> DataFrame:
