@@ -102,6 +102,48 @@ def test_walk_forward(spark):
     assert run(spark, px, walkforward.held_weights(px, plan, native, "s"))[1]["ann_return"] > 0
 
 
+def test_signals_may_name_their_dates(spark):
+    import pandas as pd
+
+    px = prices(spark, a=[1.01**i for i in range(40)], b=[1.005**i for i in range(40)])
+    plan = walkforward.blocks(px, 24, 6)
+
+    def signal(wide):  # the first block names three dates, of which the second's months are its own; later ones hold name 1
+        if wide.index[-1] == 23:
+            return pd.DataFrame({0: [0.5, 0.7, 0.9], 1: [0.5, None, 0.1]}, index=[24, 26, 30])
+        return pd.Series({1: 1.0})
+
+    signals = walkforward.user_signal(walkforward.training_rows(px, plan, 24), signal)
+    got = {(r["t"], r["ticker"]): r["w"] for r in walkforward.held_weights(px, plan, signals, "s").collect()}
+    expected = {(24, 0): 0.5, (24, 1): 0.5, (26, 0): 0.7, (26, 1): 0.0} | {(t, k): float(k) for t in range(30, 40) for k in (0, 1)}
+    assert got == expected
+
+
+def test_weights_of_each_shape(spark):
+    px = prices(spark, a=[1, 2, 3, 4], b=[1, 1, 1, 1])
+    one = px.where("ticker = 0")
+    dates = month_ends(4)
+    both = spark.createDataFrame([(dates[1], 0, 0.5), (dates[2], 1, 0.25)], "date date, ticker long, w double")
+    rows = lambda frame: [r["w"] for r in frame.orderBy("t", "ticker").collect()]
+    assert rows(drift.shaped(both, px)) == [0, 0, 0.5, 0, 0, 0.25, 0, 0.25]
+    assert rows(drift.shaped(both.where("w = 0.5").drop("date"), px)) == [0.5, 0] * 4
+    assert rows(drift.shaped(both.drop("ticker"), one)) == [0, 0.5, 0.25, 0.25]
+    with pytest.raises(ValueError):
+        drift.shaped(both.drop("ticker"), px)
+    with pytest.raises(ValueError):
+        drift.shaped(both.select("w"), px)
+    assert run(spark, px, both.where("w = 0.5").drop("date"))[0].count() == 4
+
+
+def test_prices_are_checked(spark):
+    px = prices(spark, a=[1, 2])
+    assert panel.checked_prices(px).columns == ["date", "ticker", "close"]
+    with pytest.raises(ValueError):
+        panel.checked_prices(px.drop("close"))
+    with pytest.raises(TypeError):
+        panel.checked_prices(px.withColumn("date", F.col("date").cast("string")))
+
+
 def test_closed_form_is_the_sequential_run(spark):
     import random
 

@@ -42,7 +42,7 @@ def test_weights_of_one_day_keep_the_last(spark):
 
 def test_expanding_weights_by_each_score(spark):
     panel = research.simulated_universe(spark, 12, 46, seed=3).select("t", F.date_add(F.lit(D[0]), F.col("t") * 31).alias("date"), "ticker", "close", F.lit(10.0).alias("volume"), (F.col("close") * 10).alias("dv")).cache()
-    held = {s: {(r["t"], r["ticker"]): r["w"] for r in model.model_weights(panel, min_train=18, last=10_000, seeds=1, trees=2, score=s).collect()} for s in ("srp",)}
+    held = {s: {(r["t"], r["ticker"]): r["w"] for r in model.model_weights(panel, min_train=18, last=10_000, min_names=2, seeds=1, trees=2, score=s).collect()} for s in ("srp",)}
     assert all(min(t for t, _ in h) == 36 and any(h.values()) for h in held.values())
 
 

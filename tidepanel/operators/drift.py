@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import settled
+from .panel import asof_weights
 from .returns import simple_returns
 from .universe import align_rates
 
@@ -106,7 +107,8 @@ def sequential(targets: DataFrame, panel: DataFrame, cost: DataFrame | float = 0
 
 
 def backtest(weights: DataFrame, panel: DataFrame, *, freq: float = 252, lag: int = 1, signal_dates: DataFrame | None = None, cost: DataFrame | float = 0.0, borrow: DataFrame | float = 0.0, short_mult: float = 1.5) -> DataFrame:
-    """The curve of each strategy of ``weights(strategy, t, ticker, w)``. Strategies that are ever wiped out are stepped through, the others are in closed form."""
+    """The curve of each strategy of ``weights(strategy, t, ticker, w)``. Without a strategy and ``t``, :func:`shaped` gives them. Strategies that are ever wiped out are stepped through, the others are in closed form."""
+    weights = weights if {"strategy", "t"} <= set(weights.columns) else shaped(weights, panel)
     targets = schedule(weights, panel, lag=lag, signal_dates=signal_dates)
     curves = settled(curve(positions(targets, panel, cost, borrow), freq=freq, short_mult=short_mult), "curves")  # a row a strategy and date
     lost = settled(curves.where("lowest <= 0").select("strategy").distinct(), "lost")
@@ -116,6 +118,21 @@ def backtest(weights: DataFrame, panel: DataFrame, *, freq: float = 252, lag: in
     return curves.join(F.broadcast(lost), "strategy", "left_anti").drop("lowest").unionByName(stepped)
 
 
+def shaped(weights: DataFrame, panel: DataFrame, strategy: str = "weights") -> DataFrame:
+    """``strategy, t, ticker, w`` at every date of the panel from weights by date and ticker, by ticker alone, or, for a panel of one name, by date alone."""
+    given = {"date", "ticker"} & set(weights.columns)
+    if given == {"ticker"}:
+        return hold(panel, weights, strategy)
+    if given == {"date"}:
+        names = panel.select("ticker").distinct()
+        if names.limit(2).count() != 1:
+            raise ValueError("weights by date alone need a panel of one name")
+        weights = weights.crossJoin(F.broadcast(names))  # a single row
+    elif not given:
+        raise ValueError("weights need a date, a ticker or both")
+    return asof_weights(weights, panel).select(F.lit(strategy).alias("strategy"), "t", "ticker", "w")
+
+
 def hold(panel: DataFrame, fixed: DataFrame, strategy: str) -> DataFrame:
     """Weights by ticker, the same at every date of the panel; a name without one has 0."""
     grid = panel.select("t", "ticker").join(fixed.select("ticker", "w"), "ticker", "left")

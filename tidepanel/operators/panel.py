@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import forward_fill, rows
 
@@ -16,6 +17,17 @@ def calendar(facts: DataFrame) -> DataFrame:
     return facts.select("date").distinct().withColumn("t", (F.row_number().over(W.orderBy("date")) - 1).cast("int"))
 
 
+def checked_prices(facts: DataFrame) -> DataFrame:
+    """``date, ticker, close`` of ``facts``; an error if one of them is missing, or isn't a date, a name and a number."""
+    kinds = {"date": (T.DateType,), "ticker": (T.StringType, T.IntegralType), "close": (T.NumericType,)}
+    for name, kind in kinds.items():
+        if name not in facts.columns:
+            raise ValueError(f"prices have no column {name!r}, only {facts.columns}")
+        if not isinstance(facts.schema[name].dataType, kind):
+            raise TypeError(f"{name} of prices is {facts.schema[name].dataType.simpleString()}")
+    return facts.select("date", "ticker", F.col("close").cast("double").alias("close"))
+
+
 def densify(facts: DataFrame) -> DataFrame:
     """Every ticker at every date, with its ordinal ``t``; cells without a fact are null."""
     grid = facts.select("ticker").distinct().crossJoin(F.broadcast(calendar(facts)))  # the calendar is one row a date

@@ -33,19 +33,34 @@ def best_momentum(slices: DataFrame) -> DataFrame:
     return edge.where(F.col("_g").isNotNull()).withColumn("_m", F.max("_g").over(W.partitionBy("block"))).where("_g = _m").select("block", "ticker", F.lit(1.0).alias("w"))
 
 
-def user_signal(slices: DataFrame, signal: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
-    """``block, ticker, w`` from a function of the training slice as a date by ticker frame; a block is a group."""
+def user_signal(slices: DataFrame, signal: Callable[[pd.DataFrame], pd.Series | pd.DataFrame]) -> DataFrame:
+    """``block, t, ticker, w`` from a function of the training slice as a frame of ``t`` by ticker; a block is a group.
+
+    A series by ticker holds for the block's whole test slice: ``t`` is null. A frame of ``t`` by ticker names its own dates.
+    """
+    kind = slices.schema["ticker"].dataType.simpleString()
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         wide = frame.pivot(index="t", columns="ticker", values="close").sort_index()
-        held = signal(wide).rename("w").rename_axis("ticker").reset_index()
-        held["block"] = frame["block"].iloc[0]
-        return held[["block", "ticker", "w"]].fillna({"w": 0.0})
+        held = signal(wide)
+        if isinstance(held, pd.DataFrame):
+            out = held.rename_axis(index="t", columns="ticker").reset_index().melt(id_vars="t", var_name="ticker", value_name="w")
+        else:
+            out = held.rename("w").rename_axis("ticker").reset_index().assign(t=None)
+        out["t"] = out["t"].astype("Int32")
+        return out.assign(block=frame["block"].iloc[0])[["block", "t", "ticker", "w"]].fillna({"w": 0.0})
 
-    return slices.groupBy("block").applyInPandas(run, "block int, ticker long, w double")
+    return slices.groupBy("block").applyInPandas(run, f"block int, t int, ticker {kind}, w double")
 
 
 def held_weights(panel: DataFrame, plan: DataFrame, signals: DataFrame, strategy: str) -> DataFrame:
-    """``strategy, t, ticker, w`` on each test date; names without a signal have 0."""
-    dates = panel.select("t", "ticker").join(F.broadcast(plan), F.col("t").between(F.col("start"), F.col("stop")))  # one row a block
-    return dates.join(signals, ["block", "ticker"], "left").select(F.lit(strategy).alias("strategy"), "t", "ticker", F.coalesce("w", F.lit(0.0)).alias("w"))
+    """``strategy, t, ticker, w`` on each test date, or on the dates that ``signals`` name in ``t``; of blocks that give the same date weights the last counts; names without a signal have 0."""
+    signals = signals if "t" in signals.columns else signals.withColumn("t", F.lit(None).cast("int"))
+    given = signals.select("block", F.col("t").alias("_on")).distinct().join(plan, "block", "right")  # one row a block, or a date it names
+    whole = given.where(F.col("_on").isNull()).select("block", F.explode(F.sequence("start", "stop")).alias("t"), "_on")
+    dates = whole.union(given.where(F.col("_on").isNotNull()).select("block", F.col("_on").alias("t"), "_on"))
+    dates = dates.groupBy("t").agg(F.max_by("_on", "block").alias("_on"), F.max("block").alias("block"))
+    grid = panel.select("t", "ticker").join(F.broadcast(dates), "t")  # one row a date
+    own = signals.select("block", F.col("t").alias("_on"), "ticker", "w")
+    joined = grid.alias("g").join(own.alias("s"), (F.col("g.block") == F.col("s.block")) & (F.col("g.ticker") == F.col("s.ticker")) & F.col("g._on").eqNullSafe(F.col("s._on")), "left")
+    return joined.select(F.lit(strategy).alias("strategy"), "g.t", "g.ticker", F.coalesce("s.w", F.lit(0.0)).alias("w"))

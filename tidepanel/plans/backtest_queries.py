@@ -219,7 +219,7 @@ def compared_weights(source: DataFrame, min_train: int = 24, seeds: int = 20, tr
     first = features.FIRST + min_train
     masks = settled(universe.eligibility(source, **FLOORS), "masks")
     bench = bench_weights(source, masks, first)
-    learned = settled(model.model_weights(source, min_train=min_train, last=36, seeds=seeds, trees=trees, masks=masks, threshold=THRESHOLD, max_lags=SHORT_LAGS), "learned")
+    learned = settled(model.model_weights(source, min_train=min_train, last=36, min_names=2, seeds=seeds, trees=trees, masks=masks, threshold=THRESHOLD, max_lags=SHORT_LAGS), "learned")
     decay = execution.acf1(learned.select("t", "ticker", F.col("w").alias("signal")), ["ticker"]).agg(F.avg("phi")).first()[0]
     adjusted = execution.run_policies(learned, {"adjusted": execution.Policy()}, 0.65 if decay is None else decay)
     named = [frame.select(F.lit(name).alias("strategy"), "t", "ticker", "w") for name, frame in (("momentum", bench), ("model", learned), ("adjusted", adjusted))]
@@ -244,6 +244,20 @@ def d_search(spark, sf_dir):
     return model.search_orders(month_panel(spark, sf_dir))
 
 
+FOLDS = P3 + """,
+md AS (SELECT DISTINCT t, date FROM p),
+due AS (SELECT * FROM md WHERE t >= (SELECT min(t) FROM md) + 24),
+yr AS (SELECT year(date) AS y, min(t) AS cut, max(t) AS final, row_number() OVER (ORDER BY year(date)) - 1 AS fold FROM due GROUP BY 1),
+pr AS (SELECT fold, cut, md.t, md.t < cut AS past, row_number() OVER (PARTITION BY fold, md.t < cut ORDER BY md.t DESC) AS age FROM yr JOIN md ON md.t <= final),
+pk AS (SELECT *, count(*) FILTER (past) OVER (PARTITION BY fold) AS size FROM pr WHERE NOT past OR age <= 36)
+SELECT fold::INT AS fold, cut::INT AS cut, t::INT AS t, CASE WHEN NOT past THEN 'new' WHEN age <= greatest(6, floor(size * 0.2)) THEN 'val' ELSE 'train' END AS role FROM pk WHERE size >= 18"""
+
+
+@query("model_folds", FOLDS)
+def model_folds(spark, sf_dir):
+    return model.folds(smooth_panel(spark, sf_dir), 24, 36)
+
+
 @query("ensemble_fit_predict", None)
 def ensemble_fit_predict(spark, sf_dir):
     returns = settled(model_returns(month_panel(spark, sf_dir)), "returns")
