@@ -8,10 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import dot
 from ..sources.scratch import settled
 
 #: Dates whose scales are found together; and cells of targets that a task holds at a time.
@@ -46,6 +47,11 @@ class Policy:
         return scaled / self.risk if covariance is None else np.linalg.solve(self.risk * covariance, scaled)
 
 
+def _decay(n: Column, c0: Column, c1: Column) -> Column:
+    """The decay of a series of ``n`` known values from its variance and lag-1 autocovariance."""
+    return F.when(n < 3, F.lit(0.5)).when(c0 < 1e-15, F.lit(0.0)).otherwise(F.greatest(F.lit(0.01), F.least(F.lit(0.99), c1 / c0)))
+
+
 def acf1(signals: DataFrame, by: list[str]) -> DataFrame:
     """``by, phi``: the lag-1 autocovariance over the variance of each series ``(by, t, signal)``, each a mean over its own terms.
 
@@ -56,17 +62,24 @@ def acf1(signals: DataFrame, by: list[str]) -> DataFrame:
     known = known.withColumn("_xx", F.col("_x") * F.lag("_x").over(whole.orderBy("t")))
     sums = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col("_x") * F.col("_x")).alias("_c0"), F.avg("_xx").alias("_c1"))
     everyone = signals.select(*by).distinct().join(sums, by, "left")
-    phi = F.when(F.coalesce("_n", F.lit(0)) < 3, F.lit(0.5)).when(F.col("_c0") < 1e-15, F.lit(0.0)).otherwise(F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("_c1") / F.col("_c0"))))
-    return everyone.select(*by, phi.alias("phi"))
+    return everyone.select(*by, _decay(F.coalesce("_n", F.lit(0)), F.col("_c0"), F.col("_c1")).alias("phi"))
 
 
 def rolling_acf1(signals: DataFrame, window: int = 24) -> DataFrame:
-    """``t, phi``: the mean over tickers of :func:`acf1` in the ``window`` dates up to t. ``signals`` is dense in ``t``."""
-    bounds = signals.agg(F.min("t").alias("_first"), F.max("t").alias("_last"))
-    dealt = signals.select("t", "ticker", "signal").crossJoin(F.broadcast(bounds))  # a single row
-    ends = F.sequence(F.greatest(F.col("t"), F.col("_first") + window - 1), F.least(F.col("t") + window - 1, F.col("_last")))
-    dealt = dealt.where((F.col("_last") - F.col("_first") >= window - 1) & (F.col("t") <= F.col("_last"))).withColumn("end", F.explode(F.when(F.greatest(F.col("t"), F.col("_first") + window - 1) <= F.least(F.col("t") + window - 1, F.col("_last")), ends)))
-    return acf1(dealt.select("end", "t", "ticker", "signal"), ["end", "ticker"]).groupBy(F.col("end").alias("t")).agg(F.avg("phi").alias("phi"))
+    """``t, phi``: the mean over tickers of :func:`acf1` in the ``window`` dates up to t. ``signals`` is dense in ``t``.
+
+    Rows are shuffled once, by ticker. Each gathers the known values of its own window, at most ``window`` of them, so
+    both covariances are taken about the window's mean and lose no digits.
+    """
+    dates = W.partitionBy("ticker").orderBy("t")
+    span = dates.rangeBetween(-(window - 1), 0)
+    own = signals.select("t", F.collect_list("signal").over(span).alias("_v"), F.avg("signal").over(span).alias("_mean"), F.min("t").over(dates).alias("_first"))
+    own = own.where(F.col("t") - F.col("_first") >= window - 1).withColumn("_n", F.size("_v"))
+    centred = own.select("t", "_n", F.transform("_v", lambda x: x - F.col("_mean")).alias("_v"))
+    c0 = dot(F.col("_v"), F.col("_v")) / F.col("_n")
+    c1 = dot(F.slice("_v", F.lit(2), F.col("_n") - 1), F.slice("_v", F.lit(1), F.col("_n") - 1)) / (F.col("_n") - 1)
+    taken = centred.select("t", "_n", F.when(F.col("_n") >= 3, c0).alias("_c0"), F.when(F.col("_n") >= 3, c1).alias("_c1"))
+    return taken.groupBy("t").agg(F.avg(_decay(F.col("_n"), F.col("_c0"), F.col("_c1"))).alias("phi"))
 
 
 def _paths(w: np.ndarray, scales: np.ndarray, pull: np.ndarray, stay: float, last: int) -> Iterator[np.ndarray]:
