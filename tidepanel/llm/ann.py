@@ -3,9 +3,10 @@
 Vectors get one coordinate more, so that the largest inner product is the smallest distance. Blocks of rows are indexed
 by PROJECTIONS sorted arrays, one for each direction of random orthogonal bases. A query looks at a window around its
 own place in each array; windows widen from round to round (virtual rehashing), and each round reads only what they gain
-at either end. Rows that lie in enough windows are verified by their exact inner product. A query is done with a block
-when its k-th best verified row is nearer than the radius for which the count's threshold holds; at the widest, every row
-is verified. The first radius comes from the k-th distances of a sample of the block's own rows.
+at either end, or, where they gain much, counts anew over all rows' ranks. Rows that lie in enough windows are verified
+by their exact inner product. A query is done with a block when its k-th best verified row is nearer than the radius for
+which the count's threshold holds; at the widest, every row is verified. The first radius comes from the k-th distances
+of a sample of the block's own rows.
 
 A task is a block and a group of queries, both of bounded size and about alike in bytes: so the index is shuffled once
 for every GROUP queries. Each query's best rows of all blocks are then ranked together.
@@ -26,12 +27,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Sorted arrays; rows of a block (below 65,536 in any case) and queries of a group, about; queries searched side by side.
-PROJECTIONS, BLOCK, GROUP, TOGETHER = 64, 16_384, 32_768, 64
+#: Sorted arrays; rows of a block, half of what 16-bit ranks allow, and queries of a group, about; queries searched side by side.
+PROJECTIONS, BLOCK, GROUP, TOGETHER = 64, 32_768, 32_768, 64
 #: Half width of a window at radius r, in units of r / sqrt(dimensions); deviations by which the threshold lies below the expected count.
 WIDTH, SLACK = 1.1, 0.9
 #: Rows of a block whose k-th distances give the first radius, the share of the least of them, and the growth from round to round.
 PROBES, FIRST, GROWTH = 32, 0.9, 1.08
+#: The share of all entries that a round has to gain for a count over whole rank arrays to be quicker, and the rows counted at once in it.
+DENSE, STRIP = 0.04, 2048
 _EXPECTED = 0.7287  # the share of a normal distribution within WIDTH deviations
 
 
@@ -49,6 +52,7 @@ class Block:
     """
 
     touched = verified = 0
+    ranks: np.ndarray | None = None
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, k: int) -> None:
         self.ids, self.vectors, self.longest = ids, vectors, longest
@@ -64,6 +68,19 @@ class Block:
         length2 = norms[probes] + longest**2
         self.first = FIRST * float(np.sqrt(np.maximum(1 - 2 * near / length2, 1e-4).min()))
 
+    def inside(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """In how many of the windows [low, high) each row lies, from all rows' ranks: a row below a window wraps round."""
+        if self.ranks is None:
+            self.ranks = np.empty_like(self.order)
+            np.put_along_axis(self.ranks, self.order.astype(np.int64), np.arange(len(self.ids), dtype=np.uint16)[None, :], 1)
+        counts = np.empty(len(self.ids), np.uint8)
+        first, size = low.astype(np.uint16)[:, None], (high - low).astype(np.uint16)[:, None]
+        for at in range(0, len(counts), STRIP):
+            within = (self.ranks[:, at : at + STRIP] - first) < size
+            np.add.reduce(within.view(np.uint8), 0, dtype=np.uint8, out=counts[at : at + STRIP])
+        self.touched += self.ranks.size
+        return counts
+
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the ids and inner products of its k best verified rows, best first."""
         m, n, count = len(self.places), len(self.ids), len(query_ids)
@@ -77,6 +94,7 @@ class Block:
         found: list[list[np.ndarray]] = [[] for _ in query_ids]
         scores: list[list[np.ndarray]] = [[] for _ in query_ids]
         radius = self.first * np.sqrt(length2)
+        room = np.empty_like(self.vectors)
         active = np.arange(count)
         while len(active):
             half = (WIDTH / np.sqrt(self.axes.shape[0])) * radius[active]
@@ -84,19 +102,22 @@ class Block:
             right = np.stack([np.searchsorted(p, at[active, j] + half, "right") for j, p in enumerate(self.places)], 1)
             going = []
             for row, q in enumerate(active.tolist()):
-                gained = [o[a:b] for o, a, b in zip(self.order, left[row].tolist(), low[q].tolist()) if a < b]
-                gained += [o[a:b] for o, a, b in zip(self.order, high[q].tolist(), right[row].tolist()) if a < b]
-                low[q], high[q] = np.minimum(low[q], left[row]), np.maximum(high[q], right[row])
-                if gained:
-                    met = np.concatenate(gained)
-                    self.touched += len(met)
+                a, b, c, d = left[row], low[q].copy(), high[q].copy(), right[row]
+                low[q], high[q] = np.minimum(a, b), np.maximum(c, d)
+                entries = int((b - low[q]).sum() + (high[q] - c).sum())
+                if entries > DENSE * self.order.size:
+                    seen[q] = self.inside(low[q], high[q])
+                elif entries:
+                    ends = zip(self.order, low[q].tolist(), b.tolist(), c.tolist(), high[q].tolist())
+                    met = np.concatenate([x for o, a0, b0, c0, d0 in ends for x in (o[a0:b0], o[c0:d0])])
+                    self.touched += entries
                     seen[q] += np.bincount(met, minlength=n).astype(np.uint8)
                 fresh = np.flatnonzero((seen[q] >= needed) & ~done[q])
                 if len(fresh):
                     self.verified += len(fresh)
                     done[q, fresh] = True
                     found[q].append(fresh)
-                    scores[q].append(self.vectors[fresh] @ queries[q])
+                    scores[q].append(np.take(self.vectors, fresh, 0, out=room[: len(fresh)], mode="clip") @ queries[q])
                 have = sum(map(len, found[q]))
                 if done[q].all():
                     continue
