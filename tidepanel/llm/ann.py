@@ -33,8 +33,8 @@ PROJECTIONS, BLOCK, GROUP, TOGETHER = 64, 32_768, 32_768, 64
 WIDTH, SLACK = 1.1, 0.9
 #: Rows of a block whose k-th distances give the first radius, the share of the least of them, and the growth from round to round.
 PROBES, FIRST, GROWTH = 32, 0.9, 1.08
-#: The share of all entries that a round has to gain for a count over whole rank arrays to be quicker, and the rows counted at once in it.
-DENSE, STRIP = 0.04, 2048
+#: The share of all entries that a round has to gain for a count over whole rank arrays instead, and the rows counted at once in it.
+DENSE, STRIP = 0.25, 2048
 _EXPECTED = 0.7287  # the share of a normal distribution within WIDTH deviations
 
 
