@@ -9,7 +9,8 @@ border. The pair fails if at some time these two could merge, and that merge com
 one of them.
 
 Defined results: null is the empty text, with no tokens; repeated rows are encoded alike; an empty table gives an empty
-table; other columns are ignored. The strings of special tokens in a text become these tokens.
+table; other columns are ignored. A text or a single word of any length is encoded whole, in time that grows with n log n
+and memory that grows with n. The strings of special tokens in a text become these tokens.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -128,23 +130,26 @@ class Vocabulary:
         return out
 
     def merge(self, word: str) -> list[int]:
-        """Exact merging, always the earliest merge and of these the leftmost."""
+        """Exact merging, always the earliest merge and of these the leftmost, in n log n steps for n letters."""
         parts = [*word[:-1], word[-1] + self.end]
-        while len(parts) > 1:
-            ranks = [self.rank.get(pair, 1 << 60) for pair in zip(parts, parts[1:])]
-            best = min(ranks)
-            if best == 1 << 60:
-                break
-            joined, k = [], 0
-            while k < len(parts):
-                if k < len(ranks) and ranks[k] == best:
-                    joined.append(parts[k] + parts[k + 1])
-                    k += 2
-                else:
-                    joined.append(parts[k])
-                    k += 1
-            parts = joined
-        return [self.ids[p] for p in parts]
+        n = len(parts)
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        waiting = [(at, k) for k, pair in enumerate(zip(parts, parts[1:])) if (at := self.rank.get(pair)) is not None]
+        heapify(waiting)
+        while waiting:
+            at, k = heappop(waiting)
+            j = after[k]
+            if j < 0 or parts[k] is None or self.rank.get((parts[k], parts[j])) != at:
+                continue  # what stood here has been merged with something else
+            parts[k], parts[j] = parts[k] + parts[j], None
+            after[k] = j = after[j]
+            if j >= 0:
+                before[j] = k
+                if (at := self.rank.get((parts[k], parts[j]))) is not None:
+                    heappush(waiting, (at, k))
+            if (i := before[k]) >= 0 and (at := self.rank.get((parts[i], parts[k]))) is not None:
+                heappush(waiting, (at, i))
+        return [self.ids[p] for p in parts if p is not None]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         letters = self.letters
@@ -182,7 +187,9 @@ _loaded: dict[int, list] = {}
 
 
 def forget() -> None:
-    _loaded.clear()
+    """After a task its words go; the vocabulary stays for the worker's next task."""
+    for key, state in _loaded.items():
+        _loaded[key] = _fresh(state[0])
 
 
 def _fresh(vocabulary: Vocabulary) -> list:

@@ -116,10 +116,9 @@ def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", row_id: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Learns from at most ``sample`` texts of each language. What reaches the driver is the filter, of fixed size, and the list of languages."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).alias("_id"), F.col(lang).alias("lang"))
-    chosen = hashed_sample(rows, "lang", "_id", sample).select("_id", "lang").distinct()
-    chosen = chosen.withColumnRenamed("_id", "_c").withColumnRenamed("lang", "_l")
-    texts = docs.join(small_side(chosen, BROADCAST_SAMPLE), (F.col(row_id) == F.col("_c")) & (F.col(lang) == F.col("_l")), "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    chosen = hashed_sample(rows.select("id", "lang"), "lang", "id", sample).select("id", "lang").distinct()
+    texts = rows.join(small_side(chosen, BROADCAST_SAMPLE), ["id", "lang"], "left_semi").select("lang", "text")
     counts = texts.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.persist()
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))

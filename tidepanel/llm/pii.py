@@ -47,6 +47,7 @@ _SIGN = re.compile("[0-9@]")
 _BRACKETS = re.compile(r"[\[(] ?at ?[\])]", re.IGNORECASE)
 _DOT = re.compile(r" ?[\[(] ?dot ?[\])] ?", re.IGNORECASE)
 _PIECE = re.compile(r"(?:[^A-Za-z]| ?ext\. ?| x(?=[0-9]))+")
+_GROUP = re.compile("[+(]{0,2}[0-9０-９]+")
 _EXTENSION = re.compile(r" (?:ext\. ?|x)[0-9]{1,4}\Z")
 _NOT_DIGIT = re.compile("[^0-9]+")
 _LOCAL_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -69,7 +70,8 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 def valid_ip(s: str) -> bool:
     parts = s.split(".")
-    return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
+    value = lambda p: int(p or 0) if len(p) <= 3 else 256  # noqa: E731  without leading zeros; a number of thousands of digits isn't converted
+    return len(parts) == 4 and all(p.isascii() and p.isdigit() and value(p.lstrip("0")) <= 255 for p in parts)
 
 
 def valid_card(s: str, least: int = 14) -> bool:
@@ -101,7 +103,7 @@ def _added_check(kind: str, s: str) -> bool:
     if kind == "ip":
         return valid_ip(s)
     if kind == "secret":
-        return re.fullmatch(r"[A-Za-z0-9_+/=-]{16,256}", s) is not None and _SIGN.search(s) is not None and not s.isdigit() and len(set(s)) > 8
+        return re.fullmatch(r"[A-Za-z0-9_+/=-]{16,256}", s) is not None and _SIGN.search(s) is not None and not s.isdigit() and len(set(s)) > 6
     if kind == "card":
         return re.fullmatch(r"[0-9][0-9\x20./-]*[0-9]", s) is not None and valid_card(s, 13)
     plain = _EXTENSION.sub("", s)
@@ -163,17 +165,33 @@ def _runs(points: list[np.ndarray], jobs: list[tuple[int, int]], weights: dict)
 
 
 def _tagged(text: str, place: int, tags: np.ndarray) -> Iterator[Span]:
-    """The checked spans of a run's tags; one of numbers that fails is looked at again in the pieces between its words."""
+    """The checked spans of a run's tags; one of numbers that fails is looked at again in the pieces between its words, and these in their groups of digits."""
     cuts = np.flatnonzero(np.diff(tags)) + 1
     for b, e in zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(tags)]]).tolist()):
         if tag := int(tags[b]):
             kind, at = KINDS[tag - 1], place + b
             whole = list(_checked(kind, text[at : place + e], at))
             if not whole and kind in ("ip", "card", "phone"):
-                whole = [s for m in _PIECE.finditer(text, at, place + e) for s in _checked(kind, m.group(), m.start())]
+                for m in _PIECE.finditer(text, at, place + e):
+                    piece, spot = m.group(), m.start()
+                    whole += list(_checked(kind, piece, spot)) or _grouped("card", piece, spot) or _grouped(kind, piece, spot)
             yield from whole
 
 
+def _grouped(kind: str, s: str, at: int) -> list[Span]:
+    """The longest checked span among the neighbouring groups of digits of ``s`` that hold two thirds of its digits at least; of equal ones the first."""
+    groups = [(m.start(), m.end()) for m in _GROUP.finditer(s)]
+    digits = np.concatenate([[0], np.cumsum([sum(c.isdigit() for c in s[b:e]) for b, e in groups])]).tolist()
+    most = {"ip": 4 * 3, "card": 19, "phone": 15 + 4}[kind]  # a phone's extension has up to four digits more
+    if 3 * most < 2 * digits[-1]:
+        return []
+    runs = [(digits[j + 1] - digits[i], i, j) for i in range(len(groups)) for j in range(i, len(groups)) if 3 * (digits[j + 1] - digits[i]) >= 2 * digits[-1] and digits[j + 1] - digits[i] <= most]
+    for _, i, j in sorted(runs, key=lambda r: (-r[0], r[1])):
+        if found := list(_checked(kind, s[groups[i][0] : groups[j][1]], at + groups[i][0])):
+            return found
+    return []
+
+
 def _checked(kind: str, s: str, at: int) -> Iterator[Span]:
     trimmed = s.strip(" \n\t.,;:-/\"'")
     if trimmed and _added_check(kind, trimmed):

@@ -15,8 +15,10 @@ import numpy as np
 KINDS = ("email", "ip", "card", "phone", "secret")
 TAGS = 1 + len(KINDS)
 #: Characters of a training window, hidden units a direction, batches and their size.
-LENGTH, HIDDEN, BATCHES, BATCH = 96, 16, 280, 48
+LENGTH, HIDDEN, BATCHES, BATCH = 96, 16, 360, 48
 
+#: Weights are multiples of 1 / GRID.
+GRID = 4096
 #: Characters of a piece of a sequence in decoding.
 PIECE = 256
 _SINGLE = "@._%+-()/:,#= \n[]\"'"
@@ -52,8 +54,8 @@ def _lstm(p: dict, side: str, x: np.ndarray, keep: list | None) -> np.ndarray:
     table, u = p["e" + side], p["u" + side]
     t, n = x.shape
     size = u.shape[0]
-    h, c = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32)
-    out = np.empty((t, n, size), np.float32)
+    h, c = np.zeros((n, size), u.dtype), np.zeros((n, size), u.dtype)
+    out = np.empty((t, n, size), u.dtype)
     for k in range(t):
         z = table[x[k]] + h @ u
         gate = 0.5 * np.tanh(0.5 * z[:, : 3 * size]) + 0.5
@@ -109,7 +111,7 @@ def _chain_gradient(p: dict, scores: np.ndarray, tags: np.ndarray) -> tuple[np.n
         beta[s] = _logsum(trans + (scores[s + 1] + beta[s + 1])[:, None, :], 2)
     whole = _logsum(alpha[-1], 1)
     own = np.exp(alpha + beta - whole[:, None])
-    d_scores = own - np.eye(k, dtype=np.float32)[tags]
+    d_scores = own - np.eye(k)[tags]
     d_trans = np.zeros_like(trans)
     for s in range(1, t):
         d_trans += np.exp(alpha[s - 1][:, :, None] + trans + (scores[s] + beta[s])[:, None, :] - whole[:, None, None]).sum(0)
@@ -204,11 +206,13 @@ def sample_item(rng: Random, kind: int) -> str:
         return widened(rng, plain + pick(["", "", "", f" ext. {n(1, 999)}", f" x{n(1, 999)}"]))
     hexed, mixed = "".join(rng.choices(_HEX, k=pick([24, 32, 40, 40, 64]))), "".join(rng.choices(_ALNUM + _LETTERS.upper(), k=n(20, 44)))
     if kind == 5:
-        return pick([hexed, hexed, mixed, f"AKIA{''.join(rng.choices(_LETTERS.upper() + '0123456789', k=16))}", f"ghp_{mixed}", f"sk-{mixed}"])
+        spoken = "".join("".join(rng.choices(_LETTERS, k=n(3, 7))) + _digits(rng, n(1, 3)) for _ in range(n(4, 6)))
+        return pick([hexed, hexed, mixed, spoken.ljust(16, "7"), f"AKIA{''.join(rng.choices(_LETTERS.upper() + '0123456789', k=16))}", f"ghp_{mixed}", f"sk-{mixed}"])
     return pick([
         f"{n(1900, 2029)}-{n(1, 12):02}-{n(1, 28):02}", f"{n(1, 28)}.{n(1, 12)}.{n(1900, 2029)}", f"{n(0, 19)}.{n(0, 19)}", f"{n(0, 19)}.{n(0, 19)}.{n(0, 19)}", f"sha{pick([1, 256])}:{hexed}", f"commit {hexed}", f"md5 {hexed[:24]}",
         _digits(rng, n(1, 8)), f"{n(1, 998)},{_digits(rng, 3)}", f"{n(1, 998)}.{_digits(rng, 3)},{_digits(rng, 2)}", f"@{_word(rng)}", f"{n(1, 23)}:{_digits(rng, 2)}", f"#{_digits(rng, 5)}", f"https://{_word(rng)}.org/{_digits(rng, 5)}/{hexed[:10]}",
         f"({n(1, 98)})", f"+{n(1, 98)}", f"{_word(rng)}{_digits(rng, 2)}", f"{_word(rng)} at {_word(rng)}", f"{n(1, 99)}/{n(1, 99)}", f"{_digits(rng, 3)}-{_digits(rng, 2)}", f"ISBN 978-{n(0, 9)}-{_digits(rng, 4)}-{_digits(rng, 4)}-{n(0, 9)}",
+        " ".join(pick(_LETTERS) + _digits(rng, n(1, 3)) for _ in range(n(2, 8))), " ".join(_digits(rng, n(1, 2)) for _ in range(n(2, 5))), f"{_word(rng)} at {_word(rng)}.", f"{n(1, 99)}%",
     ])
 
 
@@ -253,10 +257,14 @@ def training_batch(rng: Random, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=2)
 def train(seed: int = 7, batches: int = BATCHES) -> dict[str, np.ndarray]:
-    """The weights, after ``batches`` steps of Adam on generated windows; the same for the same arguments."""
+    """The weights, after ``batches`` steps of Adam on generated windows; the same for the same arguments.
+
+    Steps are taken in doubles and the result is rounded to a grid far coarser than what the order of a machine's sums
+    can change, so that weights, and with them spans, don't depend on the machine.
+    """
     numbers, rng = np.random.default_rng(seed), Random(seed)
-    draw = lambda *shape: (numbers.standard_normal(shape) * 0.25).astype(np.float32)
-    p = {"ef": draw(CLASSES, 4 * HIDDEN), "eb": draw(CLASSES, 4 * HIDDEN), "uf": draw(HIDDEN, 4 * HIDDEN), "ub": draw(HIDDEN, 4 * HIDDEN), "w": draw(2 * HIDDEN, TAGS), "bias": np.zeros(TAGS, np.float32), "trans": np.eye(TAGS, dtype=np.float32)}
+    draw = lambda *shape: numbers.standard_normal(shape) * 0.25
+    p = {"ef": draw(CLASSES, 4 * HIDDEN), "eb": draw(CLASSES, 4 * HIDDEN), "uf": draw(HIDDEN, 4 * HIDDEN), "ub": draw(HIDDEN, 4 * HIDDEN), "w": draw(2 * HIDDEN, TAGS), "bias": np.zeros(TAGS), "trans": np.eye(TAGS)}
     for side in "fb":
         p["e" + side][:, HIDDEN : 2 * HIDDEN] += 1  # remember at first
     m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
@@ -278,5 +286,5 @@ def train(seed: int = 7, batches: int = BATCHES) -> dict[str, np.ndarray]:
             g = g / BATCH * min(1.0, 5.0 / max(norm, 1e-9))
             m1[k] = 0.9 * m1[k] + 0.1 * g
             m2[k] = 0.99 * m2[k] + 0.01 * g * g
-            p[k] = (p[k] - rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return p
+            p[k] = p[k] - rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)
+    return {k: (np.round(v * GRID) / GRID).astype(np.float32) for k, v in p.items()}
