@@ -188,8 +188,8 @@ def policy_sweep(spark, sf_dir):
 
 
 def made_up_probabilities(source: DataFrame) -> DataFrame:
-    """``t, ticker, p``: ten probabilities from a formula."""
-    weight = lambda k: 1 + (F.col("ticker") * 7 + F.col("t") * 13 + k * 29) % 17
+    """``t, ticker, p``: ten probabilities from a formula; the names of a month differ in each weight, so that no scores tie."""
+    weight = lambda k: 1 + (F.col("ticker") * 7919 + F.col("t") * 1301 + k * 2903) % 9973
     raw = F.transform(F.sequence(F.lit(1), F.lit(10)), weight)
     total = F.aggregate(raw, F.lit(0).cast("bigint"), lambda s, x: s + x)
     return source.select("t", "ticker", raw.alias("_r"), total.alias("_t")).select("t", "ticker", F.transform("_r", lambda x: x / F.col("_t")).alias("p"))
@@ -197,7 +197,7 @@ def made_up_probabilities(source: DataFrame) -> DataFrame:
 
 PROBS = """,
 c AS (SELECT k::INT AS k, coalesce(avg(ret), 0) AS mu, coalesce(var_samp(ret), 1e-4) AS sigma2 FROM range(10) g(k) LEFT JOIN l ON label = k GROUP BY k),
-o AS (SELECT t, ticker, k, (1 + (ticker * 7 + t * 13 + (k + 1) * 29) % 17)::DOUBLE AS r FROM p CROSS JOIN c),
+o AS (SELECT t, ticker, k, (1 + (ticker * 7919 + t * 1301 + (k + 1) * 2903) % 9973)::DOUBLE AS r FROM p CROSS JOIN c),
 b AS (SELECT t, ticker, k, r / sum(r) OVER (PARTITION BY t, ticker) AS q FROM o),
 e AS (SELECT t, ticker, sum(q * CASE WHEN k < 5 THEN 5 - k ELSE 4 - k END) AS dpr, sum(q * mu) AS mean, sum(q * (sigma2 + mu * mu)) AS second FROM b JOIN c USING (k) GROUP BY 1, 2)"""
 SCORES = P1 + RET_MODEL + LABELS + PROBS

@@ -87,9 +87,8 @@ def panel_min_history(spark, sf_dir):
 
 
 DELIST = """,
-z AS (SELECT *, max(t) FILTER (close IS NOT NULL) OVER (PARTITION BY ticker) AS last_t FROM p),
-y AS (SELECT ticker, close * 0.7::DOUBLE AS px FROM z WHERE t = last_t)
-SELECT t, z.ticker, CASE WHEN t = last_t + 1 THEN px ELSE close END AS close FROM z LEFT JOIN y USING (ticker)"""
+z AS (SELECT ticker, max(t) AS last_t, arg_max(close, t) * 0.7::DOUBLE AS px FROM p WHERE close IS NOT NULL GROUP BY ticker)
+SELECT t, p.ticker, CASE WHEN t = last_t + 1 THEN px ELSE close END AS close FROM p LEFT JOIN z USING (ticker)"""
 
 
 @query("panel_delist_inject", P2 + DELIST)
