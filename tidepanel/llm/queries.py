@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, minhash, mixing, pii, quality_classifier, quality_rules, url_filters, warc
+from . import ann, bpe, exact, langid, minhash, mixing, negatives, pii, quality_classifier, quality_rules, resampling, url_filters, warc
 from .common import new_path
 
 #: The rules of the URL query. Site rules come first; the patterns give the method's verdict.
@@ -101,8 +101,22 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.copies(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_mix_sources, op3_personal_data, op4_nearest_neighbours, op5_warc, op6_minhash_dedup, op7_language_id, op8_bpe, op9_quality_rules, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_url_filters, op2_mix_sources, op3_personal_data, op4_nearest_neighbours, op5_warc, op6_minhash_dedup, op7_language_id, op8_bpe, op9_quality_rules, op10_quality_classifier, op11_resampling, op12_exact_dedup, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -82,4 +82,50 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM b
 """
 
-ORACLES = {"op1_url_filters": URL_FILTERS, "op2_mix_sources": MIX_SOURCES, "op9_quality_rules": QUALITY_RULES}
+RESAMPLING = r"""
+WITH RECURSIVE c(i, k, c) AS (SELECT i, 0, i::UBIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM c WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM c WHERE k = 8),
+texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 'b', 0, NULL, coalesce(text, '') FROM benchmark),
+f AS (
+  SELECT side, row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM texts),
+g AS (SELECT side, row, w, count(*)::BIGINT AS n FROM f GROUP BY ALL),
+h AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::UBIGINT)),
+    lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) % 10000 AS bucket
+  FROM (SELECT DISTINCT w FROM g), tab),
+s AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 'b'), 0)::DOUBLE AS t FROM g JOIN h USING (w) GROUP BY bucket),
+v AS (SELECT coalesce(sum(s), 0) + 10000 AS big_s, coalesce(sum(t), 0) + 10000 AS big_t FROM s),
+k AS (SELECT bucket, floor(1000 * ln((t + 1) * big_s / ((s + 1) * big_t)))::BIGINT AS gain FROM s, v),
+d AS (SELECT row, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS weight FROM g JOIN h USING (w) JOIN k USING (bucket) WHERE side = 'd' GROUP BY row),
+e AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM texts LEFT JOIN d USING (row) WHERE side = 'd'),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, 10 * (count(*) OVER (PARTITION BY n_features >= 20)) // 100 AS draws FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= draws THEN place END AS rank FROM r
+"""
+
+EXACT_DEDUP = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+HARD_NEGATIVES = """
+WITH r AS (
+  SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = r.label AS own, r.vec_id, list_inner_product(a.v, r.v)::BIGINT AS score
+  FROM r AS a JOIN r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INT AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.own AND 100 * s.score BETWEEN 30 * positive_score AND 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+ORACLES = {
+    "op1_url_filters": URL_FILTERS, "op2_mix_sources": MIX_SOURCES, "op9_quality_rules": QUALITY_RULES, "op11_resampling": RESAMPLING,
+    "op12_exact_dedup": EXACT_DEDUP, "op13_hard_negatives": HARD_NEGATIVES,
+}
