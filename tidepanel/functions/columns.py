@@ -12,11 +12,6 @@ def by_ticker() -> WindowSpec:
     return W.partitionBy("ticker").orderBy("t")
 
 
-def by_time() -> WindowSpec:
-    """Across tickers."""
-    return W.partitionBy("t")
-
-
 def rows(first: int | None, last: int) -> WindowSpec:
     """A ticker's rows from ``first`` (None: the first of all) to ``last``, counted from the current one."""
     return by_ticker().rowsBetween(W.unboundedPreceding if first is None else first, last)
@@ -42,14 +37,6 @@ def clipped(x: Column, low: Column | float, high: Column | float) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, low), high))
 
 
-def percent_rank_ties(x: Column) -> Column:
-    """Average rank of ties divided by the number of values; null for null."""
-    by = by_time()
-    up, down = F.rank().over(by.orderBy(x.asc_nulls_last())), F.rank().over(by.orderBy(x.desc_nulls_last()))
-    n = F.count(x).over(by)  # ranks from both ends add up to n + 1, less the number of other ties
-    return F.when(x.isNotNull(), (up + n - down + 1) / 2 / n)
-
-
 def dot(a: Column, b: Column) -> Column:
     """The sum of products of two arrays of doubles."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

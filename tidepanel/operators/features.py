@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_ticker, by_time, compounded, percent_rank_ties, ratio, rows
+from ..functions.columns import by_ticker, compounded, ratio, rows
 from ..sources.scratch import settled
+from . import ranks
 
 #: Momentum windows in months.
 MOMENTUM = (1, 3, 6, 9, 12, 18)
@@ -29,9 +30,9 @@ def dynamics(returns: DataFrame) -> DataFrame:
 
 def size_decile(panel: DataFrame) -> DataFrame:
     """``size_decile`` 1 to 10 by last month's size; a missing size is in the middle, 5."""
-    lagged = panel.withColumn("_size", F.lag("dv", 1).over(by_ticker()))
-    place = F.coalesce(percent_rank_ties(F.col("_size")), F.lit(0.5))
-    return lagged.withColumn("size_decile", (F.floor(place * 9.999) + 1).cast("int")).drop("_size")
+    lagged = settled(panel.withColumn("_size", F.lag("dv", 1).over(by_ticker())), "sizes")
+    ranked = ranks.percent_rank_ties(lagged, "_size", "_share")
+    return ranked.withColumn("size_decile", (F.floor(F.coalesce("_share", F.lit(0.5)) * 9.999) + 1).cast("int")).drop("_size", "_share")
 
 
 def standardised(frame: DataFrame, names: list[str]) -> DataFrame:
@@ -73,10 +74,10 @@ def price_momentum(panel: DataFrame, lookback: int = 12, skip: int = 1) -> DataF
 
 def decile_labels(returns: DataFrame) -> DataFrame:
     """``t, ticker, ret, label`` of the rows with a return: 0 for the best tenth of the month, 9 for the worst; ties by ticker."""
-    known = returns.where(F.col("ret").isNotNull())
-    place = F.row_number().over(by_time().orderBy("ret", "ticker"))
-    tenth = F.floor((place - 1) * 10 / F.count(F.lit(1)).over(by_time()))
-    return known.select("t", "ticker", "ret", (9 - F.least(tenth, F.lit(9))).cast("int").alias("label"))
+    known = settled(returns.where(F.col("ret").isNotNull()).select("t", "ticker", "ret"), "known")
+    ranked = ranks.with_sizes(ranks.placed(known, "ret", "_place"), "_size")
+    tenth = F.floor((F.col("_place") - 1) * 10 / F.col("_size"))
+    return ranked.select("t", "ticker", "ret", (9 - F.least(tenth, F.lit(9))).cast("int").alias("label"))
 
 
 def class_stats(labels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_ticker, by_time
+from ..functions.columns import by_ticker
+from ..sources.scratch import settled
+from . import ranks
 
 
 def long_short(signals: DataFrame, q: float = 0.10, *, min_names: int = 20, short: bool = True, shortable: DataFrame | None = None) -> DataFrame:
@@ -18,31 +20,35 @@ def long_short(signals: DataFrame, q: float = 0.10, *, min_names: int = 20, shor
     may = F.lit(True)
     if shortable is not None:
         known, may = known.join(shortable.select("t", "ticker", F.col("shortable").alias("_may")), ["t", "ticker"], "left"), F.coalesce("_may", F.lit(False))
-    size = F.count(F.lit(1)).over(by_time())
-    n = F.greatest(F.lit(1), F.floor(size * q))
-    best = F.row_number().over(by_time().orderBy(F.desc("signal"), "ticker"))
-    worst = F.when(may, F.row_number().over(by_time().orderBy(F.when(may, 0).otherwise(1), "signal", "ticker")))
-    ranked = known.withColumns({"_size": size, "_n": n, "_best": best, "_worst": worst}).where(F.col("_size") >= min_names)
-    weight = F.when(F.lit(short) & (F.col("_worst") <= F.col("_n")), -1 / F.col("_n")).when(F.col("_best") <= F.col("_n"), 1 / F.col("_n")).otherwise(F.lit(0.0))
+    known = settled(known.withColumn("_may", may), "known")
+    ranked = both_ends(ranks.with_sizes(known, "_size").where(F.col("_size") >= min_names), "signal", F.col("_may"))
+    n = F.greatest(F.lit(1), F.floor(F.col("_size") * q))
+    weight = F.when(F.lit(short) & (F.col("_worst") <= n), -1 / n).when(F.col("_best") <= n, 1 / n).otherwise(F.lit(0.0))
     return ranked.select("t", "date", "ticker", weight.alias("w"))
 
 
+def both_ends(frame: DataFrame, value: str, may: Column | None = None) -> DataFrame:
+    """``frame`` with ``_best`` and ``_worst``: places from either end, the latter among ``may``; ties go to the smaller ticker at both."""
+    largest = ranks.most_rows(frame)
+    ranked = ranks.placed(frame, value, "_best", descending=True, largest=largest)
+    return ranks.placed(ranked if largest <= ranks.RANGE else settled(ranked, "best"), value, "_worst", among=may, largest=largest)
+
+
 def guarded(signals: DataFrame, q: float = 0.05) -> DataFrame:
     """As :func:`long_short`, but n is a share of all names, with or without a signal, and a date needs 2n signals."""
-    n = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(by_time()) * q))
-    valid = F.count("signal").over(by_time())
-    best, worst = F.row_number().over(by_time().orderBy(F.desc_nulls_last("signal"), "ticker")), F.row_number().over(by_time().orderBy(F.asc_nulls_last("signal"), "ticker"))
-    ranked = signals.withColumns({"_n": n, "_valid": valid, "_best": best, "_worst": worst}).where(F.col("_valid") >= 2 * F.col("_n"))
-    weight = F.when(F.col("_worst") <= F.col("_n"), -1 / F.col("_n")).when(F.col("_best") <= F.col("_n"), 1 / F.col("_n")).otherwise(F.lit(0.0))
+    sized = ranks.with_sizes(ranks.with_sizes(settled(signals.select("t", "date", "ticker", "signal"), "signals"), "_all"), "_valid", F.col("signal"))
+    n = F.greatest(F.lit(1), F.floor(F.col("_all") * q))
+    ranked = both_ends(sized.where(F.col("_valid") >= 2 * n), "signal")
+    weight = F.when(F.col("_worst") <= n, -1 / n).when(F.col("_best") <= n, 1 / n).otherwise(F.lit(0.0))
     return ranked.select("t", "date", "ticker", weight.alias("w"))
 
 
 def spread_returns(scored: DataFrame, q: float = 0.10) -> DataFrame:
     """``t, long_short, long_leg`` from ``scored(t, ticker, score, fwd)``: mean returns of the best share, less that of the worst."""
-    known = scored.where(F.col("score").isNotNull() & F.col("fwd").isNotNull())
-    n = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(by_time()) * q))
-    ranked = known.withColumns({"_n": n, "_best": F.row_number().over(by_time().orderBy(F.desc("score"), "ticker")), "_worst": F.row_number().over(by_time().orderBy("score", "ticker"))})
-    top, bottom = F.avg(F.when(F.col("_best") <= F.col("_n"), F.col("fwd"))), F.avg(F.when(F.col("_worst") <= F.col("_n"), F.col("fwd")))
+    known = settled(scored.where(F.col("score").isNotNull() & F.col("fwd").isNotNull()).select("t", "ticker", "score", "fwd"), "scored")
+    ranked = ranks.with_sizes(both_ends(known, "score"), "_size")
+    n = F.greatest(F.lit(1), F.floor(F.col("_size") * q))
+    top, bottom = F.avg(F.when(F.col("_best") <= n, F.col("fwd"))), F.avg(F.when(F.col("_worst") <= n, F.col("fwd")))
     return ranked.groupBy("t").agg((top - bottom).alias("long_short"), top.alias("long_leg"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rows
 from ..sources.scratch import settled
-from . import drift, execution, metrics, portfolio, scoring
+from . import drift, execution, metrics, portfolio, ranks, scoring
 from .panel import asof_dates, densify, inject_delisting, min_history, month_end_last
 from .returns import clip_returns, model_returns, simple_returns, size_proxy
 
@@ -110,8 +110,10 @@ def simulated_universe(spark: SparkSession, names: int, months: int, *, seed: in
 
 def distribution(frame: DataFrame, value: str) -> DataFrame:
     """One row: count, mean, sample deviation, least, quartiles and largest of a column."""
-    quartiles = [F.percentile(value, p).alias(name) for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
-    return frame.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), *quartiles, F.max(value).alias("largest"))
+    frame = settled(frame.select(F.lit(0).alias("t"), "ticker", value), "values")
+    names = ("q25", "q50", "q75")
+    whole = frame.groupBy("t").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("largest"))
+    return whole.join(ranks.quantiles(frame, value, (0.25, 0.5, 0.75), names), "t").select("n", "mean", "std", "least", *names, "largest")
 
 
 def edges(frame: DataFrame, order: list[str], n: int = 5) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_ticker, clipped, forward_fill, ratio, rows
+from ..sources.scratch import settled
+from . import ranks
 
 
 def simple_returns(panel: DataFrame, *, fill: str = "none") -> DataFrame:
@@ -19,7 +21,8 @@ def simple_returns(panel: DataFrame, *, fill: str = "none") -> DataFrame:
 
 def winsorised(returns: DataFrame, tail: float = 0.01) -> DataFrame:
     """``ret`` within the cross-section's exact quantiles ``tail`` and ``1 - tail`` of its month."""
-    bounds = returns.groupBy("t").agg(F.percentile("ret", tail).alias("_low"), F.percentile("ret", 1 - tail).alias("_high"))
+    returns = settled(returns, "returns")
+    bounds = ranks.quantiles(returns, "ret", (tail, 1 - tail), ("_low", "_high"))
     joined = returns.join(F.broadcast(bounds), "t")  # one row a date
     return joined.withColumn("ret", clipped(F.col("ret"), F.col("_low"), F.col("_high"))).drop("_low", "_high")
 

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clipped, percent_rank_ties, rows
+from ..functions.columns import clipped, rows
+from ..sources.scratch import settled
+from . import ranks
 
 #: Least trailing dollar volume and one-way cost, or annual borrow fee, from liquid to illiquid.
 COST_TIERS = ((1e9, 0.0005), (1e8, 0.0010), (1e7, 0.0025), (1e6, 0.0060), (0.0, 0.0150))
@@ -50,7 +52,8 @@ def eligibility(panel: DataFrame, *, min_price: float = 5.0, min_coverage: float
     coverage = F.col("_good") / F.greatest(F.col("_valid"), F.lit(1))
     base = (coverage >= min_coverage) & (F.col("close") > min_price) & (F.col("_valid") >= min_history)
     if min_percent > 0:
-        base = base & (percent_rank_ties(F.col("_dv")) >= min_percent)
+        counted = ranks.percent_rank_ties(settled(counted, "counted"), "_dv", "_share")
+        base = base & (F.col("_share") >= min_percent)
     if min_volume > 0:
         base = base & (F.col("_dv") >= min_volume)
     short = base & (F.col("_dv") >= short_min_volume)
@@ -59,7 +62,8 @@ def eligibility(panel: DataFrame, *, min_price: float = 5.0, min_coverage: float
 
 def cost_coefficients(panel: DataFrame, base_bps: float = 10.0, exponent: float = -0.5) -> DataFrame:
     """``cost``: a coefficient that falls with dollar volume relative to the month's median; missing ones at the highest of all."""
-    medians = panel.groupBy("t").agg(F.median("dv").alias("_median"))
+    panel = settled(panel.select("t", "date", "ticker", "dv"), "volumes")
+    medians = ranks.quantiles(panel, "dv", (0.5,), ("_median",))
     relative = clipped(F.col("dv") / F.col("_median"), 0.01, float("inf"))
     priced = panel.join(F.broadcast(medians), "t").withColumn("cost", F.pow(relative, F.lit(exponent)) * (base_bps / 1e4))  # one row a date
     worst = priced.agg(F.max("cost").alias("_worst"))

@@ -7,8 +7,10 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, panel, returns, universe
+from ..functions.columns import by_ticker, ratio
+from ..operators import features, panel, portfolio, ranks, returns, universe
 from ..sources import files
+from ..sources.scratch import settled
 from ..sources.tables import day_panel, month_panel, smooth_panel, table
 from .catalog import query, round_all
 from .sql import FEATURES, LABELS, MATRIX, P1, P2, P3, P4, RET_GAP, RET_MODEL, RET_PAD, rounded
@@ -281,12 +283,10 @@ SELECT t, date, count(*) FILTER (hi <= greatest(1, floor(c * 0.1))) AS n_long, r
 FROM z GROUP BY t, date HAVING count(fwd) > 0""")
 def minimum_slice(spark, sf_dir):
     """The next month's return of the best tenth by price momentum, less that of the worst tenth."""
-    from ..functions.columns import by_ticker, by_time, ratio
-
     frame = returns.simple_returns(month_panel(spark, sf_dir)).withColumn("fwd", F.lead("ret").over(by_ticker()))
     frame = frame.withColumn("raw", ratio(F.lag("close", 1).over(by_ticker()), F.lag("close", 13).over(by_ticker())) - 1).where(F.col("raw").isNotNull())
-    n = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(by_time()) * 0.1))
-    frame = frame.withColumns({"high": F.row_number().over(by_time().orderBy(F.desc("raw"), "ticker")) <= n, "low": F.row_number().over(by_time().orderBy("raw", "ticker")) <= n})
-    spread = F.avg(F.when(F.col("high"), F.col("fwd"))) - F.avg(F.when(F.col("low"), F.col("fwd")))
-    return frame.groupBy("t", "date").agg(F.count_if("high").alias("n_long"), F.round(spread, 6).alias("ret"), F.count("fwd").alias("_n")).where("_n > 0").drop("_n")
-
+    frame = ranks.with_sizes(portfolio.both_ends(settled(frame.select("t", "date", "ticker", "raw", "fwd"), "raw"), "raw"), "size")
+    n = F.greatest(F.lit(1), F.floor(F.col("size") * 0.1))
+    high, low = F.col("_best") <= n, F.col("_worst") <= n
+    spread = F.avg(F.when(high, F.col("fwd"))) - F.avg(F.when(low, F.col("fwd")))
+    return frame.groupBy("t", "date").agg(F.count_if(high).alias("n_long"), F.round(spread, 6).alias("ret"), F.count("fwd").alias("_n")).where("_n > 0").drop("_n")
