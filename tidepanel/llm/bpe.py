@@ -32,7 +32,9 @@ from .common import in_arrow
 from .shingles import slices
 
 #: Characters of words kept per task, with 100 for what a word needs besides; when more, the memory is emptied.
-KEPT_CHARACTERS = 16 << 20
+KEPT_CHARACTERS = 64 << 20
+#: Letters up to which a word is merged without a heap.
+SHORT = 64
 #: Texts are encoded in slices of about so many characters.
 SLICE = 1 << 20
 
@@ -86,6 +88,9 @@ class Vocabulary:
                 broken.add(self.strings[i])
         self.sound = {s: i for s, i in self.ids.items() if s not in broken}
         self.longest = max(map(len, self.ids), default=1)
+        self.reach: dict[str, int] = {}  # letters of the longest token that begins with two letters
+        for s in self.sound:
+            self.reach[s[:2]] = max(self.reach.get(s[:2], 1), len(s))
         self.letters = byte_letters()
 
     def merge_time(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -114,12 +119,12 @@ class Vocabulary:
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match over the vocabulary's letters."""
-        at, n, out = 0, len(word), []
+        at, n, out, reach = 0, len(word), [], self.reach
         while at < n:
             if n - at + len(self.end) <= self.longest and (i := self.sound.get(word[at:] + self.end)) is not None:
                 out.append(i)
                 break
-            for stop in range(min(n - 1, at + self.longest), at, -1):
+            for stop in range(min(n - 1, at + reach.get(word[at : at + 2], 1)), at, -1):
                 if (i := self.sound.get(word[at:stop])) is not None:
                     out.append(i)
                     at = stop
@@ -133,6 +138,8 @@ class Vocabulary:
         """Exact merging, always the earliest merge and of these the leftmost, in n log n steps for n letters."""
         parts = [*word[:-1], word[-1] + self.end]
         n = len(parts)
+        if n <= SHORT:
+            return self._merge_short(parts)
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
         waiting = [(at, k) for k, pair in enumerate(zip(parts, parts[1:])) if (at := self.rank.get(pair)) is not None]
         heapify(waiting)
@@ -151,6 +158,20 @@ class Vocabulary:
                 heappush(waiting, (at, i))
         return [self.ids[p] for p in parts if p is not None]
 
+    def _merge_short(self, parts: list[str]) -> list[int]:
+        """As ``merge``; for few letters looking through all ranks is faster than a heap."""
+        rank, never = self.rank.get, 1 << 60
+        ranks = [rank(pair, never) for pair in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < never:
+            k = ranks.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = rank((parts[k], parts[k + 1]), never)
+            if k:
+                ranks[k - 1] = rank((parts[k - 1], parts[k]), never)
+        return [self.ids[p] for p in parts]
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         letters = self.letters
         mapped = [w if w.isascii() and w.isalnum() else "".join([letters[b] for b in w.encode()]) for w in words]
