@@ -2,7 +2,10 @@
 
 import datetime
 import math
+import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,9 +147,36 @@ def test_prices_are_checked(spark):
         panel.checked_prices(px.withColumn("date", F.col("date").cast("string")))
 
 
-def test_closed_form_is_the_sequential_run(spark):
-    import random
+def stepped_through(targets, px, cost=0.0, borrow=0.0, *, freq=252, short_mult=1.5):
+    """The same curve, one date after the other."""
+
+    def follow(frame):
+        wide = {c: frame.pivot(index="t", columns="ticker", values=c).sort_index().to_numpy(float) for c in ("ret", "tc", "bf", "target")}
+        dates = frame.groupby("t").agg({"date": "first", "executes": "max"}).sort_index()
+        w, equity, out = np.zeros(wide["ret"].shape[1]), 1.0, []
+        for i, (t, row) in enumerate(dates.iterrows()):
+            traded = cost_now = owed = 0.0
+            if row["executes"]:
+                goal = np.nan_to_num(wide["target"][i])
+                change = np.abs(goal - w)
+                traded, cost_now = change.sum(), min(drift.CAP, float((change * wide["tc"][i] * np.where(goal < 0, short_mult, 1.0)).sum()))
+                w = goal
+            if i:
+                ret = np.nan_to_num(wide["ret"][i])
+                factor = 1 + float(w @ ret)
+                owed = min(drift.CAP, float((-np.minimum(w, 0) * wide["bf"][i]).sum() / freq))
+                equity *= factor
+                if factor > 0 and np.isfinite(factor):
+                    w = w * (1 + ret) / factor
+            equity *= (1 - cost_now) * (1 - owed)
+            out.append((frame["strategy"].iloc[0], int(t), row["date"], equity, traded / 2, cost_now, owed))
+        return pd.DataFrame(out, columns=["strategy", "t", "date", "equity", "turnover", "cost_frac", "borrow_frac"])
+
+    schema = "strategy string, t int, date date, equity double, turnover double, cost_frac double, borrow_frac double"
+    return drift._grid(targets, px, cost, borrow).groupBy("strategy").applyInPandas(follow, schema)
+
 
+def test_closed_form_is_the_sequential_run(spark):
     rng = random.Random(4)
     series = {}
     for k in range(6):
@@ -161,11 +191,28 @@ def test_closed_form_is_the_sequential_run(spark):
     for lag in (0, 1):
         targets = drift.schedule(w, px, lag=lag)
         closed = drift.curve(drift.positions(targets, px, rates, 0.06), freq=12).orderBy("t").collect()
-        stepped = drift.sequential(targets, px, rates, 0.06, freq=12).orderBy("t").collect()
+        stepped = stepped_through(targets, px, rates, 0.06, freq=12).orderBy("t").collect()
         for a, b in zip(closed, stepped, strict=True):
             assert all(a[c] == pytest.approx(b[c], abs=1e-10) for c in ("equity", "turnover", "cost_frac", "borrow_frac"))
 
 
+def test_lost_portfolios_are_restarted(spark):
+    """Books so short that they are lost again and again, between executions, at one, and at the panel's end."""
+    rng = random.Random(11)
+    paths = {f"n{k}": [round(rng.uniform(1, 4), 2) if rng.random() < 0.9 else None for _ in range(30)] for k in range(5)}
+    px = prices(spark, **paths)
+    rows = [(s, t, k, rng.uniform(-0.9, 0.5)) for s in ("a", "b", "c", "d") for t in range(0, 30, {"a": 1, "b": 4, "c": 11, "d": 29}[s]) for k in range(5)]
+    rows += [("calm", 0, k, 0.1) for k in range(5)]
+    w = spark.createDataFrame(rows, "strategy string, t int, ticker long, w double")
+    rates = px.select("date", "ticker", ((px["ticker"] + 1) / 1000.0).alias("rate"))
+    for lag in (0, 1):
+        got = {(r["strategy"], r["t"]): r for r in drift.backtest(w, px, freq=12, lag=lag, cost=rates, borrow=0.06).collect()}
+        wanted = stepped_through(drift.schedule(w, px, lag=lag), px, rates, 0.06, freq=12).collect()
+        assert len(got) == len(wanted) and min(r["equity"] for r in wanted) < 0
+        for r in wanted:
+            assert all(got[r["strategy"], r["t"]][c] == pytest.approx(r[c], abs=1e-10, rel=1e-10) for c in ("equity", "turnover", "cost_frac", "borrow_frac"))
+
+
 def test_wiped_out_portfolio_is_stepped(spark):
     px = prices(spark, a=[1, 1, 2.5, 2.5, 5])
     short = weights(spark, [(0, 0, -1)])

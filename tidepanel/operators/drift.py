@@ -2,20 +2,19 @@
 
 Between two executions holdings only grow with their returns, so a segment has a closed form: with growth G of a name
 since the execution and V = 1 + sum w (G - 1), its weight is w G / V and the portfolio's return V / V before. So the
-engine is windows by ticker and segment, by date, and by ticker, without a loop. It holds while V stays positive;
-:func:`backtest` looks for that, and sends such strategies to :func:`sequential`, where a lost portfolio stops drifting.
+engine is windows by ticker and sums by date, without a loop over dates. It holds while V stays positive. At a date
+where it doesn't, a portfolio is lost: its weights don't drift, and go on from there. :func:`restarted` begins a new
+segment after each such date, of the weights before it, round by round until no segment has one inside.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import settled
-from .panel import asof_weights
+from .panel import asof_weights, checked_prices
 from .returns import simple_returns
 from .universe import align_rates
 
@@ -36,29 +35,57 @@ def schedule(weights: DataFrame, panel: DataFrame, *, lag: int = 1, signal_dates
 
 
 def _grid(targets: DataFrame, panel: DataFrame, cost, borrow) -> DataFrame:
-    """The panel for each strategy, with returns, rates, targets and whether the date executes."""
+    """The panel for each strategy, with returns, rates, targets, whether a segment begins at the date, and whether the date executes.
+
+    A target whose ``restart`` is true begins a segment without being executed.
+    """
     frame = simple_returns(panel.select("t", "date", "ticker", "close"))
     frame = frame.join(align_rates(panel, cost).select("t", "ticker", F.col("rate").alias("tc")), ["t", "ticker"])
     frame = frame.join(align_rates(panel, borrow).select("t", "ticker", F.col("rate").alias("bf")), ["t", "ticker"])
-    executed = targets.select("strategy", "t").distinct().withColumn("executes", F.lit(1))
+    again = F.col("restart") if "restart" in targets.columns else F.lit(False)
+    begun = targets.groupBy("strategy", "t").agg(F.max((~again).cast("int")).alias("executes")).withColumn("starts", F.lit(1))
     names = targets.select("strategy").distinct()
-    frame = frame.crossJoin(F.broadcast(names)).join(F.broadcast(executed), ["strategy", "t"], "left")  # a row a strategy, and a row a strategy and date
-    return frame.join(targets, ["strategy", "t", "ticker"], "left").withColumn("executes", F.coalesce("executes", F.lit(0)))
+    frame = frame.crossJoin(F.broadcast(names)).join(F.broadcast(begun), ["strategy", "t"], "left")  # a row a strategy, and a row a strategy and date
+    frame = frame.join(targets.select("strategy", "t", "ticker", "target"), ["strategy", "t", "ticker"], "left")
+    return frame.withColumns({"executes": F.coalesce("executes", F.lit(0)), "starts": F.coalesce("starts", F.lit(0))})
 
 
 def positions(targets: DataFrame, panel: DataFrame, cost: DataFrame | float = 0.0, borrow: DataFrame | float = 0.0) -> DataFrame:
-    """``strategy, t, date, ticker, before, held, after``: weights before the date's execution, after it, and after its return."""
+    """``strategy, t, date, ticker, before, held, after``: weights before the date's execution, after it, and after its return; and the date's ``v``, ``v0`` and segment."""
     by_name = W.partitionBy("strategy", "ticker").orderBy("t")
     frame = _grid(targets, panel, cost, borrow)
-    frame = frame.withColumn("seg", F.sum("executes").over(by_name.rowsBetween(W.unboundedPreceding, 0)))
+    frame = frame.withColumn("seg", F.sum("starts").over(by_name.rowsBetween(W.unboundedPreceding, 0)))
     segment = W.partitionBy("strategy", "ticker", "seg").orderBy("t")
     start = F.first(F.coalesce("target", F.lit(0.0))).over(segment.rowsBetween(W.unboundedPreceding, 0))
     growth = F.product(1 + F.coalesce("ret", F.lit(0.0))).over(segment.rowsBetween(W.unboundedPreceding, 0))
     frame = frame.withColumns({"w0": F.when(F.col("seg") > 0, start).otherwise(F.lit(0.0)), "g": growth}).withColumn("g0", F.coalesce(F.lag("g").over(segment), F.lit(1.0)))
-    date = W.partitionBy("strategy", "t")
-    frame = frame.withColumns({"v": 1 + F.sum(F.col("w0") * (F.col("g") - 1)).over(date), "v0": 1 + F.sum(F.col("w0") * (F.col("g0") - 1)).over(date)})
-    frame = frame.withColumns({"held": F.col("w0") * F.col("g0") / F.col("v0"), "after": F.col("w0") * F.col("g") / F.col("v")})
-    return frame.withColumn("before", F.coalesce(F.lag("after").over(by_name), F.lit(0.0)))
+    frame = frame.withColumns({"_grown": F.lag(F.col("w0") * F.col("g")).over(by_name), "_entered": F.lag(F.col("w0") * F.col("g0")).over(by_name)})
+    frame = settled(frame, "paths")  # for the sums by date, and for the rows
+    sums = frame.groupBy("strategy", "t").agg((1 + F.sum(F.col("w0") * (F.col("g") - 1))).alias("v"), (1 + F.sum(F.col("w0") * (F.col("g0") - 1))).alias("v0"))
+    by_date = W.partitionBy("strategy").orderBy("t")
+    sums = sums.withColumns({"_v": F.lag("v").over(by_date), "_v0": F.lag("v0").over(by_date)})
+    frame = frame.join(F.broadcast(settled(sums, "values")), ["strategy", "t"])  # a row a strategy and date
+    held = F.col("w0") * F.col("g0") / F.col("v0")
+    after = F.when(F.col("v") > 0, F.col("w0") * F.col("g") / F.col("v")).otherwise(held)
+    before = F.when(F.col("_v") > 0, F.col("_grown") / F.col("_v")).otherwise(F.col("_entered") / F.col("_v0"))
+    return frame.withColumns({"held": held, "after": after, "before": F.coalesce(before, F.lit(0.0))})
+
+
+def restarted(targets: DataFrame, panel: DataFrame, cost: DataFrame | float = 0.0, borrow: DataFrame | float = 0.0) -> DataFrame:
+    """:func:`positions` of strategies that may be lost: each round begins a new segment after the first date of a segment at which the value isn't positive."""
+    now = settled(targets.select("strategy", "t", "ticker", "target", F.lit(False).alias("restart")), "targets")
+    ends = panel.agg(F.max("t").alias("_end"))
+    while True:
+        held = positions(now, panel, cost, borrow)
+        dates = held.groupBy("strategy", "t").agg(F.max("seg").alias("seg"), F.max("v").alias("v"))
+        lost = dates.where("v <= 0 and seg > 0").groupBy("strategy", "seg").agg(F.min("t").alias("t"))
+        begun = now.select("strategy", (F.col("t") - 1).alias("t")).distinct()
+        lost = lost.join(begun, ["strategy", "t"], "left_anti").crossJoin(F.broadcast(ends)).where(F.col("t") < F.col("_end"))  # a single row
+        lost = settled(lost.select("strategy", "t"), "lost")
+        if lost.isEmpty():
+            return held
+        frozen = held.join(F.broadcast(lost), ["strategy", "t"]).select("strategy", (F.col("t") + 1).alias("t"), "ticker", F.col("after").alias("target"), F.lit(True).alias("restart"))  # a row a strategy and segment
+        now = settled(now.unionByName(frozen), "targets")
 
 
 def curve(held: DataFrame, *, freq: float = 252, short_mult: float = 1.5) -> DataFrame:
@@ -77,45 +104,17 @@ def curve(held: DataFrame, *, freq: float = 252, short_mult: float = 1.5) -> Dat
     return factors.withColumn("equity", equity).select("strategy", "t", "date", "equity", (F.col("traded") / 2).alias("turnover"), "cost_frac", "borrow_frac", F.least("v", "v0").alias("lowest"))
 
 
-def sequential(targets: DataFrame, panel: DataFrame, cost: DataFrame | float = 0.0, borrow: DataFrame | float = 0.0, *, freq: float = 252, short_mult: float = 1.5) -> DataFrame:
-    """The same curve, one date after the other; a strategy is a group. For portfolios that can be wiped out."""
-
-    def follow(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = {c: frame.pivot(index="t", columns="ticker", values=c).sort_index().to_numpy(float) for c in ("ret", "tc", "bf", "target")}
-        dates = frame.groupby("t").agg({"date": "first", "executes": "max"}).sort_index()
-        w, equity, out = np.zeros(wide["ret"].shape[1]), 1.0, []
-        for i, (t, row) in enumerate(dates.iterrows()):
-            traded = cost_now = owed = 0.0
-            if row["executes"]:
-                goal = np.nan_to_num(wide["target"][i])
-                change = np.abs(goal - w)
-                traded, cost_now = change.sum(), min(CAP, float((change * wide["tc"][i] * np.where(goal < 0, short_mult, 1.0)).sum()))
-                w = goal
-            if i:
-                ret = np.nan_to_num(wide["ret"][i])
-                factor = 1 + float(w @ ret)
-                owed = min(CAP, float((-np.minimum(w, 0) * wide["bf"][i]).sum() / freq))
-                equity *= factor
-                if factor > 0 and np.isfinite(factor):
-                    w = w * (1 + ret) / factor
-            equity *= (1 - cost_now) * (1 - owed)
-            out.append((frame["strategy"].iloc[0], int(t), row["date"], equity, traded / 2, cost_now, owed))
-        return pd.DataFrame(out, columns=["strategy", "t", "date", "equity", "turnover", "cost_frac", "borrow_frac"])
-
-    schema = "strategy string, t int, date date, equity double, turnover double, cost_frac double, borrow_frac double"
-    return _grid(targets, panel, cost, borrow).groupBy("strategy").applyInPandas(follow, schema)
-
-
 def backtest(weights: DataFrame, panel: DataFrame, *, freq: float = 252, lag: int = 1, signal_dates: DataFrame | None = None, cost: DataFrame | float = 0.0, borrow: DataFrame | float = 0.0, short_mult: float = 1.5) -> DataFrame:
-    """The curve of each strategy of ``weights(strategy, t, ticker, w)``. Without a strategy and ``t``, :func:`shaped` gives them. Strategies that are ever wiped out are stepped through, the others are in closed form."""
+    """The curve of each strategy of ``weights(strategy, t, ticker, w)``. Without a strategy and ``t``, :func:`shaped` gives them. Strategies that are ever wiped out are restarted, the others are one closed form."""
+    checked_prices(panel)
     weights = weights if {"strategy", "t"} <= set(weights.columns) else shaped(weights, panel)
     targets = schedule(weights, panel, lag=lag, signal_dates=signal_dates)
     curves = settled(curve(positions(targets, panel, cost, borrow), freq=freq, short_mult=short_mult), "curves")  # a row a strategy and date
     lost = settled(curves.where("lowest <= 0").select("strategy").distinct(), "lost")
     if lost.isEmpty():
         return curves.drop("lowest")
-    stepped = sequential(targets.join(F.broadcast(lost), "strategy", "left_semi"), panel, cost, borrow, freq=freq, short_mult=short_mult)  # a row a strategy
-    return curves.join(F.broadcast(lost), "strategy", "left_anti").drop("lowest").unionByName(stepped)
+    again = curve(restarted(targets.join(F.broadcast(lost), "strategy", "left_semi"), panel, cost, borrow), freq=freq, short_mult=short_mult)  # a row a strategy
+    return curves.join(F.broadcast(lost), "strategy", "left_anti").unionByName(again).drop("lowest")
 
 
 def shaped(weights: DataFrame, panel: DataFrame, strategy: str = "weights") -> DataFrame:

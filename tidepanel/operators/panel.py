@@ -17,19 +17,27 @@ def calendar(facts: DataFrame) -> DataFrame:
     return facts.select("date").distinct().withColumn("t", (F.row_number().over(W.orderBy("date")) - 1).cast("int"))
 
 
-def checked_prices(facts: DataFrame) -> DataFrame:
-    """``date, ticker, close`` of ``facts``; an error if one of them is missing, or isn't a date, a name and a number."""
-    kinds = {"date": (T.DateType,), "ticker": (T.StringType, T.IntegralType), "close": (T.NumericType,)}
-    for name, kind in kinds.items():
+_KINDS = {"date": (T.DateType,), "ticker": (T.StringType, T.IntegralType), "close": (T.NumericType,)}
+
+
+def check_columns(facts: DataFrame, names: Sequence[str]) -> None:
+    """An error if one of ``names``, of date, ticker and close, is missing, or isn't a date, a name and a number."""
+    for name in names:
         if name not in facts.columns:
             raise ValueError(f"prices have no column {name!r}, only {facts.columns}")
-        if not isinstance(facts.schema[name].dataType, kind):
+        if not isinstance(facts.schema[name].dataType, _KINDS[name]):
             raise TypeError(f"{name} of prices is {facts.schema[name].dataType.simpleString()}")
+
+
+def checked_prices(facts: DataFrame) -> DataFrame:
+    """``date, ticker, close`` of ``facts``, after :func:`check_columns`."""
+    check_columns(facts, ("date", "ticker", "close"))
     return facts.select("date", "ticker", F.col("close").cast("double").alias("close"))
 
 
 def densify(facts: DataFrame) -> DataFrame:
     """Every ticker at every date, with its ordinal ``t``; cells without a fact are null."""
+    check_columns(facts, ("date", "ticker"))
     grid = facts.select("ticker").distinct().crossJoin(F.broadcast(calendar(facts)))  # the calendar is one row a date
     return grid.join(facts, ["ticker", "date"], "left").select("t", "date", "ticker", *[c for c in facts.columns if c not in ("ticker", "date")])
 
