@@ -99,7 +99,7 @@ def test_walk_forward(spark):
     plan = walkforward.blocks(px, 24, 6)
     slices = walkforward.training_rows(px, plan, 24)
     assert [r["n"] for r in slices.groupBy("block").agg({"t": "count"}).withColumnRenamed("count(t)", "n").collect()] == [48] * 6
-    native = walkforward.best_momentum(slices)
+    native = walkforward.best_momentum(px, plan, 24, 6)
     user = walkforward.user_signal(slices, lambda wide: (wide.iloc[-1] / wide.iloc[0] == (wide.iloc[-1] / wide.iloc[0]).max()).astype(float))
     assert {(r["block"], r["ticker"]) for r in native.collect()} == {(r["block"], r["ticker"]) for r in user.where("w > 0").collect()}
     assert run(spark, px, walkforward.held_weights(px, plan, native, "s"))[1]["ann_return"] > 0

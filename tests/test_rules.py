@@ -6,7 +6,8 @@ import math
 import numpy as np
 import pytest
 
-from tidepanel.functions.boosting import adf_p_value, boosted_probabilities
+from tidepanel.functions.boosting import boosted_probabilities
+from tidepanel.functions.unitroot import adf_p_value
 from tidepanel.operators import execution, features, ffd, metrics, panel, portfolio, returns, scoring, universe
 from tidepanel.sources import files
 

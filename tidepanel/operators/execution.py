@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,11 +42,18 @@ class Policy:
         return 1.0 / (1.0 + phi * self.a / self.risk)
 
     def aim(self, inputs: np.ndarray, phi: float, covariance: np.ndarray | None = None) -> np.ndarray:
-        """The aim for signals (not weights): discounted, and with a covariance the mean-variance solution."""
+        """The aim for an array of signals: discounted, and with a covariance the mean-variance solution."""
         scaled = inputs * self.aim_weight(phi)
         return scaled / self.risk if covariance is None else np.linalg.solve(self.risk * covariance, scaled)
 
 
+def parameters(decay: DataFrame, policies: Sequence[Policy]) -> DataFrame:
+    """``decay(phi, ...)`` once for each policy, with ``risk, cost, discount, gross``, the derived ``a`` and ``fraction``, and the aim's weight at each ``phi``."""
+    rows = [(p.risk, p.cost, p.discount, p.gross, p.a, p.fraction) for p in policies]
+    table = decay.sparkSession.createDataFrame(rows, "risk double, cost double, discount double, gross double, a double, fraction double")
+    return decay.crossJoin(F.broadcast(table)).withColumn("aim_weight", 1 / (1 + F.col("phi") * F.col("a") / F.col("risk")))  # a row a policy
+
+
 def _decay(n: Column, c0: Column, c1: Column) -> Column:
     """The decay of a series of ``n`` known values from its variance and lag-1 autocovariance."""
     return F.when(n < 3, F.lit(0.5)).when(c0 < 1e-15, F.lit(0.0)).otherwise(F.greatest(F.lit(0.01), F.least(F.lit(0.99), c1 / c0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,10 +22,10 @@ def taps(d: float, threshold: float = 1e-4, max_lags: int = 60) -> list[float]:
     return weights[: 1 + small[0] if len(small) else max_lags].tolist()
 
 
-def tap_table(spark: SparkSession, orders: Sequence[float], threshold: float = 1e-4, max_lags: int = 60) -> DataFrame:
-    """``d, k, w`` of several orders, as a running product."""
+def tap_table(orders: DataFrame, threshold: float = 1e-4, max_lags: int = 60) -> DataFrame:
+    """``d, k, w`` of each of ``orders(d)``, as a running product."""
     by = W.partitionBy("d").orderBy("k")
-    grid = spark.range(max_lags).select(F.col("id").cast("int").alias("k"), F.explode(F.array(*[F.lit(float(d)) for d in orders])).alias("d"))
+    grid = orders.where(F.col("d").between(0, 2)).select("d").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(max_lags - 1))))
     factor = F.when(F.col("k") == 0, F.lit(1.0)).otherwise((F.col("k") - 1 - F.col("d")) / F.col("k"))
     weights = grid.withColumn("w", F.product(factor).over(by.rowsBetween(W.unboundedPreceding, 0)))
     ended = F.max((F.abs("w") < threshold).cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import forward_fill, rows
+from ..sources.scratch import settled
 
 
 def calendar(facts: DataFrame) -> DataFrame:
@@ -73,6 +74,32 @@ def asof_weights(weights: DataFrame, panel: DataFrame) -> DataFrame:
     return grid.join(own, ["mark", "ticker"], "left").select("t", "date", "ticker", F.coalesce("w", F.lit(0.0)).alias("w"))
 
 
+def asof_join(asked: DataFrame, known: DataFrame, values: Sequence[str], *, key: str = "ticker", at: str = "date", spans: int = 64) -> DataFrame:
+    """``asked`` with ``values`` of the latest row of ``known`` with the same ``key`` not after the row's ``at``; null before the first. Keys have dates of their own, no panel is needed.
+
+    Time is cut into ``spans`` of about as many rows, so a key's rows lie in several tasks. The last values of each key
+    and span, a row each, are carried to the spans after it; inside a span both tables are merged in order of time. Of
+    rows of ``known`` with equal key and time one counts, in no fixed order: make them unique first.
+    """
+    own = F.struct(*values)
+    parts = [asked.select(F.col(key).alias("_k"), F.col(at).alias("_at"), F.lit(None).cast(T.StructType([known.schema[v] for v in values])).alias("_v"), F.struct(*asked.columns).alias("_row")),
+             known.select(F.col(key).alias("_k"), F.col(at).alias("_at"), own.alias("_v"), F.lit(None).cast(asked.schema).alias("_row"))]
+    both = settled(parts[0].unionByName(parts[1]), "asof")
+    order = F.col("_at").cast("timestamp").cast("double")
+    found = both.agg(F.percentile_approx(order, [k / spans for k in range(1, spans)], 10_000)).first()[0]  # spans - 1 numbers, which only balance the work
+    cuts = F.array(*[F.lit(c) for c in sorted(set(found or []))]) if found else F.array().cast("array<double>")
+    both = both.withColumn("_span", F.size(F.filter(cuts, lambda c: c < order)))
+    lasts = both.where(F.col("_v").isNotNull()).groupBy("_k", "_span").agg(F.max_by("_v", "_at").alias("_last"))
+    # at each span that a key has rows in, the last value of the spans before it
+    begun = both.select("_k", "_span").distinct().join(lasts, ["_k", "_span"], "left")
+    earlier = W.partitionBy("_k").orderBy("_span").rowsBetween(W.unboundedPreceding, -1)  # a row a span
+    begun = begun.withColumn("_carried", F.last("_last", ignorenulls=True).over(earlier)).where(F.col("_carried").isNotNull()).select("_k", "_span", "_carried")
+    inside = W.partitionBy("_k", "_span").orderBy("_at", F.col("_row").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    merged = both.withColumn("_own", F.last("_v", ignorenulls=True).over(inside)).where(F.col("_row").isNotNull())
+    out = merged.join(begun, ["_k", "_span"], "left").withColumn("_own", F.coalesce("_own", "_carried"))
+    return out.select("_row.*", *[F.col(f"_own.{v}").alias(v) for v in values])
+
+
 def dedup_last(facts: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key in ``order``."""
     ranked = facts.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])))

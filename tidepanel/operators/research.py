@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,26 +67,40 @@ def compared_scores(probs: DataFrame, stats: DataFrame, bench: DataFrame, q: flo
 
 
 def aims(signals: DataFrame, phi: float, policy: execution.Policy, covariance: DataFrame | None = None) -> DataFrame:
-    """``t, ticker, aim`` for ``signals(t, ticker, signal)``: discounted, and with ``covariance(ticker, other, value)`` the mean-variance solution.
-
-    A date's names are one group, and the covariance, names by names, goes to every task: it must be small enough for one.
-    """
-    scaled = signals.select("t", "ticker", (F.coalesce("signal", F.lit(0.0)) * policy.aim_weight(phi)).alias("aim"))
-    if covariance is None:
-        return scaled.withColumn("aim", F.col("aim") / policy.risk)
-    wide = signals.sparkSession.sparkContext.broadcast(covariance.toPandas().pivot(index="ticker", columns="other", values="value"))
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        matrix = wide.value.loc[frame["ticker"], frame["ticker"]].to_numpy() * policy.risk
-        return frame.assign(aim=_solved(matrix, frame["aim"].to_numpy()))
-
-    return scaled.groupBy("t").applyInPandas(solve, scaled.schema)
+    """``t, ticker, aim`` for ``signals(t, ticker, signal)``: discounted, and with ``covariance(ticker, other, value)`` the mean-variance solution among a date's names."""
+    scaled = signals.select("t", "ticker", (F.coalesce("signal", F.lit(0.0)) * policy.aim_weight(phi) / policy.risk).alias("aim"))
+    return scaled if covariance is None else solved(covariance, scaled)
 
 
-def _solved(matrix, right):
-    import numpy as np
+def solved(matrix: DataFrame, right: DataFrame, *, tolerance: float = 1e-13, rounds: int = 1_000) -> DataFrame:
+    """``t, ticker, aim`` with ``matrix(ticker, other, value)``, symmetric and positive, times it being ``right(t, ticker, aim)`` at each ``t``, among the names that ``t`` has.
 
-    return np.linalg.solve(matrix, right)
+    Conjugate gradients, all dates at once: a round is a join with the matrix and a sum, so the matrix may have any size and
+    stay as sparse as it is. It ends when the residual's norm is ``tolerance`` of the right side's at every date; if it
+    isn't after ``rounds``, that is an error.
+    """
+    matrix = settled(matrix.where("value != 0").select(F.col("ticker").alias("_row"), F.col("other").alias("ticker"), "value"), "matrix")
+    state = right.select("t", "ticker", F.lit(0.0).alias("x"), F.col("aim").alias("r"), F.col("aim").alias("p"))
+    state = settled(state, "state")
+    norms = settled(state.groupBy("t").agg(F.sum(F.col("r") * F.col("r")).alias("rr")), "norms")  # a row a date, as all tables that are broadcast here
+    limit = settled(norms.select("t", (F.col("rr") * tolerance**2).alias("_limit")), "limits")
+    open_ = lambda norms: norms.join(F.broadcast(limit), "t").where((F.col("rr") > F.col("_limit")) & (F.col("rr") > 0)).select("t")
+    for _ in range(rounds):
+        left = settled(open_(norms), "open")
+        if left.isEmpty():
+            return state.select("t", "ticker", F.col("x").alias("aim"))
+        moving = state.where("p != 0").join(F.broadcast(left), "t", "left_semi")
+        image = moving.select("t", "ticker", "p").join(matrix, "ticker").groupBy("t", F.col("_row").alias("ticker")).agg(F.sum(F.col("value") * F.col("p")).alias("q"))
+        state = settled(state.join(image, ["t", "ticker"], "left").withColumn("q", F.coalesce("q", F.lit(0.0))), "image")
+        steps = state.groupBy("t").agg(F.sum(F.col("p") * F.col("q")).alias("pq")).join(F.broadcast(norms), "t").join(F.broadcast(left), "t")
+        steps = settled(steps.select("t", (F.col("rr") / F.col("pq")).alias("_step"), F.col("rr").alias("_before")), "steps")
+        step = F.coalesce("_step", F.lit(0.0))
+        state = state.join(F.broadcast(steps), "t", "left").withColumns({"x": F.col("x") + step * F.col("p"), "r": F.col("r") - step * F.col("q")})
+        state = settled(state.drop("q", "_step"), "moved")
+        norms = settled(state.groupBy("t").agg(F.sum(F.col("r") * F.col("r")).alias("rr")), "norms")
+        turn = F.coalesce(F.col("rr") / F.col("_before"), F.lit(0.0))
+        state = state.join(F.broadcast(norms), "t").withColumn("p", F.col("r") + turn * F.col("p")).select("t", "ticker", "x", "r", "p")
+    raise ArithmeticError(f"conjugate gradients did not end in {rounds} rounds; is the matrix symmetric and positive?")
 
 
 def _normal(seed: int, stream: str, *ids: Column) -> Column:
@@ -97,12 +110,22 @@ def _normal(seed: int, stream: str, *ids: Column) -> Column:
     return F.sqrt(-2 * F.log(part(1))) * F.cos(2 * math.pi * part(9))
 
 
-def simulated_universe(spark: SparkSession, names: int, months: int, *, seed: int = 0, phi: float = 0.65, alpha: float = 0.005, noise: float = 0.06, market: float = 0.04, drift_rate: float = 0.005) -> DataFrame:
-    """``t, ticker, expected, ret, close``: names whose expected return is an AR(1) series, with a common and an own shock; prices from 100."""
-    grid = spark.range(names).withColumnRenamed("id", "ticker").crossJoin(F.broadcast(spark.range(months).select(F.col("id").cast("int").alias("t"))))  # one row a month
-    shock = F.when(F.col("t") == 0, F.lit(alpha)).otherwise(F.lit(alpha * math.sqrt(1 - phi * phi))) * _normal(seed, "a", F.col("ticker"), F.col("t"))
-    grid = grid.withColumn("_s", shock * F.pow(F.lit(phi), -F.col("t")))
-    expected = F.sum("_s").over(rows(None, 0)) * F.pow(F.lit(phi), F.col("t"))
+def simulated_universe(grid: DataFrame, *, seed: int = 0, phi: float = 0.65, alpha: float = 0.005, noise: float = 0.06, market: float = 0.04, drift_rate: float = 0.005) -> DataFrame:
+    """``t, ticker, expected, ret, close`` for the names and months of ``grid(t, ticker)``: an expected return that is an AR(1) series, a common and an own shock; prices from 100.
+
+    The series is summed in spans short enough that powers of ``phi`` stay within 1e12; what lies two spans back counts below 1e-12.
+    """
+    span = max(1, math.ceil(math.log(1e-12) / math.log(phi)))
+    scale = alpha * math.sqrt(1 - phi * phi)
+    shock = F.when(F.col("t") == 0, F.lit(alpha)).otherwise(F.lit(scale)) * _normal(seed, "a", F.col("ticker"), F.col("t"))
+    within = (F.col("t") % span).cast("double")
+    grid = grid.select("t", "ticker").withColumns({"_span": F.floor(F.col("t") / span), "_s": shock * F.pow(F.lit(phi), -within)})
+    by_span = W.partitionBy("ticker", "_span").orderBy("t")
+    grid = grid.withColumn("_own", F.sum("_s").over(by_span.rowsBetween(W.unboundedPreceding, 0)) * F.pow(F.lit(phi), within))
+    ends = grid.groupBy("ticker", "_span").agg(F.max_by("_own", "t").alias("_end"))
+    ends = ends.select("ticker", (F.col("_span") + 1).alias("_span"), "_end")
+    grid = grid.join(ends, ["ticker", "_span"], "left")
+    expected = F.col("_own") + F.coalesce("_end", F.lit(0.0)) * F.pow(F.lit(phi), within + 1)
     ret = drift_rate + F.col("expected") + market * _normal(seed, "m", F.col("t")) + noise * _normal(seed, "n", F.col("ticker"), F.col("t"))
     grid = grid.withColumn("expected", expected).withColumn("ret", F.greatest(ret, F.lit(-0.95)))
     return grid.select("t", "ticker", "expected", "ret", (100 * F.product(1 + F.col("ret")).over(rows(None, 0))).alias("close"))

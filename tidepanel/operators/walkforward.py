@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
@@ -25,11 +27,24 @@ def training_rows(panel: DataFrame, plan: DataFrame, train: int) -> DataFrame:
     return panel.join(F.broadcast(plan), (F.col("t") >= F.col("start") - train) & (F.col("t") < F.col("start")))  # one row a block
 
 
-def best_momentum(slices: DataFrame) -> DataFrame:
-    """``block, ticker, w``: weight 1 for each name whose price grew most over the training slice."""
-    from pyspark.sql import Window as W
+def by_panes(panel: DataFrame, plan: DataFrame, train: int, test: int, partial: dict[str, Column], merged: dict[str, Column]) -> DataFrame:
+    """``block, ticker`` and ``merged`` over each block's training slice, from ``partial`` aggregates of panes.
+
+    Slices begin and end at multiples of the pane's width, the largest that divides ``train`` and ``test``. So rows are
+    aggregated once, and only panes, a row each and name, go to every block that holds them.
+    """
+    width = math.gcd(train, test)
+    panes = panel.groupBy("ticker", F.floor(F.col("t") / width).alias("_pane")).agg(*[c.alias(name) for name, c in partial.items()])
+    inside = (F.col("_pane") * width >= F.col("start") - train) & (F.col("_pane") * width < F.col("start"))
+    return panes.join(F.broadcast(plan), inside).groupBy("block", "ticker").agg(*[c.alias(name) for name, c in merged.items()])  # one row a block
 
-    edge = slices.groupBy("block", "ticker").agg(ratio(F.max_by("close", "t"), F.min_by("close", "t")).alias("_g"))
+
+def best_momentum(panel: DataFrame, plan: DataFrame, train: int, test: int) -> DataFrame:
+    """``block, ticker, w``: weight 1 for each name whose price grew most over the training slice."""
+    priced = F.col("close").isNotNull()
+    ends = {"_first": F.min(F.when(priced, F.struct("t", "close"))), "_last": F.max(F.when(priced, F.struct("t", "close")))}
+    whole = {"_first": F.min("_first"), "_last": F.max("_last")}
+    edge = by_panes(panel, plan, train, test, ends, whole).withColumn("_g", ratio(F.col("_last.close"), F.col("_first.close")))
     return edge.where(F.col("_g").isNotNull()).withColumn("_m", F.max("_g").over(W.partitionBy("block"))).where("_g = _m").select("block", "ticker", F.lit(1.0).alias("w"))
 
 

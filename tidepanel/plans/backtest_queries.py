@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import drift, execution, features, metrics, model, portfolio, universe, walkforward
+from ..operators import drift, execution, features, ffd, metrics, model, portfolio, research, universe, walkforward
 from ..operators.returns import model_returns, pnl_prices
 from ..sources.scratch import settled
 from ..sources.tables import month_panel, smooth_panel
 from .catalog import query, round_all
-from .model_queries import DENSE, P3, SPREAD, THRESHOLD, spreads, weights_on
+from .model_queries import DENSE, FOLD, P1, P3, SPREAD, SWEEP, THRESHOLD, recursive, spreads, weights_on
 from .panel_queries import FEES, FLOORS, TIERS, tier_case
 
 FREQ = 12
@@ -157,7 +157,7 @@ bm AS (SELECT block, ticker, 1.0::DOUBLE AS w FROM sl WHERE g IS NOT NULL QUALIF
 def walk(spark, sf_dir):
     source = settled(smooth_panel(spark, sf_dir), "panel")
     plan = walkforward.blocks(source, 24, 6)
-    return source, plan, walkforward.best_momentum(walkforward.training_rows(source, plan, 24))
+    return source, plan, walkforward.best_momentum(source, plan, 24, 6)
 
 
 @query("walk_forward_blocks", P3 + WALK + " SELECT block, start::INT AS start, stop::INT AS stop, ticker, w FROM bl JOIN bm USING (block)")
@@ -239,11 +239,75 @@ def compare_strategies(spark, sf_dir):
     return metrics.summary(metrics.metrics(run, freq=FREQ))
 
 
+EVERY_DATE = """,
+tgt AS (SELECT p.t, p.ticker, CASE WHEN p.close IS NOT NULL THEN b.w ELSE 0 END AS target FROM b JOIN p ON p.t = b.t + 1 AND p.ticker = b.ticker)"""
+
+
+def _swept(cost: float) -> str:
+    fold = FOLD.format(phi="0.65::DOUBLE", runs=f"SELECT 'cost {cost}' AS run, {cost}::DOUBLE AS cost", join="").replace("round(unnest(x), 6) AS w", "unnest(x) AS w")
+    held = P3 + f", b AS (SELECT t, ticker, w FROM ({recursive(DENSE)}{fold}))"
+    return f"SELECT 'cost {cost}' AS run, * FROM ({held}{EVERY_DATE}{RATES}{ENGINE.format(freq='12.0::DOUBLE')}{FIGURES} SELECT round(ann_return, 6) AS ann_return, round(ann_vol, 6) AS ann_vol, round(sharpe, 5) AS sharpe, round(ann_turnover, 6) AS ann_turnover FROM fig)"
+
+
+@query("policy_sweep_engine", " UNION ALL ".join(_swept(c) for c in SWEEP))
+def policy_sweep_engine(spark, sf_dir):
+    """Each cost multiplier's policy run through the engine: what it returns, and what it trades."""
+    source = settled(smooth_panel(spark, sf_dir), "panel")
+    held = execution.run_policies(settled(weights_on(source), "weights"), {f"cost {c}": execution.Policy(cost=c) for c in SWEEP}, 0.65)
+    weights = settled(held.select(F.col("run").alias("strategy"), "t", "ticker", "w"), "swept")
+    figures = metrics.metrics(drift.backtest(weights, source, freq=FREQ, lag=0, cost=rates_of(source)[0], borrow=rates_of(source)[1]), freq=FREQ)
+    return round_all(figures.select(F.col("strategy").alias("run"), "ann_return", "ann_vol", "sharpe", "ann_turnover"), {"ann_return": 6, "ann_vol": 6, "sharpe": 5, "ann_turnover": 6})
+
+
 @query("d_search", None)
 def d_search(spark, sf_dir):
     return model.search_orders(month_panel(spark, sf_dir))
 
 
+@query("ffd_scores_searched", None)
+def ffd_scores_searched(spark, sf_dir):
+    """The chain whole: each name's order searched, their median, the level of that order, and its slopes."""
+    source = settled(month_panel(spark, sf_dir), "panel")
+    d = model.median_order(model.search_orders(source))
+    return ffd.slope_scores(ffd.level(source, d)).select("t", "ticker", "ffd1", "ffd3", "ffd12", F.lit(d).alias("d"))
+
+
+UNIT_ROOT = P1 + """,
+x AS (SELECT ticker, t, ln(close) AS y, lag(ln(close)) OVER (PARTITION BY ticker ORDER BY t) AS before FROM p WHERE close IS NOT NULL),
+c AS (SELECT ticker, y - before AS change, before FROM x WHERE before IS NOT NULL),
+s AS (SELECT ticker, count(*) AS n, regr_slope(change, before) AS slope, regr_sxx(change, before) AS sxx, regr_syy(change, before) AS syy FROM c GROUP BY ticker)
+SELECT ticker, round(slope / sqrt((syy - slope * slope * sxx) / (n - 2) / sxx), 5) AS tau FROM s WHERE n > 9"""
+
+
+@query("unit_root_tau", UNIT_ROOT)
+def unit_root_tau(spark, sf_dir):
+    """The unit-root statistic of each name's log price, without lags."""
+    return round_all(model.unit_root_statistics(month_panel(spark, sf_dir), lags=0).where("n > 10").select("ticker", "tau"), {"tau": 5})
+
+
+def learned(spark, sf_dir, last: int):
+    """Panel, learned probabilities and labels, with up to ``last`` months of training."""
+    source = settled(smooth_panel(spark, sf_dir), "panel")
+    cut = features.FIRST + 24
+    matrix, labels = model.model_pool(source, None, cut, threshold=THRESHOLD, max_lags=SHORT_LAGS, min_names=2)
+    return source, settled(model.fit_predict(matrix, labels, min_train=24, last=last, cut=cut), "probs"), labels
+
+
+@query("compared_learned_scores", None)
+def compared_learned_scores(spark, sf_dir):
+    """The research loop's table for learned probabilities: momentum and the three scores."""
+    source, probs, labels = learned(spark, sf_dir, 36)
+    signal = features.momentum(settled(model_returns(source), "returns")).select("t", "ticker", F.col("ret").alias("fwd"), F.col("mom12").alias("signal"))
+    return research.compared_scores(probs, features.class_stats(labels.where(F.col("t") < features.FIRST + 24)), settled(signal, "bench"))
+
+
+@query("model_weights_expanding", None)
+def model_weights_expanding(spark, sf_dir):
+    """Weights by the ratio of expected return to deviation, trained each year on all months before it."""
+    source = settled(smooth_panel(spark, sf_dir), "panel")
+    return model.model_weights(source, min_train=24, last=10_000, min_names=2, threshold=THRESHOLD, max_lags=SHORT_LAGS, score="srp")
+
+
 FOLDS = P3 + """,
 md AS (SELECT DISTINCT t, date FROM p),
 due AS (SELECT * FROM md WHERE t >= (SELECT min(t) FROM md) + 24),

@@ -24,9 +24,10 @@ g(d, k, w) AS (
   UNION ALL SELECT d, k + 1, -w * (d - k) / (k + 1) FROM g WHERE k + 1 < {lags} AND abs(-w * (d - k) / (k + 1)) >= {threshold})"""
 
 
-@query("ffd_weights", "WITH RECURSIVE" + taps_sql("SELECT unnest([0.0, 0.2, 0.45, 0.8, 1.0, 1.6])::DOUBLE AS d") + " SELECT d, k, round(w, 10) AS w FROM g")
+@query("ffd_weights", P1.replace("WITH", "WITH RECURSIVE", 1) + "," + taps_sql("SELECT DISTINCT (ticker % 19) / 10.0::DOUBLE AS d FROM p") + " SELECT d, k, round(w, 10) AS w FROM g")
 def ffd_weights(spark, sf_dir):
-    return round_all(ffd.tap_table(spark, [0.0, 0.2, 0.45, 0.8, 1.0, 1.6]), {"w": 10})
+    """The taps of all orders that the panel's names ask for."""
+    return round_all(ffd.tap_table(month_panel(spark, sf_dir).select(((F.col("ticker") % 19) / 10.0).alias("d"))), {"w": 10})
 
 
 #: Levels of every supplier; each ticker's order in the second.
@@ -114,17 +115,17 @@ def decay_rolling(spark, sf_dir):
     return round_all(execution.rolling_acf1(features.price_momentum(smooth_panel(spark, sf_dir))), {"phi": 6})
 
 
-PARAMS = """
-SELECT cost, phi, round(a, 8) AS a, round(least(greatest(a / cost, 0), 1), 8) AS fraction, round(1 / (1 + phi * a / 1.0), 8) AS aim_weight FROM (
-  SELECT cost::DOUBLE AS cost, phi::DOUBLE AS phi, (sqrt(pow(1 + cost * 0.001, 2) + 4 * cost * 0.999) - (1 + cost * 0.001)) / (2 * 0.999 * cost) AS a
-  FROM (SELECT unnest([0.5, 1, 2, 5, 10])::DOUBLE AS cost) CROSS JOIN (SELECT unnest([0.2, 0.65, 0.95])::DOUBLE AS phi))"""
+PARAMS = P3 + SIGNAL + ACF.format(by="ticker", rel="s") + """,
+c AS (SELECT cost, (sqrt(pow(1 + cost * 0.001, 2) + 4 * cost * 0.999) - (1 + cost * 0.001)) / (2 * 0.999 * cost) AS a FROM (SELECT unnest([0.5, 1, 2, 5, 10])::DOUBLE AS cost))
+SELECT ticker, cost, round(phi, 6) AS phi, round(a, 8) AS a, round(least(greatest(a / cost, 0), 1), 8) AS fraction, round(1 / (1 + phi * a), 6) AS aim_weight FROM a CROSS JOIN c"""
 
 
 @query("policy_params", PARAMS)
 def policy_params(spark, sf_dir):
-    rows = [(c, phi, p.a, p.fraction, p.aim_weight(phi)) for c in (0.5, 1.0, 2.0, 5.0, 10.0) for phi in (0.2, 0.65, 0.95) for p in [execution.Policy(cost=c)]]
-    frame = spark.createDataFrame(rows, "cost double, phi double, a double, fraction double, aim_weight double")
-    return round_all(frame, {"a": 8, "fraction": 8, "aim_weight": 8})
+    """The parameters of policies for each name, from the decay of its own signal."""
+    decay = execution.acf1(features.price_momentum(smooth_panel(spark, sf_dir)), ["ticker"])
+    table = execution.parameters(decay, [execution.Policy(cost=c) for c in (0.5, 1.0, 2.0, 5.0, 10.0)])
+    return round_all(table.select("ticker", "cost", "phi", "a", "fraction", "aim_weight"), {"phi": 6, "a": 8, "fraction": 8, "aim_weight": 6})
 
 
 def weights_on(source: DataFrame, q: float = 0.1) -> DataFrame:

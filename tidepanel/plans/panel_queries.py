@@ -70,6 +70,20 @@ def panel_asof_weights(spark, sf_dir):
     return panel.asof_weights(quarter_weights(source), source)
 
 
+ASOF = """
+WITH k AS (SELECT user_id, ts, arg_max(value, event_id) AS value FROM events WHERE event_type <> 'view' GROUP BY 1, 2)
+SELECT a.event_id, k.ts AS known_at, k.value AS known FROM (SELECT * FROM events WHERE event_type = 'view') a ASOF LEFT JOIN k ON a.user_id = k.user_id AND a.ts >= k.ts"""
+
+
+@query("panel_asof_join", ASOF)
+def panel_asof_join(spark, sf_dir):
+    """Each view with its user's last other event before it: keys with times of their own."""
+    events = table(spark, sf_dir, "events")
+    known = events.where("event_type != 'view'").groupBy("user_id", "ts").agg(F.max_by("value", "event_id").alias("known")).withColumn("known_at", F.col("ts"))
+    asked = events.where("event_type = 'view'").select("event_id", "user_id", "ts")
+    return panel.asof_join(asked, known, ["known_at", "known"], key="user_id", at="ts").select("event_id", "known_at", "known")
+
+
 @query("panel_asof_trading_day", P4 + ", s AS (SELECT DISTINCT date_trunc('week', date)::DATE + 5 AS date FROM e) SELECT s.date, max(e.date) AS mark FROM s LEFT JOIN (SELECT DISTINCT date FROM e WHERE dayofweek(date) BETWEEN 1 AND 4) e ON e.date <= s.date GROUP BY 1")
 def panel_asof_trading_day(spark, sf_dir):
     days = day_panel(spark, sf_dir).select("date").distinct()

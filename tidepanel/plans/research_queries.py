@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import drift, execution, features, ffd, metrics, panel, research, returns, universe
@@ -96,13 +97,41 @@ def policy_aim(spark, sf_dir):
     return round_all(research.aims(signals, 0.65, execution.Policy()).select("t", "ticker", "aim"), {"aim": 8})
 
 
-@query("policy_aim_covariance", SIGNALS + f" SELECT t, ticker, round(coalesce(signal, 0) * {AIM!r}::DOUBLE / (1 + ticker % 4), 8) AS aim FROM s WHERE t >= 13")
-def policy_aim_covariance(spark, sf_dir):
-    signals = settled(features.price_momentum(smooth_panel(spark, sf_dir)).where("t >= 13"), "signals")
+#: A diagonal and a common factor: the inverse is known, so SQL can have the solution.
+COVARIANCE = """,
+n9 AS (SELECT t, ticker, coalesce(signal, 0) * {aim!r}::DOUBLE AS b, 1.0::DOUBLE + ticker % 4 AS d, (1 + ticker % 7) / 10.0::DOUBLE AS u FROM s WHERE t >= 13),
+m9 AS (SELECT t, sum(u * b / d) AS ub, sum(u * u / d) AS uu FROM n9 GROUP BY t)
+SELECT t, ticker, round(b / d - u / d * ub / (1 + uu), 8) AS aim FROM n9 JOIN m9 USING (t)"""
+
+
+def factor_covariance(signals: DataFrame) -> DataFrame:
+    """``ticker, other, value``: 1 to 4 on the diagonal, and a common factor of all names."""
     names = signals.select("ticker").distinct()
+    load = lambda c: (1 + F.col(c) % 7) / 10.0
+    own = F.when(F.col("ticker") == F.col("other"), 1.0 + F.col("ticker") % 4).otherwise(F.lit(0.0))
     pairs = names.crossJoin(F.broadcast(names.withColumnRenamed("ticker", "other")))  # names by names, as a covariance is
-    covariance = pairs.select("ticker", "other", F.when(F.col("ticker") == F.col("other"), 1.0 + F.col("ticker") % 4).otherwise(F.lit(0.0)).alias("value"))
-    return round_all(research.aims(signals, 0.65, execution.Policy(), covariance).select("t", "ticker", "aim"), {"aim": 8})
+    return pairs.select("ticker", "other", (own + load("ticker") * load("other")).alias("value"))
+
+
+@query("policy_aim_covariance", SIGNALS + COVARIANCE.format(aim=AIM))
+def policy_aim_covariance(spark, sf_dir):
+    signals = settled(features.price_momentum(smooth_panel(spark, sf_dir)).where("t >= 13"), "signals")
+    return round_all(research.aims(signals, 0.65, execution.Policy(), factor_covariance(signals)).select("t", "ticker", "aim"), {"aim": 8})
+
+
+RESIDUAL = SIGNALS + """, q AS (SELECT DISTINCT t FROM s WHERE t >= 13) SELECT t, true AS solved FROM q"""
+
+
+@query("policy_aim_residual", RESIDUAL)
+def policy_aim_residual(spark, sf_dir):
+    """Whether the covariance times the aim gives each date's signals back, to 1e-10."""
+    signals = settled(features.price_momentum(smooth_panel(spark, sf_dir)).where("t >= 13"), "signals")
+    covariance = settled(factor_covariance(signals), "covariance")
+    policy = execution.Policy()
+    aim = settled(research.aims(signals, 0.65, policy, covariance), "aim")
+    image = aim.select("t", F.col("ticker").alias("other"), "aim").join(covariance, "other").groupBy("t", "ticker").agg((F.sum(F.col("value") * F.col("aim")) * policy.risk).alias("image"))
+    both = image.join(signals, ["t", "ticker"]).withColumn("off", F.abs(F.col("image") - F.coalesce("signal", F.lit(0.0)) * policy.aim_weight(0.65)))
+    return both.groupBy("t").agg((F.max("off") < 1e-10).alias("solved"))
 
 
 _U = "(('0x' || substr(md5({key}), {at}, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
@@ -112,8 +141,8 @@ def normal_sql(key: str) -> str:
     return f"sqrt(-2 * ln({_U.format(key=key, at=1)})) * cos({2 * math.pi!r}::DOUBLE * {_U.format(key=key, at=9)})"
 
 
-SIMULATED = f"""WITH g AS (SELECT i AS ticker, t::INT AS t FROM range(40) a(i) CROSS JOIN range(60) b(t)),
-a AS (SELECT *, CASE WHEN t = 0 THEN 0.005::DOUBLE ELSE {0.005 * math.sqrt(1 - 0.65 * 0.65)!r}::DOUBLE END * {normal_sql("'0:a:' || ticker || ':' || t")} * pow(0.65::DOUBLE, -t) AS s FROM g),
+SIMULATED = P3 + f""",
+a AS (SELECT ticker, t, CASE WHEN t = 0 THEN 0.005::DOUBLE ELSE {0.005 * math.sqrt(1 - 0.65 * 0.65)!r}::DOUBLE END * {normal_sql("'0:a:' || ticker || ':' || t")} * pow(0.65::DOUBLE, -t) AS s FROM p),
 x AS (SELECT ticker, t, sum(s) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * pow(0.65::DOUBLE, t) AS expected FROM a),
 r AS (SELECT *, greatest(0.005::DOUBLE + expected + 0.04::DOUBLE * {normal_sql("'0:m:' || t")} + 0.06::DOUBLE * {normal_sql("'0:n:' || ticker || ':' || t")}, -0.95) AS ret FROM x)
 SELECT t, ticker, round(expected, 8) AS expected, round(ret, 8) AS ret, round(100 * product(1 + ret) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS close FROM r"""
@@ -121,7 +150,9 @@ SELECT t, ticker, round(expected, 8) AS expected, round(ret, 8) AS ret, round(10
 
 @query("simulated_universe", SIMULATED)
 def simulated_universe(spark, sf_dir):
-    return round_all(research.simulated_universe(spark, 40, 60), {"expected": 8, "ret": 8, "close": 6})
+    """A simulated market of the panel's own names and months."""
+    grid = smooth_panel(spark, sf_dir).select("t", "ticker")
+    return round_all(research.simulated_universe(grid), {"expected": 8, "ret": 8, "close": 6})
 
 
 @query("ffd_distribution", UNIFORM + " SELECT count(level) AS n, round(avg(level), 6) AS mean, round(stddev_samp(level), 6) AS std, round(min(level), 6) AS least, round(quantile_cont(level, 0.25), 6) AS q25, round(quantile_cont(level, 0.5), 6) AS q50, round(quantile_cont(level, 0.75), 6) AS q75, round(max(level), 6) AS largest FROM y")
