@@ -40,18 +40,33 @@ def test_weights_of_one_day_keep_the_last(spark):
     assert {(r["date"], r["w"]) for r in research.to_daily(weights, days).collect()} == {(D[1], 0.3), (D[3], 0.4)}
 
 
+def grid(spark, names, months):
+    return spark.range(names).withColumnRenamed("id", "ticker").crossJoin(spark.range(months).select(F.col("id").cast("int").alias("t")))
+
+
 def test_expanding_weights_by_each_score(spark):
-    panel = research.simulated_universe(spark, 12, 46, seed=3).select("t", F.date_add(F.lit(D[0]), F.col("t") * 31).alias("date"), "ticker", "close", F.lit(10.0).alias("volume"), (F.col("close") * 10).alias("dv")).cache()
+    panel = research.simulated_universe(grid(spark, 12, 46), seed=3).select("t", F.date_add(F.lit(D[0]), F.col("t") * 31).alias("date"), "ticker", "close", F.lit(10.0).alias("volume"), (F.col("close") * 10).alias("dv")).cache()
     held = {s: {(r["t"], r["ticker"]): r["w"] for r in model.model_weights(panel, min_train=18, last=10_000, min_names=2, seeds=1, trees=2, score=s).collect()} for s in ("srp",)}
     assert all(min(t for t, _ in h) == 36 and any(h.values()) for h in held.values())
 
 
 def test_simulated_expectations_decay(spark):
-    wide = research.simulated_universe(spark, 200, 60).toPandas().pivot(index="t", columns="ticker", values="expected").to_numpy()
+    wide = research.simulated_universe(grid(spark, 200, 60)).toPandas().pivot(index="t", columns="ticker", values="expected").to_numpy()
     x, y = wide[:-1].ravel(), wide[1:].ravel()
     assert np.corrcoef(x, y)[0, 1] == pytest.approx(0.65, abs=0.03) and wide.std() == pytest.approx(0.005, rel=0.05)
 
 
+@pytest.mark.parametrize("phi", [0.65, 0.05, 0.99])
+def test_simulated_expectations_of_long_panels(spark, phi):
+    """3,000 months: powers of phi over the whole panel would overflow."""
+    rows = {(r["ticker"], r["t"]): r["expected"] for r in research.simulated_universe(grid(spark, 2, 3_000), phi=phi).collect()}
+    shocks = grid(spark, 2, 3_000).select("t", "ticker", research._normal(0, "a", F.col("ticker"), F.col("t")).alias("s")).toPandas().pivot(index="t", columns="ticker", values="s").to_numpy() * 0.005
+    held = shocks[0].copy()
+    for t in range(3_000):
+        held = phi * held + np.sqrt(1 - phi * phi) * shocks[t] if t else held
+        assert [rows[k, t] for k in range(2)] == pytest.approx(held, abs=1e-9)
+
+
 def test_a_panel_scans_its_lines_once(spark, tmp_path):
     lines = spark.createDataFrame([(k % 3, datetime.datetime(2000, 1 + k % 5, 3), 10.0, 5.0) for k in range(40)], "l_suppkey long, l_shipdate timestamp_ntz, l_extendedprice double, l_quantity double")
     lines.write.parquet(str(tmp_path / "lineitem.parquet"))

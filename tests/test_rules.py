@@ -37,11 +37,9 @@ def test_product_skips_missing_and_pos_counts_all(spark):
 
 def test_percent_rank_of_ties(spark):
     rows = frame(spark, [(0, k, v) for k, v in enumerate([1.0, 2.0, 2.0, 3.0, None])], "x double")
-    from pyspark.sql import functions as F
-
-    from tidepanel.functions.columns import percent_rank_ties
+    from tidepanel.operators import ranks
 
-    got = [r["p"] for r in rows.withColumn("p", percent_rank_ties(F.col("x"))).orderBy("ticker").collect()]
+    got = [r["p"] for r in ranks.percent_rank_ties(rows, "x", "p").orderBy("ticker").collect()]
     assert got == [0.25, 0.625, 0.625, 1.0, None]
 
 

@@ -129,7 +129,7 @@ def yearly_returns(spark, sf_dir):
     return round_all(metrics.yearly(curve_of(spark, sf_dir)), {"ret": 6, "max_dd": 6})
 
 
-LINES = " UNION ALL ".join(f"SELECT {k} AS position, '{label}' AS metric, coalesce(printf('{form}', {c} * {float(scale)}::DOUBLE), '-') AS value FROM fig" for k, (label, c, form, scale) in enumerate(metrics.SUMMARY))
+LINES = " UNION ALL ".join(f"SELECT {k} AS position, '{label.replace("'", "''")}' AS metric, coalesce(printf('{form}', {c} * {float(scale)}::DOUBLE), '-') AS value FROM fig" for k, (label, c, form, scale) in enumerate(metrics.SUMMARY))
 
 
 @query("summary_table", RUN + FIGURES + f" SELECT 'momentum' AS strategy, position, metric, value FROM ({LINES})")
