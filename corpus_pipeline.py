@@ -2,6 +2,9 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept; all but the last return the
 columns of ``documents``. The last returns ``doc_id, n_tokens, ids``, a row for each time the mix takes a document.
+
+Defined results of all stages: an empty table gives an empty one; texts of any length are worked on whole; further
+columns, whatever their names, are carried, by all but the last stage.
 """
 
 from __future__ import annotations
@@ -20,27 +23,36 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules reject go; the others lose their failing lines, and ``n_chars`` follows the text."""
+    """Documents that the line-first rules reject go; the others lose their failing lines, and ``n_chars`` follows the text.
+
+    Null and empty texts have too few words and go; repeated rows, and ties at a limit, are judged alike: what reaches it fails or stays by the rule alone.
+    """
     return counted(quality_rules.keep_good(docs))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates on 5-word shingles, the document of the smallest id stays."""
+    """Of each group of near-duplicates on 5-word shingles, the document of the smallest id stays.
+
+    Null and empty texts are in no group and stay, as rows without an id do; of repeated rows, equal in id and text, one stays.
+    """
     return minhash.deduplicate(docs, k=5, threshold=80)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data are masked, and ``n_chars`` follows the text."""
+    """Personal data are masked, and ``n_chars`` follows the text. A null text stays null; repeated rows are masked alike; spans that overlap become one, named after the first."""
     return counted(pii.mask_personal_data(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    Null texts have size 0; a null source is a source, the last; repeated rows count each; ties in the hash order go by id and size.
+    """
     return mixing.mix_rows(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text."""
+    """Token ids of each text: none for a null or empty one, the same for repeated rows; there are no ties."""
     return bpe.encode(docs, vocabulary_path()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, langid, pii, tagger
+from tidepanel.llm import bpe, langid, pii, tagger, warc
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -73,3 +73,17 @@ def test_language_columns_may_have_any_name(spark):
         frame = frame.withColumn(name, F.lit("x"))
     model = langid.train(frame)
     assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(frame, model).collect()} == {i: lang for i, _, lang in rows}
+
+
+def test_archives_of_pages_of_very_different_sizes(spark, tmp_path, monkeypatch):
+    """Files are cut by bytes, also where a task's pages are all large."""
+    monkeypatch.setattr(warc, "FILE", 1 << 20)
+    small = [(k, "u", f"page {k} " * 12) for k in range(20_000)]
+    large = [(100_000 + k, "u", chr(97 + k % 26) * (100_000 + k)) for k in range(100)] + [(200_000, "u", "é" * 3_000_000)]
+    pages = spark.createDataFrame(small + large, "page_id long, url string, html string").repartitionByRange(3, "page_id")
+    warc.write_warc(pages, str(tmp_path / "w"))
+    sizes = [f.stat().st_size for f in (tmp_path / "w").rglob("*.txt")]
+    assert max(sizes) < 6_200_000 and sorted(sizes)[-2] < (1 << 20) + 101_000 and len(sizes) < 40
+    got = warc.read_warc(spark, str(tmp_path / "w"))
+    wanted = {f"<urn:page:{i}>": len(t.encode()) for i, _, t in small + large}
+    assert {r["record_id"]: r["n"] for r in got.select("record_id", F.octet_length("payload").alias("n")).collect()} == wanted

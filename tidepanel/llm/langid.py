@@ -7,7 +7,9 @@ of each language, corrected for its share of false positives, decide.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; with a letter but no hit, the most
 frequent language of the sample with score 0; rows without id are never held out; repeated rows are judged alike; an
-empty table gives an empty table; without training rows every text is ``und``; other columns are ignored.
+empty table gives an empty table; without training rows every text is ``und``; a text of any length is judged whole;
+of languages with equal hits the one with more grams in the sample wins, then the first by name; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ weighted to the classes' shares, makes it a probability.
 
 Defined results: null and empty texts have feature 0 and get the curve's value there; rows without id are never held
 out; a document with several labels counts with its lowest; without training texts of both classes every score is the
-share of good ones (0.5 without any); repeated rows score alike; an empty table gives an empty table; other columns are
-ignored.
+share of good ones (0.5 without any); repeated rows score alike; a text of any length is scored whole, piece by piece;
+an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations

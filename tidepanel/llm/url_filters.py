@@ -4,7 +4,9 @@ A URL's tokens fetch the rules that could fit it, and only those run their regul
 main path is DataFrame functions.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and runs no site rule; an empty table
-gives an empty table; repeated rows are each judged; other columns of the input are ignored, whatever their names.
+gives an empty table; repeated rows are each judged; a URL of any length is judged whole; of site rules that fit, the
+longest wins, so there are no ties, and of patterns the first in the list; other columns of the input are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

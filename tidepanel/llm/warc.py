@@ -1,7 +1,7 @@
 r"""WARC archives: written with Spark's text writer, read back with boundary-chain verification.
 
 Writing: a record's text ends in the writer's line separator, which is the blank line pair that ends WARC records, so
-files are plain WARC and go through Spark's commit. Of records with the same payload, all but one become revisits.
+files are plain WARC and go through Spark's commit. Files are cut by running bytes. Of records with the same payload, all but one become revisits.
 
 Reading: files are looked at in parts. A task emits each place of its part that looks like a record's header, with the
 place where that record says it ends, followed as far as the part goes. Pointer jumping from each file's start then
@@ -11,7 +11,9 @@ that end beyond what a part looks at are resolved from the whole file, in a seco
 
 Defined results: a null payload is empty; a null URL has no target header; an id that repeats with the kept payload is
 a response each time; an empty table writes no record and reads back none; a record cut off at the end of its file is
-dropped, and a chain ends where no record begins; other columns are ignored.
+dropped, and a chain ends where no record begins; other columns are ignored. A URL or payload of any length is kept
+whole; a record longer than FILE has a file of its own. A file is read as one row, so archives from elsewhere may have
+files of up to 2 GB.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side
+from .common import in_arrow, materialize, small_side
 
 #: Payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1_000
@@ -65,11 +68,24 @@ def record_text(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_block", block).select(F.concat(header, F.col("_block")).alias("value"))
 
 
+def _in_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers the files of a task: a new one begins with the record that comes after FILE bytes."""
+    file = filled = 0
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(0)).to_pylist()
+        files = []
+        for size in sizes:
+            if filled >= FILE:
+                file, filled = file + 1, 0
+            files.append(file)
+            filled += size + len(END)
+        yield pa.record_batch([batch.column(0), pa.array(files, pa.int32())], names=["value", "file"])
+
+
 def write_warc(pages: DataFrame, path: str, **columns: str) -> None:
-    """Writes one record for each row of ``pages`` below ``path``, in files of about FILE bytes."""
-    rows = with_revisits(pages, **columns)
-    mean = pages.agg(F.avg(F.coalesce(F.octet_length(columns.get("payload", "html")), F.lit(0)))).first()[0] or 0
-    record_text(rows).write.option("lineSep", END).option("maxRecordsPerFile", max(1, int(FILE / (mean + 600)))).text(path)
+    """Writes one record for each row of ``pages`` below ``path``; a file ends with the record that brings it to FILE bytes, whatever the sizes of pages."""
+    texts = in_arrow(record_text(with_revisits(pages, **columns)), _in_files, "value string, file int")
+    texts.write.partitionBy("file").option("lineSep", END).text(path)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +175,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """``record_id, record_type, refers_to, target, digest, payload_length, payload`` of all records on the chains of the files below ``path``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).where("length > 0")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path).where("length > 0")
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(PART).cast("long")))
     parts = files.select("path", "content", part.alias("base")).select("path", "base", F.substring("content", F.col("base").cast("int") + 1, F.lit(PART + HEADER + 16)).alias("data"))
     found = materialize(parts.mapInArrow(_candidates, "path string, start long, exit long"), "candidates")
