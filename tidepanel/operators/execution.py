@@ -89,23 +89,18 @@ def rolling_acf1(signals: DataFrame, window: int = 24) -> DataFrame:
     return taken.groupBy("t").agg(F.avg(_decay(F.col("_n"), F.col("_c0"), F.col("_c1"))).alias("phi"))
 
 
-def _paths(w: np.ndarray, scales: np.ndarray, pull: np.ndarray, stay: float, last: int) -> Iterator[np.ndarray]:
-    """For each date below ``last`` the positions before they are scaled, of a matrix of targets (name, date)."""
-    held = np.zeros(len(w))
-    for t in range(last):
+def _paths(w: np.ndarray, held: np.ndarray, scales: np.ndarray, pull: np.ndarray, stay: float) -> Iterator[np.ndarray]:
+    """Positions before scaling, of one date of a block after the other, from what was ``held`` before it."""
+    for t in range(w.shape[1]):
         wanted = stay * held + pull[t] * w[:, t]
         yield wanted
         held = wanted * scales[t]
 
 
-def _signed_sums(w: np.ndarray, scales: np.ndarray, pull: np.ndarray, stay: float, a: int, b: int) -> np.ndarray:
-    """For the dates a to b - 1, the sums over names of their position's sign times what they held at a and times each date's target."""
-    paths = _paths(w, scales, pull, stay, b)
-    held = np.zeros(len(w))
-    for t in range(a):
-        held = next(paths) * scales[t]
-    signs = np.sign(np.stack(list(paths), axis=1))
-    return signs.T @ np.column_stack([stay * held, w[:, a:b] * pull[a:b]])
+def _signed_sums(w: np.ndarray, held: np.ndarray, scales: np.ndarray, pull: np.ndarray, stay: float) -> np.ndarray:
+    """For each date of a block, the sums over names of their position's sign times what they ``held`` before it and times each date's target."""
+    signs = np.sign(np.stack(list(_paths(w, held, scales, pull, stay)), axis=1))
+    return signs.T @ np.column_stack([stay * held, w * pull])
 
 
 def _solved(sums: np.ndarray, stay: float, gross: float) -> np.ndarray:
@@ -130,65 +125,87 @@ def run_policies(targets: DataFrame, policies: dict[str, Policy], phi: DataFrame
     Only one scale a run and date ties names together. Given each position's sign, all gross exposures are sums over
     names that don't depend on the scales, so these follow one from the other; with them come new signs, and so on until
     the scales stay. A date's scale is right once those before it are, so this ends, mostly after a few turns. Rows are
-    spread by ticker; to the driver come dates, and for ``SPAN`` of them at a time a square of sums a run.
+    spread by ticker and by blocks of ``SPAN`` dates; what a name holds at a block's start is written, so that each block is
+    gone through once. To the driver come dates, and for a block a square of sums a run.
     """
-    spark = targets.sparkSession
     kind = targets.schema["ticker"].dataType.simpleString()
-    moves = targets.select("ticker", F.struct("t", F.coalesce(F.col("w").cast("double"), F.lit(0.0)).alias("w")).alias("_m"))
-    series = moves.groupBy("ticker").agg(F.collect_list("_m").alias("_m")).select("ticker", F.col("_m.t").alias("ts"), F.col("_m.w").alias("ws"))
-    series = settled(series, "series")  # a row a ticker
-    days = np.array([r[0] for r in series.select(F.explode("ts").alias("t")).distinct().orderBy("t").collect()], np.int64)
+    targets = settled(targets.select("t", "ticker", F.coalesce(F.col("w").cast("double"), F.lit(0.0)).alias("w")), "targets")
+    dates = targets.select("t").distinct().withColumn("_at", (F.row_number().over(W.orderBy("t")) - 1).cast("int"))  # a row a date
+    days = np.array([r["t"] for r in settled(dates, "dates").orderBy("t").collect()], np.int64)
+    moves = targets.join(F.broadcast(dates), "t").select("ticker", (F.col("_at") / SPAN).cast("int").alias("block"), (F.col("_at") % SPAN).alias("at"), "w")
+    series = settled(moves.groupBy("block", "ticker").agg(F.collect_list("at").alias("at"), F.collect_list("w").alias("ws")), "series")  # a row a block and ticker
     known = {r["t"]: r["phi"] for r in phi.select("t", "phi").collect()} if isinstance(phi, DataFrame) else dict.fromkeys(days[:1].tolist(), float(phi))
     decay, last = [], 0.65
     for t in days.tolist():
         value = known.get(t)
         last = last if value is None or math.isnan(value) else value
         decay.append(last)
+    names = list(policies)
     stay = {name: 1 - p.fraction for name, p in policies.items()}
     pull = {name: np.array([p.fraction * p.aim_weight(x) for x in decay]) for name, p in policies.items()}
-    scales = {name: np.ones(len(days)) for name in policies}
 
-    def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        many = max(1, CELLS // max(1, len(days)))
+    def matrices(frames: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, dict[str, np.ndarray]]]:
+        many = max(1, CELLS // max(1, width))
         for frame in frames:
             for first in range(0, len(frame), many):
                 part = frame.iloc[first : first + many]
-                w = np.zeros((len(part), len(days)))
-                for row, (ts, ws) in enumerate(zip(part["ts"], part["ws"], strict=True)):
-                    w[row, np.searchsorted(days, ts)] = ws
-                yield part["ticker"].to_numpy(), w
-
-    def sums(a: int, b: int, at: dict[str, np.ndarray]):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = {name: np.zeros((b - a, b - a + 1)) for name in at}
-            for _, w in matrices(frames):
-                for name in at:
-                    total[name] += _signed_sums(w, at[name], pull[name], stay[name], a, b)
-            i, j = np.tril_indices(b - a, 1, b - a + 1)
-            for name, held in total.items():
-                yield pd.DataFrame({"run": name, "i": i, "j": j, "v": held[i, j]})
-
-        return run
-
+                w, held = np.zeros((len(part), width)), np.zeros((len(part), len(names)))
+                for row, (at, ws, before) in enumerate(zip(part["at"], part["ws"], part["held"], strict=True)):
+                    if at is not None:
+                        w[row, at] = ws
+                    if before is not None:
+                        held[row] = before
+                yield part, w, dict(zip(names, held.T))
+
+    state, out = None, []
     for a in range(0, len(days), SPAN):
-        b = min(a + SPAN, len(days))
-        open_runs = set(policies)
+        width = min(SPAN, len(days) - a)
+        part = series.where(F.col("block") == a // SPAN).drop("block")
+        part = part.withColumn("held", F.lit(None).cast("array<double>")) if state is None else part.join(state, "ticker", "full")
+        part = settled(part, "block") if state is not None else part
+        own = {name: p[a : a + width] for name, p in pull.items()}
+        scales = {name: np.ones(width) for name in names}
+        open_runs = set(names)
         while open_runs:
-            at = {name: scales[name] for name in open_runs}
-            found = series.mapInPandas(sums(a, b, at), "run string, i int, j int, v double").groupBy("run", "i", "j").agg(F.sum("v").alias("v")).collect()
-            squares = {name: np.zeros((b - a, b - a + 1)) for name in open_runs}
+            found = part.mapInPandas(_block_sums(matrices, {n: scales[n] for n in open_runs}, own, stay, width), "run string, i int, j int, v double").groupBy("run", "i", "j").agg(F.sum("v").alias("v")).collect()
+            squares = {name: np.zeros((width, width + 1)) for name in open_runs}
             for r in found:
                 squares[r["run"]][r["i"], r["j"]] = r["v"]
             for name, square in squares.items():
                 new = _solved(square, stay[name], policies[name].gross)
-                if np.allclose(new, scales[name][a:b], rtol=1e-12, atol=0):
+                if np.allclose(new, scales[name], rtol=1e-12, atol=0):
                     open_runs.discard(name)
-                scales[name] = np.concatenate([scales[name][:a], new, scales[name][b:]])
-
-    def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for tickers, w in matrices(frames):
-            for name in policies:
-                paths = [wanted * scales[name][t] for t, wanted in enumerate(_paths(w, scales[name], pull[name], stay[name], len(days)))]
-                yield pd.DataFrame({"run": name, "t": np.tile(days, len(tickers)), "ticker": np.repeat(tickers, len(days)), "w": np.stack(paths, axis=1).ravel()})
-
-    return series.mapInPandas(follow, f"run string, t int, ticker {kind}, w double")
+                scales[name] = new
+        gone = settled(part.mapInPandas(_block_paths(matrices, scales, own, stay, width), f"ticker {kind}, held array<double>, paths array<array<double>>"), "paths")
+        state = gone.select("ticker", "held")
+        out.append(gone.select(F.posexplode("paths").alias("_run", "_path"), "ticker").select("_run", "ticker", F.posexplode("_path").alias("_at", "w")).withColumn("_at", F.col("_at") + a))
+    if not out:
+        return targets.sparkSession.createDataFrame([], f"run string, t int, ticker {kind}, w double")
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    run = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_run") + 1)
+    day = F.element_at(F.array(*[F.lit(int(d)) for d in days]), F.col("_at") + 1)
+    return whole.select(run.alias("run"), day.cast("int").alias("t"), "ticker", "w")
+
+
+def _block_sums(matrices, scales: dict[str, np.ndarray], pull: dict[str, np.ndarray], stay: dict[str, float], width: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = {name: np.zeros((width, width + 1)) for name in scales}
+        for _, w, held in matrices(frames, width):
+            for name in scales:
+                total[name] += _signed_sums(w, held[name], scales[name], pull[name], stay[name])
+        i, j = np.tril_indices(width, 1, width + 1)
+        for name, sums in total.items():
+            yield pd.DataFrame({"run": name, "i": i, "j": j, "v": sums[i, j]})
+
+    return run
+
+
+def _block_paths(matrices, scales: dict[str, np.ndarray], pull: dict[str, np.ndarray], stay: dict[str, float], width: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, w, held in matrices(frames, width):
+            paths = np.stack([np.stack(list(_paths(w, held[n], scales[n], pull[n], stay[n])), axis=1) * scales[n] for n in scales], axis=1)
+            yield pd.DataFrame({"ticker": part["ticker"].to_numpy(), "held": list(paths[:, :, -1]), "paths": [[list(row) for row in one] for one in paths]})
+
+    return run
