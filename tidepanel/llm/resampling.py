@@ -98,12 +98,12 @@ def feature_buckets(data: np.ndarray, offsets: np.ndarray, run: int, buckets: in
     return np.concatenate([empty, *found]), np.concatenate([empty, *owners]), np.bincount(owner, minlength=n)
 
 
-def _counted(run: int, buckets: int):
+def _counted(run: int, buckets: int, size: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
-            for a, b in slices(offsets, SLICE):
+            for a, b in slices(offsets, size):
                 found, _, _ = feature_buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], run, buckets)
                 total += np.bincount(found, minlength=buckets)
         held = np.flatnonzero(total)
@@ -114,7 +114,7 @@ def _counted(run: int, buckets: int):
 
 def bucket_counts(texts: DataFrame, *, text: str = "text", run: int = RUN, buckets: int = BUCKETS) -> np.ndarray:
     """How many features of all texts fall into each bucket; a task sends one row a bucket at most."""
-    counted = in_arrow(texts.select(F.col(f"`{text}`").alias("text")), _counted(run, buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counted = in_arrow(texts.select(F.col(f"`{text}`").alias("text")), _counted(run, buckets, SLICE), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(buckets, np.int64)
     for bucket, n in counted.collect():  # as many rows as buckets at most
         out[bucket] = n
@@ -133,13 +133,13 @@ def noise(seed: str, row_id: int | None) -> int:
     return math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
 
 
-def _scored(shared, run: int, seed: str):
+def _scored(shared, run: int, seed: str, size: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = shared.value
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             ids = batch.column(0).to_pylist()
-            for a, b in slices(offsets, SLICE):
+            for a, b in slices(offsets, size):
                 found, owner, words = feature_buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], run, len(gain))
                 weight = np.zeros(b - a, np.int64)
                 np.add.at(weight, owner, gain[found])
@@ -279,7 +279,7 @@ def resample(
     spark = docs.sparkSession
     corpus = docs.select(F.col(f"`{row_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     gain = spark.sparkContext.broadcast(gains(bucket_counts(target, text=target_text, run=run, buckets=buckets), bucket_counts(corpus, run=run, buckets=buckets)))
-    scored = materialize(in_arrow(corpus, _scored(gain, run, seed), "doc_id long, n_words long, n_features long, weight long, score long"), "scored")
+    scored = materialize(in_arrow(corpus, _scored(gain, run, seed, SLICE), "doc_id long, n_words long, n_features long, weight long, score long"), "scored")
     may = F.col("n_words") >= least
     rows = scored.where(may).count()
     draws = draw[0] * rows // draw[1]

@@ -68,23 +68,26 @@ def record_text(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_block", block).select(F.concat(header, F.col("_block")).alias("value"))
 
 
-def _in_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers the files of a task: a new one begins with the record that comes after FILE bytes."""
-    file = filled = 0
-    for batch in batches:
-        sizes = pc.binary_length(batch.column(0)).to_pylist()
-        files = []
-        for size in sizes:
-            if filled >= FILE:
-                file, filled = file + 1, 0
-            files.append(file)
-            filled += size + len(END)
-        yield pa.record_batch([batch.column(0), pa.array(files, pa.int32())], names=["value", "file"])
+def _in_files(most: int):
+    """Numbers the files of a task: a file has up to ``most`` bytes, or one record."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = filled = 0
+        for batch in batches:
+            files = []
+            for size in pc.binary_length(batch.column(0)).to_pylist():
+                if filled and filled + size + len(END) > most:
+                    file, filled = file + 1, 0
+                files.append(file)
+                filled += size + len(END)
+            yield pa.record_batch([batch.column(0), pa.array(files, pa.int32())], names=["value", "file"])
+
+    return task
 
 
 def write_warc(pages: DataFrame, path: str, **columns: str) -> None:
-    """Writes one record for each row of ``pages`` below ``path``; a file ends with the record that brings it to FILE bytes, whatever the sizes of pages."""
-    texts = in_arrow(record_text(with_revisits(pages, **columns)), _in_files, "value string, file int")
+    """Writes one record for each row of ``pages`` below ``path``; a file has up to FILE bytes, or one record that is longer."""
+    texts = in_arrow(record_text(with_revisits(pages, **columns)), _in_files(FILE), "value string, file int")
     texts.write.partitionBy("file").option("lineSep", END).text(path)
 
 
