@@ -44,6 +44,22 @@ def test_searched_chain(spark):
                 assert (value is None) == bool(np.isnan(wanted)) and (value is None or value == pytest.approx(wanted, abs=1e-9))
 
 
+def test_searched_rolling_scores(spark):
+    logs, wide = series(spark)
+    got = {(r["t"], r["ticker"]): r for r in entry.queries()["ffd_scores_rolling_searched"](spark, SF).collect()}
+    assert len(got) == wide.size
+    for k in wide.columns:
+        d = model.smallest_order(logs[k])
+        level = filtered(np.log(wide[k].to_numpy(float)), d)
+        for t in range(len(level)):
+            r = got[t, k]
+            assert r["d"] == pytest.approx(d)
+            for m in (1, 3, 6, 9, 12):
+                known = [x for x in level[max(0, t - m + 1) : t + 1] if not np.isnan(x)]
+                wanted = np.mean(known) if len(known) >= max(1, m // 2) else None
+                assert (r[f"ffd{m}"] is None) == (wanted is None) and (wanted is None or r[f"ffd{m}"] == pytest.approx(wanted, abs=1e-8))
+
+
 def test_learned_comparison(spark):
     lines = {r["strategy"]: r for r in entry.queries()["compared_learned_scores"](spark, SF).collect()}
     assert lines.keys() == {"bench", "dpr", "ret", "srp"}

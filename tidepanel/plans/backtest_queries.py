@@ -272,6 +272,15 @@ def ffd_scores_searched(spark, sf_dir):
     return ffd.slope_scores(ffd.level(source, d)).select("t", "ticker", "ffd1", "ffd3", "ffd12", F.lit(d).alias("d"))
 
 
+@query("ffd_scores_rolling_searched", None)
+def ffd_scores_rolling_searched(spark, sf_dir):
+    """The first form of the scores whole: each name filtered by its own searched order, and means of its level."""
+    source = settled(month_panel(spark, sf_dir), "panel")
+    orders = settled(model.search_orders(source), "orders")
+    scores = ffd.rolling_scores(ffd.level_by_ticker(source, orders))
+    return scores.join(orders, "ticker").select("t", "ticker", "d", *[f"ffd{m}" for m in (1, 3, 6, 9, 12)])
+
+
 UNIT_ROOT = P1 + """,
 x AS (SELECT ticker, t, ln(close) AS y, lag(ln(close)) OVER (PARTITION BY ticker ORDER BY t) AS before FROM p WHERE close IS NOT NULL),
 c AS (SELECT ticker, y - before AS change, before FROM x WHERE before IS NOT NULL),
