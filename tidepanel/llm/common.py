@@ -45,7 +45,7 @@ def in_arrow(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
 
 
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else as it is, so that the join shuffles."""
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else as it is, so that the join shuffles. It is read twice, so it should be a written table."""
     few = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if few else df
 
@@ -86,7 +86,7 @@ def hashed_sample(rows: DataFrame, group: str, row_id: str, most: int) -> DataFr
     rows of a large group as of a small one.
     """
     digest = F.md5(F.coalesce(F.col(row_id).cast("string"), F.lit("")).cast("binary"))
-    sizes = small_side(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_rows")), 100_000)
+    sizes = small_side(materialize(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_rows")), "sizes"), 100_000)
     spot = F.conv(F.substring("_digest", 1, 8), 16, 10).cast("double") / 2.0**32
     thinned = rows.withColumn("_digest", digest).join(sizes, group).where(spot * F.col("_rows") < 2.0 * most + 100)
     ranked = thinned.withColumn("k", F.row_number().over(W.partitionBy(group).orderBy("_digest", row_id)))

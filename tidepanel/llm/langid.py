@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, small_side
+from .common import hashed_sample, materialize, small_side
 from .shingles import mix, slices, text_buffers
 
 #: Training texts a language, chosen by hash.
@@ -120,7 +120,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", row_id: st
     """Learns from at most ``sample`` texts of each language. What reaches the driver is the filter, of fixed size, and the list of languages."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     chosen = hashed_sample(rows.select("id", "lang"), "lang", "id", sample).select("id", "lang").distinct()
-    texts = rows.join(small_side(chosen, BROADCAST_SAMPLE), ["id", "lang"], "left_semi").select("lang", "text")
+    texts = rows.join(small_side(materialize(chosen, "sample"), BROADCAST_SAMPLE), ["id", "lang"], "left_semi").select("lang", "text")
     counts = texts.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.persist()
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
