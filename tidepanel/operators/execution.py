@@ -130,8 +130,8 @@ def run_policies(targets: DataFrame, policies: dict[str, Policy], phi: DataFrame
     """
     kind = targets.schema["ticker"].dataType.simpleString()
     targets = settled(targets.select("t", "ticker", F.coalesce(F.col("w").cast("double"), F.lit(0.0)).alias("w")), "targets")
-    dates = targets.select("t").distinct().withColumn("_at", (F.row_number().over(W.orderBy("t")) - 1).cast("int"))  # a row a date
-    days = np.array([r["t"] for r in settled(dates, "dates").orderBy("t").collect()], np.int64)
+    dates = settled(targets.select("t").distinct().withColumn("_at", (F.row_number().over(W.orderBy("t")) - 1).cast("int")), "dates")  # a row a date
+    days = np.array([r["t"] for r in dates.orderBy("t").collect()], np.int64)
     moves = targets.join(F.broadcast(dates), "t").select("ticker", (F.col("_at") / SPAN).cast("int").alias("block"), (F.col("_at") % SPAN).alias("at"), "w")
     series = settled(moves.groupBy("block", "ticker").agg(F.collect_list("at").alias("at"), F.collect_list("w").alias("ws")), "series")  # a row a block and ticker
     known = {r["t"]: r["phi"] for r in phi.select("t", "phi").collect()} if isinstance(phi, DataFrame) else dict.fromkeys(days[:1].tolist(), float(phi))
@@ -185,8 +185,7 @@ def run_policies(targets: DataFrame, policies: dict[str, Policy], phi: DataFrame
     for part in out[1:]:
         whole = whole.unionByName(part)
     run = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_run") + 1)
-    day = F.element_at(F.array(*[F.lit(int(d)) for d in days]), F.col("_at") + 1)
-    return whole.select(run.alias("run"), day.cast("int").alias("t"), "ticker", "w")
+    return whole.join(F.broadcast(dates), "_at").select(run.alias("run"), F.col("t").cast("int").alias("t"), "ticker", "w")
 
 
 def _block_sums(matrices, scales: dict[str, np.ndarray], pull: dict[str, np.ndarray], stay: dict[str, float], width: int):
