@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, materialize, small_side
+from .common import hashed_sample, in_arrow, materialize, small_side
 from .shingles import mix, slices, text_buffers
 
 #: Training texts a language, chosen by hash.
@@ -34,7 +34,8 @@ SLOTS, HASHES = 1 << 20, 2
 SHARE, SEEN = 0.5, 3
 #: Bits in a mask; more languages take further masks.
 BITS = 62
-SLICE = 2 << 20
+#: Texts are looked at in slices of about so many bytes, with some 80 bytes of arrays for each.
+SLICE = 1 << 19
 #: Up to so many chosen ids are broadcast to pick their texts from a scan; more are joined.
 BROADCAST_SAMPLE = 1_000_000
 _U = np.uint64
@@ -121,7 +122,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", row_id: st
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     chosen = hashed_sample(rows.select("id", "lang"), "lang", "id", sample).select("id", "lang").distinct()
     texts = rows.join(small_side(materialize(chosen, "sample"), BROADCAST_SAMPLE), ["id", "lang"], "left_semi").select("lang", "text")
-    counts = texts.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = in_arrow(texts, _count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.persist()
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     seen = {r[0]: r[1] for r in totals.collect()}  # one row a language
@@ -132,7 +133,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", row_id: st
     place = docs.sparkSession.createDataFrame([(name, k // BITS, 1 << k % BITS, float(seen[name])) for k, name in enumerate(languages)], "lang string, word int, mask long, total double")
     rates = counts.join(F.broadcast(place), "lang").withColumn("rate", F.col("n") / F.col("total"))  # one row a language
     best = rates.withColumn("best", F.max("rate").over(W.partitionBy("gram"))).where((F.col("rate") >= SHARE * F.col("best")) & (F.col("n") >= SEEN))
-    filled = best.select("gram", "word", "mask").mapInArrow(_slot_rows, "slot long, word int, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask"))
+    filled = in_arrow(best.select("gram", "word", "mask"), _slot_rows, "slot long, word int, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask"))
     table = filled.toArrow()  # at most SLOTS rows a mask word
     counts.unpersist()
     masks = np.zeros((-(-len(languages) // BITS), SLOTS), np.int64)
@@ -166,4 +167,4 @@ def _predict(model):
 def identify(docs: DataFrame, model: Model, *, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """``doc_id, lang_pred, score`` for each row; the model (8 MB a mask word) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")
+    return in_arrow(docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text")), _predict(shared), "doc_id long, lang_pred string, score double")
