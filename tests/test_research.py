@@ -26,6 +26,25 @@ def test_aim_solves_for_the_covariance(spark):
     assert research.aims(rows, 0.5, policy).where("t = 1 and ticker = 2").first()["aim"] == pytest.approx(float(policy.aim(signals[1], 0.5)[2]))
 
 
+def test_aim_solves_for_factors(spark):
+    rng = np.random.default_rng(2)
+    own, loads, signals = rng.uniform(1, 4, 7), rng.standard_normal((7, 3)), rng.standard_normal((2, 7))
+    own_rows = spark.createDataFrame([(k, float(own[k])) for k in range(7)], "ticker long, value double")
+    load_rows = spark.createDataFrame([(k, f"f{j}", float(loads[k, j])) for k in range(7) for j in range(3)], "ticker long, factor string, load double")
+    covariance, policy = research.Factors(own_rows, load_rows), execution.Policy(risk=2.0)
+    held = [(t, k) for t in range(2) for k in range(7) if t == 0 or k not in (2, 5)]  # a date's own names only
+    rows = spark.createDataFrame([(t, k, float(signals[t, k])) for t, k in held], "t int, ticker long, signal double")
+    aim = research.aims(rows, 0.5, policy, covariance)
+    got = {(r["t"], r["ticker"]): r["aim"] for r in aim.collect()}
+    image = {(r["t"], r["ticker"]): r["image"] for r in covariance.times(aim).collect()}
+    assert got.keys() == image.keys() == set(held)
+    for t in range(2):
+        there = [k for s, k in held if s == t]
+        whole = np.diag(own[there]) + loads[there] @ loads[there].T
+        assert [got[t, k] for k in there] == pytest.approx(policy.aim(signals[t, there], 0.5, whole))
+        assert [image[t, k] * policy.risk for k in there] == pytest.approx(signals[t, there] * policy.aim_weight(0.5))
+
+
 def test_broad_universe(spark):
     rows = [(D[k], "AA", 10.0 + k, 5.0) for k in range(30)] + [(D[k], "BB", 20.0, 5.0) for k in range(20)] + [(D[k], "CC", 1.0, 1.0) for k in range(3)]
     out = research.broad_universe(spark.createDataFrame(rows, "date date, ticker string, close double, volume double"))

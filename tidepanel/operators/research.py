@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,9 +69,54 @@ def compared_scores(probs: DataFrame, stats: DataFrame, bench: DataFrame, q: flo
     return out
 
 
-def aims(signals: DataFrame, phi: float, policy: execution.Policy, covariance: DataFrame | None = None) -> DataFrame:
-    """``t, ticker, aim`` for ``signals(t, ticker, signal)``: discounted, and with ``covariance(ticker, other, value)`` the mean-variance solution among a date's names."""
+@dataclass(frozen=True)
+class Factors:
+    """A covariance of names by common factors: ``own(ticker, value)``, each name's own variance, and ``loads(ticker, factor, load)`` on uncorrelated factors of variance 1."""
+
+    own: DataFrame
+    loads: DataFrame
+
+    def times(self, right: DataFrame) -> DataFrame:
+        """``t, ticker, image``: the covariance times ``right(t, ticker, aim)`` at each ``t``, among the names that ``t`` has."""
+        moved = right.join(self.loads, "ticker")
+        sums = moved.groupBy("t", "factor").agg(F.sum(F.col("load") * F.col("aim")).alias("_sum"))
+        common = moved.join(F.broadcast(sums), ["t", "factor"]).groupBy("t", "ticker").agg(F.sum(F.col("load") * F.col("_sum")).alias("_common"))  # a row a date and factor
+        both = right.join(self.own, "ticker").join(common, ["t", "ticker"], "left")
+        return both.select("t", "ticker", (F.col("value") * F.col("aim") + F.coalesce("_common", F.lit(0.0))).alias("image"))
+
+    def solved(self, right: DataFrame) -> DataFrame:
+        """``t, ticker, aim`` whose image is ``right(t, ticker, aim)``; null for a name without an own variance.
+
+        With the own variances divided out, what is left at a date is a system as large as there are factors, so the work
+        grows with names times factors squared, and no pairs of names are made.
+        """
+        rows = settled(right.join(self.own, "ticker", "left").select("t", "ticker", (F.col("aim") / F.col("value")).alias("_aim"), (1 / F.col("value")).alias("_inverse")), "divided")
+        loads = settled(self.loads.select("ticker", "factor", "load"), "loads")
+        pairs = loads.join(loads.select("ticker", F.col("factor").alias("other"), F.col("load").alias("_other")), "ticker")
+        square = rows.join(pairs, "ticker").groupBy("t", "factor", "other").agg(F.sum(F.col("load") * F.col("_other") * F.col("_inverse")).alias("v"))
+        exposed = rows.join(loads, "ticker")
+        sums = exposed.groupBy("t", "factor").agg(F.sum(F.col("load") * F.col("_aim")).alias("v"))
+        kind = loads.schema["factor"].dataType
+        entries = square.unionByName(sums.withColumn("other", F.lit(None).cast(kind)))
+        found = settled(entries.groupBy("t").applyInPandas(_small_system, f"t int, factor {kind.simpleString()}, y double"), "systems")
+        common = exposed.join(F.broadcast(found), ["t", "factor"]).groupBy("t", "ticker").agg(F.sum(F.col("load") * F.col("y")).alias("_common"))  # a row a date and factor
+        out = rows.join(common, ["t", "ticker"], "left")
+        return out.select("t", "ticker", (F.col("_aim") - F.coalesce("_common", F.lit(0.0)) * F.col("_inverse")).alias("aim"))
+
+
+def _small_system(frame: pd.DataFrame) -> pd.DataFrame:
+    """Solves one date's system of factors: the unit matrix and ``v`` of pairs, against ``v`` of the rows without ``other``."""
+    right = frame[frame["other"].isna()].set_index("factor")["v"].sort_index()
+    square = frame[frame["other"].notna()].pivot(index="factor", columns="other", values="v").reindex(index=right.index, columns=right.index).fillna(0.0)
+    y = np.linalg.solve(np.eye(len(right)) + square.to_numpy(float), right.fillna(0.0).to_numpy(float))
+    return pd.DataFrame({"t": frame["t"].iloc[0], "factor": right.index, "y": y})
+
+
+def aims(signals: DataFrame, phi: float, policy: execution.Policy, covariance: DataFrame | Factors | None = None) -> DataFrame:
+    """``t, ticker, aim`` for ``signals(t, ticker, signal)``: discounted, and with a covariance, ``(ticker, other, value)`` or :class:`Factors`, the mean-variance solution among a date's names."""
     scaled = signals.select("t", "ticker", (F.coalesce("signal", F.lit(0.0)) * policy.aim_weight(phi) / policy.risk).alias("aim"))
+    if isinstance(covariance, Factors):
+        return covariance.solved(scaled)
     return scaled if covariance is None else solved(covariance, scaled)
 
 
