@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.operators import execution, model, research
+from tidepanel.plans import research_queries
 from tidepanel.sources import tables
 
 D = [datetime.date(2000, 1, 31) + datetime.timedelta(days=30 * k) for k in range(40)]
@@ -45,6 +46,15 @@ def test_aim_solves_for_factors(spark):
         assert [image[t, k] * policy.risk for k in there] == pytest.approx(signals[t, there] * policy.aim_weight(0.5))
 
 
+def test_factor_aims_make_no_pairs_of_names(spark):
+    """Of 100,000 names there would be 10 thousand million pairs."""
+    rows = spark.range(200_000).select((F.col("id") % 2).cast("int").alias("t"), F.floor(F.col("id") / 2).alias("ticker"), ((F.col("id") * 7919) % 101 / 50.0 - 1).alias("signal"))
+    covariance = research_queries.factor_covariance(rows)
+    aim = research.aims(rows, 0.65, execution.Policy(), covariance).cache()
+    off = covariance.times(aim).join(rows, ["t", "ticker"]).agg(F.count(F.lit(1)), F.max(F.abs(F.col("image") - F.col("signal") * execution.Policy().aim_weight(0.65)))).first()
+    assert off[0] == 200_000 and off[1] < 1e-10
+
+
 def test_broad_universe(spark):
     rows = [(D[k], "AA", 10.0 + k, 5.0) for k in range(30)] + [(D[k], "BB", 20.0, 5.0) for k in range(20)] + [(D[k], "CC", 1.0, 1.0) for k in range(3)]
     out = research.broad_universe(spark.createDataFrame(rows, "date date, ticker string, close double, volume double"))
