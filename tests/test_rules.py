@@ -5,11 +5,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidepanel.functions.boosting import boosted_probabilities
 from tidepanel.functions.unitroot import adf_p_value
 from tidepanel.operators import execution, features, ffd, metrics, panel, portfolio, returns, scoring, universe
-from tidepanel.sources import files
+from tidepanel.sources import files, scratch
 
 D = [datetime.date(2000, 1, 1) + datetime.timedelta(days=31 * k) for k in range(60)]
 
@@ -239,3 +240,18 @@ def test_registered_ensemble_is_whole(spark, monkeypatch):
     monkeypatch.setattr(backtest_queries.model, "fit_predict", lambda *_, **options: asked.update(options))
     backtest_queries.ensemble_fit_predict(spark, "")
     assert (asked["seeds"], asked["trees"]) == (20, 300)
+
+
+def test_long_work_on_few_bytes_is_spread(spark):
+    """The filter by name is dear and its rows are small: the tasks are not coalesced, and have as many rows as a task may."""
+    rows = spark.range(4000).select((F.col("id") % 40).cast("int").alias("t"), F.floor(F.col("id") / 40).alias("ticker"), (F.lit(5.0) + F.col("id") % 7).alias("close"))
+    orders = rows.select("ticker").distinct().withColumn("d", (F.col("ticker") % 4 + 3) / 10.0)
+    levels = ffd.level_by_ticker(rows, orders, 1e-5, 12)
+    assert levels.rdd.getNumPartitions() > 1
+    steps = levels.where("t >= 11").count()
+    assert steps == levels.where("level is not null").count() == 2900
+
+
+def test_spread_bounds_the_rows_of_a_part(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "ROWS", 100)
+    assert scratch.spread(spark.range(4000), "id").rdd.getNumPartitions() == 40

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_ticker, forward_fill, rows
+from ..sources.scratch import settled, spread
 
 
 def taps(d: float, threshold: float = 1e-4, max_lags: int = 60) -> list[float]:
@@ -48,9 +49,10 @@ def level(panel: DataFrame, d: float, threshold: float = 1e-5, max_lags: int = 6
 
 def level_by_ticker(panel: DataFrame, orders: DataFrame, threshold: float = 1e-5, max_lags: int = 60) -> DataFrame:
     """``level`` with each ticker's own ``d`` from ``orders(ticker, d)``; tickers without one take the median."""
+    orders = settled(orders.select("ticker", "d"), "orders")
     middle = orders.agg(F.median("d").alias("_middle"))
-    known = log_price(panel).join(orders, "ticker", "left").crossJoin(F.broadcast(middle))  # a single row
-    d = F.coalesce("d", "_middle")
+    known = log_price(spread(settled(panel, "panel"), "ticker")).join(orders, "ticker", "left").crossJoin(F.broadcast(middle))  # a single row
+    known = known.withColumn("_d", F.coalesce("d", "_middle"))
     steps = F.sequence(F.lit(1), F.lit(max_lags - 1))
     state = F.struct(F.array(F.lit(1.0)).alias("w"), F.lit(False).alias("ended"))
 
@@ -59,7 +61,9 @@ def level_by_ticker(panel: DataFrame, orders: DataFrame, threshold: float = 1e-5
         stop = s["ended"] | (F.abs(nxt) < threshold)
         return F.struct(F.when(stop, s["w"]).otherwise(F.concat(s["w"], F.array(nxt))).alias("w"), stop.alias("ended"))
 
-    known = known.withColumn("_d", d).withColumn("_w", F.aggregate(steps, state, extend)["w"])
+    each = orders.select(F.col("d").alias("_d")).unionByName(middle.select(F.col("_middle").alias("_d"))).distinct()
+    each = settled(each.withColumn("_w", F.aggregate(steps, state, extend)["w"]), "taps")  # once an order, not once a row
+    known = known.join(F.broadcast(each), "_d", "left")  # a row an order
     total = F.col("x") * F.get("_w", F.lit(0))
     for k in range(1, max_lags):
         total = total + F.when(F.size("_w") > k, F.lag("x", k).over(by_ticker()) * F.get("_w", F.lit(k))).otherwise(F.lit(0.0))

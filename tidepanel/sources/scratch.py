@@ -42,3 +42,16 @@ def settled(frame: DataFrame, name: str) -> DataFrame:
     path = new_path(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+#: Rows of a task, about, that goes through windows.
+ROWS = 250_000
+
+
+def spread(frame: DataFrame, *keys: str) -> DataFrame:
+    """A written table ``frame`` by ``keys`` in as many parts as shuffles have, and more where parts would hold more than ``ROWS``.
+
+    For windows with long work on few bytes, which would be coalesced into a task, and for tasks whose rows may not grow with the table.
+    """
+    parts = max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-frame.count() // ROWS))
+    return frame.repartition(parts, *keys)
