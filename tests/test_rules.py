@@ -4,6 +4,7 @@ import datetime
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,3 +256,14 @@ def test_long_work_on_few_bytes_is_spread(spark):
 def test_spread_bounds_the_rows_of_a_part(spark, monkeypatch):
     monkeypatch.setattr(scratch, "ROWS", 100)
     assert scratch.spread(spark.range(4000), "id").rdd.getNumPartitions() == 40
+
+
+def test_positions_leave_tasks_as_arrays():
+    """Positions are not made into a Python number each, and a part is bounded by the cells of all its runs."""
+    w, held = np.ones((3, 4)), np.zeros((3, 2))
+    matrices = lambda frames, width: ((f, w, dict(zip("ab", held.T))) for f in frames)
+    ones, each = np.ones(4), {"a": np.ones(4), "b": np.ones(4)}
+    task = execution._block_paths(matrices, {"a": ones, "b": ones}, each, {"a": 0.5, "b": 0.5}, 4)
+    (out,) = task([pd.DataFrame({"ticker": [1, 2, 3]})])
+    assert all(isinstance(run, np.ndarray) for one in out["paths"] for run in one)
+    assert out["paths"][0][0].tolist() == [1.0, 1.5, 1.75, 1.875]

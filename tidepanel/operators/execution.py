@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import dot
 from ..sources.scratch import settled
 
-#: Dates whose scales are found together; and cells of targets that a task holds at a time.
-SPAN, CELLS = 128, 2_000_000
+#: Dates whose scales are found together; and cells of positions, of all runs, that a task holds at a time.
+SPAN, CELLS = 128, 500_000
 
 
 @dataclass(frozen=True)
@@ -145,7 +145,7 @@ def run_policies(targets: DataFrame, policies: dict[str, Policy], phi: DataFrame
     pull = {name: np.array([p.fraction * p.aim_weight(x) for x in decay]) for name, p in policies.items()}
 
     def matrices(frames: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, dict[str, np.ndarray]]]:
-        many = max(1, CELLS // max(1, width))
+        many = max(1, CELLS // max(1, width * len(names)))
         for frame in frames:
             for first in range(0, len(frame), many):
                 part = frame.iloc[first : first + many]
@@ -205,6 +205,6 @@ def _block_paths(matrices, scales: dict[str, np.ndarray], pull: dict[str, np.nda
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, w, held in matrices(frames, width):
             paths = np.stack([np.stack(list(_paths(w, held[n], scales[n], pull[n], stay[n])), axis=1) * scales[n] for n in scales], axis=1)
-            yield pd.DataFrame({"ticker": part["ticker"].to_numpy(), "held": list(paths[:, :, -1]), "paths": [[list(row) for row in one] for one in paths]})
+            yield pd.DataFrame({"ticker": part["ticker"].to_numpy(), "held": list(paths[:, :, -1]), "paths": [list(one) for one in paths]})
 
     return run
