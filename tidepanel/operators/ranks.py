@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.scratch import settled
+from ..sources.scratch import bounded, settled
 
 #: Rows of a range, about, and ranges of a date at most; keys looked at for each cut.
 RANGE, RANGES, KEYS = 100_000, 256, 16
@@ -84,6 +84,7 @@ def placed(frame: DataFrame, value: str, place: str, *, descending: bool = False
 def _inside(ranged: DataFrame, place: str, average: bool, edges: DataFrame | None) -> DataFrame:
     """Places inside each range, with what ``edges`` tells of the date's other ranges added."""
     by = W.partitionBy("t", "_range")
+    ranged = bounded(ranged, "t", "_range")
     known = F.col("_key").isNotNull()
     if not average:
         out = ranged.withColumn("_inner", F.row_number().over(by.orderBy("_key", "_name")))

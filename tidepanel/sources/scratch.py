@@ -55,3 +55,8 @@ def spread(frame: DataFrame, *keys: str) -> DataFrame:
     """
     parts = max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-frame.count() // ROWS))
     return frame.repartition(parts, *keys)
+
+
+def bounded(frame: DataFrame, *keys: str) -> DataFrame:
+    """:func:`spread` of a written table of more than ``ROWS`` rows; a smaller one as it is."""
+    return spread(frame, *keys) if frame.count() > ROWS else frame

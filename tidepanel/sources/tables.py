@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rows
 from ..operators.panel import densify
-from .scratch import settled
+from .scratch import bounded, settled
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +28,7 @@ def month_panel(spark: SparkSession, sf_dir: str, key: str = "l_suppkey") -> Dat
 
 def smooth_panel(spark: SparkSession, sf_dir: str, first: int = 12) -> DataFrame:
     """Suppliers' running average price, from month ``first`` on, its ordinals counted anew."""
-    panel = month_panel(spark, sf_dir)
+    panel = bounded(settled(month_panel(spark, sf_dir), "dense"), "ticker")
     price = F.sum("dv").over(rows(None, 0)) / F.sum("volume").over(rows(None, 0))
     return panel.withColumn("close", price).where(F.col("t") >= first).withColumn("t", F.col("t") - first)
 
