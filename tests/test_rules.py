@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.boosting import boosted_probabilities
 from tidepanel.functions.unitroot import adf_p_value
-from tidepanel.operators import execution, features, ffd, metrics, panel, portfolio, returns, scoring, universe
+from tidepanel.operators import execution, features, ffd, metrics, panel, portfolio, ranks, returns, scoring, universe
 from tidepanel.sources import files, scratch
 
 D = [datetime.date(2000, 1, 1) + datetime.timedelta(days=31 * k) for k in range(60)]
@@ -267,3 +267,12 @@ def test_positions_leave_tasks_as_arrays():
     (out,) = task([pd.DataFrame({"ticker": [1, 2, 3]})])
     assert all(isinstance(run, np.ndarray) for one in out["paths"] for run in one)
     assert out["paths"][0][0].tolist() == [1.0, 1.5, 1.75, 1.875]
+
+
+def test_ranks_and_engine_bound_the_rows_of_a_task(spark, monkeypatch):
+    """Windows over small rows are not coalesced into tasks of any number of rows."""
+    monkeypatch.setattr(scratch, "ROWS", 500)
+    rows = scratch.settled(spark.range(6000).select((F.col("id") % 20).cast("int").alias("t"), F.floor(F.col("id") / 20).alias("ticker"), ((F.col("id") * 7919) % 6007).cast("double").alias("v")), "rows")
+    placed = ranks.placed(rows, "v", "place")
+    assert placed.rdd.getNumPartitions() == 12
+    assert placed.groupBy("t").agg(F.max("place").alias("m"), F.count_distinct("place").alias("n")).where("m != 300 or n != 300").isEmpty()

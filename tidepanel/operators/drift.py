@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.scratch import settled
+from ..sources.scratch import bounded, settled
 from .panel import asof_weights, checked_prices
 from .returns import simple_returns
 from .universe import align_rates
@@ -53,7 +53,7 @@ def _grid(targets: DataFrame, panel: DataFrame, cost, borrow) -> DataFrame:
 def positions(targets: DataFrame, panel: DataFrame, cost: DataFrame | float = 0.0, borrow: DataFrame | float = 0.0) -> DataFrame:
     """``strategy, t, date, ticker, before, held, after``: weights before the date's execution, after it, and after its return; and the date's ``v``, ``v0`` and segment."""
     by_name = W.partitionBy("strategy", "ticker").orderBy("t")
-    frame = _grid(targets, panel, cost, borrow)
+    frame = bounded(settled(_grid(targets, panel, cost, borrow), "grid"), "strategy", "ticker")
     frame = frame.withColumn("seg", F.sum("starts").over(by_name.rowsBetween(W.unboundedPreceding, 0)))
     segment = W.partitionBy("strategy", "ticker", "seg").orderBy("t")
     start = F.first(F.coalesce("target", F.lit(0.0))).over(segment.rowsBetween(W.unboundedPreceding, 0))
