@@ -81,3 +81,20 @@ def test_no_window_holds_a_whole_date(frame):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         specs = re.findall(r"windowspecdefinition\(([^)]*)", plan)
         assert specs and all("_range" in s for s in specs)
+
+
+def test_few_quantiles_compare_a_row_with_few_cuts(spark, monkeypatch):
+    """Two tails of 60,000 rows, a third of them ties: cuts lie around the wanted rows, so each round has a few an interval; many shares still have even ones."""
+    monkeypatch.setattr(ranks, "FEW", 500)
+    held = settled(spark.range(60_000).select(F.lit(1).alias("t"), F.col("id").alias("ticker"), F.when(F.col("id") % 3 == 0, 0.0).otherwise(((F.col("id") * 7919) % 60_013) / 60_013.0 - 0.5).alias("v")), "tails")
+    seen = []
+    real = ranks.settled
+    monkeypatch.setattr(ranks, "settled", lambda frame, name: seen.append((name, real(frame, name))) or seen[-1][1])
+    values = held.toPandas().v
+    for shares in ([0.01, 0.99], [k / 40 for k in range(41)]):
+        seen.clear()
+        got = ranks.quantiles(held, "v", shares, [f"q{k}" for k in range(len(shares))]).first()
+        assert np.allclose(list(got)[1:], np.quantile(values, shares), rtol=1e-12)
+        if len(shares) == 2:
+            rounds = [frame.agg(F.max(F.size("cuts"))).first()[0] for name, frame in seen if name == "cuts"]
+            assert 0 < len(rounds) <= 4 and max(rounds) <= 8

@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.operators import execution, model, research
+from tidepanel.operators import execution, model, panel, research, returns
 from tidepanel.plans import research_queries
 from tidepanel.sources import tables
+from tidepanel.sources.scratch import settled
 
 D = [datetime.date(2000, 1, 31) + datetime.timedelta(days=30 * k) for k in range(40)]
 
@@ -106,3 +107,20 @@ def test_a_panel_scans_its_lines_once(spark, tmp_path):
 def test_edges_and_lines(spark):
     rows = spark.createDataFrame([(k,) for k in range(9)], "x long")
     assert sorted((r["place"], r["x"]) for r in research.edges(rows, ["x"], 2).collect()) == [("head", 0), ("head", 1), ("tail", 7), ("tail", 8)]
+
+
+def test_panels_shuffle_facts_only(spark):
+    """Cells are made after the one shuffle, by ticker; a path through them needs no other before it is written."""
+    facts = spark.createDataFrame([(k, D[0] if k == 0 else D[(k * 7) % 5 + 1], float(k)) for k in range(50)], "ticker long, date date, close double")
+    plan = returns.simple_returns(panel.densify(settled(facts, "facts")), fill="pad")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+def test_panels_of_odd_facts(spark):
+    """Facts of one cell twice, names or dates that are missing, names with one fact only."""
+    rows = [("a", D[1], 1.0), ("a", D[1], 2.0), ("a", D[3], None), ("b", D[0], 3.0), ("c", D[4], 4.0), (None, D[2], 5.0), (None, D[2], 6.0), ("d", None, 7.0), ("d", None, 8.0), ("a", None, 9.0)]
+    facts = settled(spark.createDataFrame(rows, "ticker string, date date, close double"), "odd")
+    got = [tuple(r) for r in panel.densify(facts).select("t", "date", "ticker", "close").collect()]
+    grid = facts.select("ticker").distinct().crossJoin(panel.calendar(facts))
+    wanted = [tuple(r) for r in grid.join(facts, ["ticker", "date"], "left").select("t", "date", "ticker", "close").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, wanted)) and len(got) == 31

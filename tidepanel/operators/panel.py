@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import forward_fill, rows
-from ..sources.scratch import settled
+from ..functions.columns import by_ticker, forward_fill, rows
+from ..sources.scratch import settled, spread
 
 
 def calendar(facts: DataFrame) -> DataFrame:
@@ -37,10 +37,26 @@ def checked_prices(facts: DataFrame) -> DataFrame:
 
 
 def densify(facts: DataFrame) -> DataFrame:
-    """Every ticker at every date, with its ordinal ``t``; cells without a fact are null."""
+    """Every ticker at every date, with its ordinal ``t``; cells without a fact are null.
+
+    Facts, and not cells, are shuffled, by ticker: each is followed by the empty cells up to the ticker's next one, and its
+    last brings those before its first. What comes out lies by ticker, so windows across time need no shuffle of their own.
+    """
     check_columns(facts, ("date", "ticker"))
-    grid = facts.select("ticker").distinct().crossJoin(F.broadcast(calendar(facts)))  # the calendar is one row a date
-    return grid.join(facts, ["ticker", "date"], "left").select("t", "date", "ticker", *[c for c in facts.columns if c not in ("ticker", "date")])
+    dates = settled(calendar(facts), "calendar")
+    length = dates.count()
+    cells = length * facts.agg(F.approx_count_distinct("ticker")).first()[0]  # only balances the work
+    marked = facts.join(F.broadcast(dates.select("t", F.col("date").alias("_date"))), F.col("date").eqNullSafe(F.col("_date"))).drop("_date")  # one row a date
+    marked = spread(marked, "ticker", count=cells).withColumns({"_next": F.lead("t").over(by_ticker()), "_first": F.first("t").over(rows(None, 0))})
+    known = F.col("ticker").isNotNull() & F.col("date").isNotNull()  # others are cells without a fact, each once
+    last = F.col("_next").isNull() | (F.col("_next") != F.col("t"))  # of the facts of a cell, which are one where they are unique
+    begin = F.when(last & (F.col("t") == F.col("_first")), F.lit(0)).otherwise(F.col("t"))
+    end = F.greatest("t", F.coalesce("_next", F.lit(length)) - 1)
+    values = [c for c in facts.columns if c not in ("ticker", "date")]
+    spans = marked.where(known | last).select("ticker", "t", known.alias("_known"), *values, F.explode(F.sequence(begin, end)).alias("_t"))
+    fact = F.col("_known") & (F.col("t") == F.col("_t"))
+    filled = spans.select(F.col("_t").alias("t"), "ticker", *[F.when(fact, F.col(c)).alias(c) for c in values])
+    return filled.join(F.broadcast(dates), "t").select("t", "date", "ticker", *values)  # one row a date
 
 
 def month_end_last(daily: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -6,7 +6,9 @@ included. Cuts only balance the ranges; any cuts give the same ranks. Dates of u
 
 Quantiles: each wanted order statistic has an interval of values that holds it. In every round the intervals are cut by
 values of a hashed sample, the rows of each part are counted, and the part with the wanted row becomes the interval,
-until it is a single value or few rows are left, which are sorted.
+until it is a single value or few rows are left, which are sorted. Where few rows of an interval are wanted, the cuts are
+the sample's values a little below and above each, so that a row is compared with a few values only; where many are, the
+cuts are spread evenly.
 
 What is gathered about a date is bounded: KEYS rows for each of at most RANGES cuts, and one row a range.
 """
@@ -25,6 +27,8 @@ from ..sources.scratch import bounded, settled
 RANGE, RANGES, KEYS = 100_000, 256, 16
 #: Rows of an interval that are sorted in one place.
 FEW = 10_000
+#: Cuts of an interval, at most, that a row is compared with one by one.
+FLAT = 8
 
 
 def _sampled(sizes: Column, parts: Column, *columns: str) -> Column:
@@ -38,6 +42,19 @@ def _picked(held: Column, parts: Column) -> Column:
     return F.when(parts > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), parts - 1), spot))).otherwise(F.slice(held, 1, 0))
 
 
+def _around(held: Column, needs: Column, sizes: Column) -> Column:
+    """The values of a sorted sample four deviations below and above the places where ``needs`` of ``sizes`` rows should be, sorted, each once."""
+    m = F.size(held)
+
+    def spots(need: Column) -> Column:
+        share = need / sizes
+        margin = 1 + 4 * F.sqrt(m * share * (1 - share))
+        inside = lambda k: F.least(m, F.greatest(F.lit(1), k.cast("int")))
+        return F.array(inside(F.floor(m * share - margin)), inside(F.ceil(m * share + margin)))
+
+    return F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform(needs, spots)), lambda k: F.element_at(held, k))))
+
+
 def placed(frame: DataFrame, value: str, place: str, *, descending: bool = False, among: Column | None = None, average: bool = False, largest: int | None = None) -> DataFrame:
     """``frame`` with ``place``: 1 for the smallest (or largest) ``value`` of the row's ``t``, ties by ``ticker``; null without a value, and for rows outside ``among``.
 
@@ -126,11 +143,11 @@ def quantiles(frame: DataFrame, value: str, shares: Sequence[float], names: Sequ
     """
     rows = frame.where(F.col(value).isNotNull()).select("t", F.col(value).cast("double").alias("x"), "ticker")
     rank = lambda p: F.lit(float(p)) * F.greatest(F.col("n") - 1, F.lit(0))
-    if most_rows(rows) <= FEW:
+    sizes = settled(frame.groupBy("t").agg(F.count(value).alias("n")), "sizes")  # a row a date
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= FEW:
         held = frame.groupBy("t").agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("xs")).withColumn("n", F.size("xs"))
         at = lambda k: F.try_element_at("xs", k.cast("int"))
         return held.select("t", *[_between(at, rank(p)).alias(name) for p, name in zip(shares, names)])
-    sizes = settled(frame.groupBy("t").agg(F.count(value).alias("n")), "sizes")  # a row a date
     places = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(rank(p)) + 1, F.ceil(rank(p)) + 1) for p in shares])))
     wanted = sizes.where("n > 0").select("t", F.explode(places).alias("k"), F.col("n").alias("rows"))
     now = settled(wanted.select("t", "k", F.col("k").alias("need"), "rows", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("found")), "wanted")
@@ -162,12 +179,22 @@ def _within(rows: DataFrame, spans: DataFrame) -> DataFrame:
 
 def _closer(rows: DataFrame, now: DataFrame) -> DataFrame:
     """``now(t, k, need, rows, low, high, found)`` with each interval narrowed to the part that holds its row, or to that row's value."""
-    spans = settled(now.groupBy("t", "low", "high").agg(F.max("rows").alias("rows")).withColumn("parts", F.least(F.lit(RANGES // 4), F.ceil(F.col("rows") / (FEW // 2))).cast("int")), "spans")
     same = lambda a, b: (a["t"] == b["t"]) & a["low"].eqNullSafe(b["low"]) & a["high"].eqNullSafe(b["high"])
-    drawn = _within(rows, spans).where(_sampled(F.col("rows"), F.col("parts"), "t", "ticker", "x"))
-    cuts = drawn.groupBy("t", "low", "high").agg(F.sort_array(F.collect_list("x")).alias("xs"), F.max("parts").alias("parts"))
-    cuts = settled(cuts.withColumn("cuts", _picked(F.col("xs"), F.col("parts"))).select("t", "low", "high", "cuts"), "cuts")
-    part = 2 * F.size(F.filter("cuts", lambda c: c < F.col("x"))) + F.array_contains("cuts", F.col("x")).cast("int")  # odd: a cut's own value
+    spans = now.groupBy("t", "low", "high").agg(F.max("rows").alias("rows"), F.collect_set("need").alias("needs"))
+    spans = spans.withColumn("parts", F.least(F.lit(RANGES // 4), F.ceil(F.col("rows") / (FEW // 2))).cast("int"))
+    spans = settled(spans.withColumn("few", 2 * F.size("needs") < F.col("parts")), "spans")
+    drawn = _within(rows, spans.drop("needs")).where(_sampled(F.col("rows"), F.when(F.col("few"), F.lit(RANGES)).otherwise(F.col("parts")), "t", "ticker", "x"))
+    held = drawn.groupBy("t", "low", "high").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    cuts = held.join(F.broadcast(spans), same(held, spans)).select(held["t"], held["low"], held["high"], F.when(F.col("few"), _around(F.col("xs"), F.col("needs"), F.col("rows"))).otherwise(_picked(F.col("xs"), F.col("parts"))).alias("cuts"))
+    cuts = settled(cuts, "cuts")
+    longest = cuts.agg(F.max(F.size("cuts"))).first()[0] or 0
+    if longest <= FLAT:  # compiled; functions of arrays are not
+        cut = lambda k: F.try_element_at("cuts", F.lit(k))
+        side = lambda k: F.when(cut(k) < F.col("x"), 2).when(cut(k) == F.col("x"), 1).otherwise(0)
+        part = sum((side(k) for k in range(1, longest + 1)), F.lit(0))
+    else:
+        part = 2 * F.size(F.filter("cuts", lambda c: c < F.col("x"))) + F.array_contains("cuts", F.col("x")).cast("int")
+    # an even part lies between cuts, an odd one is a cut's own value
     counts = _within(rows, cuts).groupBy("t", "low", "high", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(W.partitionBy("t", "low", "high").orderBy("part").rowsBetween(W.unboundedPreceding, 0))
     counts = settled(counts.withColumn("upto", upto), "parts")

@@ -14,9 +14,10 @@ def simple_returns(panel: DataFrame, *, fill: str = "none") -> DataFrame:
     """``ret`` beside the panel's columns. ``none``: null at a gap and after it; ``pad``: prices are carried over gaps first, so the first month back has the whole jump and a name that ended returns 0."""
     if fill not in ("none", "pad"):
         raise ValueError(f"fill must be none or pad, not {fill!r}")
-    price = F.col("close") if fill == "none" else forward_fill(F.col("close"))
-    priced = panel.withColumn("_p", price)
-    return priced.withColumn("ret", ratio(F.col("_p"), F.lag("_p").over(by_ticker())) - 1).drop("_p")
+    if fill == "none":
+        return panel.withColumn("ret", ratio(F.col("close"), F.lag("close").over(by_ticker())) - 1)
+    before = F.last("close", ignorenulls=True).over(rows(None, -1))  # in one pass with the price itself
+    return panel.withColumns({"_p": forward_fill(F.col("close")), "_before": before}).withColumn("ret", ratio(F.col("_p"), F.col("_before")) - 1).drop("_p", "_before")
 
 
 def winsorised(returns: DataFrame, tail: float = 0.01) -> DataFrame:

@@ -160,7 +160,7 @@ SELECT t, ticker, CASE WHEN close IS NOT NULL THEN round(ln(product(1 + coalesce
 
 @query("pnl_price_path", P2 + PNL)
 def pnl_price_path(spark, sf_dir):
-    path = returns.pnl_prices(month_panel(spark, sf_dir, "l_partkey"))
+    path = returns.pnl_prices(month_panel(spark, sf_dir, "l_partkey").select("t", "ticker", "close"))
     return path.select("t", "ticker", F.round(F.log("close"), 6).alias("log_close"))
 
 

@@ -48,12 +48,15 @@ def settled(frame: DataFrame, name: str) -> DataFrame:
 ROWS = 250_000
 
 
-def spread(frame: DataFrame, *keys: str) -> DataFrame:
+def spread(frame: DataFrame, *keys: str, count: int | None = None) -> DataFrame:
     """A written table ``frame`` by ``keys`` in as many parts as shuffles have, and more where parts would hold more than ``ROWS``.
 
     For windows with long work on few bytes, which would be coalesced into a task, and for tasks whose rows may not grow with the table.
+    With ``count``, how many rows each becomes in all by later steps, ``frame`` needn't be written and up to ``ROWS`` stay as Spark deals them.
     """
-    parts = max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-frame.count() // ROWS))
+    if count is not None and count <= ROWS:
+        return frame.repartition(*keys)
+    parts = max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(frame.count() if count is None else count) // ROWS))
     return frame.repartition(parts, *keys)
 
 
