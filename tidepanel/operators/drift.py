@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.scratch import bounded, settled
+from ..sources.scratch import bounded, merged, settled
 from .panel import asof_weights, checked_prices
 from .returns import simple_returns
 from .universe import align_rates
@@ -30,7 +30,7 @@ def schedule(weights: DataFrame, panel: DataFrame, *, lag: int = 1, signal_dates
         raise ValueError("lag must not be negative")
     rows = weights if signal_dates is None else weights.join(F.broadcast(signal_dates.select("t").distinct()), "t", "left_semi")  # one row a date
     moved = rows.select("strategy", (F.col("t") + lag + 1).cast("int").alias("t"), "ticker", "w")
-    priced = moved.join(panel.select("t", "ticker", "close"), ["t", "ticker"])
+    priced = moved.join(merged(panel.select("t", "ticker", "close")), ["t", "ticker"])
     return priced.select("strategy", "t", "ticker", F.when(F.col("close").isNotNull(), F.coalesce("w", F.lit(0.0))).otherwise(F.lit(0.0)).alias("target"))
 
 
@@ -40,13 +40,13 @@ def _grid(targets: DataFrame, panel: DataFrame, cost, borrow) -> DataFrame:
     A target whose ``restart`` is true begins a segment without being executed.
     """
     frame = simple_returns(panel.select("t", "date", "ticker", "close"))
-    frame = frame.join(align_rates(panel, cost).select("t", "ticker", F.col("rate").alias("tc")), ["t", "ticker"])
-    frame = frame.join(align_rates(panel, borrow).select("t", "ticker", F.col("rate").alias("bf")), ["t", "ticker"])
+    frame = frame.join(merged(align_rates(panel, cost).select("t", "ticker", F.col("rate").alias("tc"))), ["t", "ticker"])
+    frame = frame.join(merged(align_rates(panel, borrow).select("t", "ticker", F.col("rate").alias("bf"))), ["t", "ticker"])
     again = F.col("restart") if "restart" in targets.columns else F.lit(False)
     begun = targets.groupBy("strategy", "t").agg(F.max((~again).cast("int")).alias("executes")).withColumn("starts", F.lit(1))
     names = targets.select("strategy").distinct()
     frame = frame.crossJoin(F.broadcast(names)).join(F.broadcast(begun), ["strategy", "t"], "left")  # a row a strategy, and a row a strategy and date
-    frame = frame.join(targets.select("strategy", "t", "ticker", "target"), ["strategy", "t", "ticker"], "left")
+    frame = frame.join(merged(targets.select("strategy", "t", "ticker", "target")), ["strategy", "t", "ticker"], "left")
     return frame.withColumns({"executes": F.coalesce("executes", F.lit(0)), "starts": F.coalesce("starts", F.lit(0))})
 
 

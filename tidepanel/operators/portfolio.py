@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_ticker
-from ..sources.scratch import settled
+from ..sources.scratch import merged, settled
 from . import ranks
 
 
@@ -19,7 +19,7 @@ def long_short(signals: DataFrame, q: float = 0.10, *, min_names: int = 20, shor
     known = signals.where(F.col("signal").isNotNull()).select("t", "date", "ticker", "signal")
     may = F.lit(True)
     if shortable is not None:
-        known, may = known.join(shortable.select("t", "ticker", F.col("shortable").alias("_may")), ["t", "ticker"], "left"), F.coalesce("_may", F.lit(False))
+        known, may = known.join(merged(shortable.select("t", "ticker", F.col("shortable").alias("_may"))), ["t", "ticker"], "left"), F.coalesce("_may", F.lit(False))
     known = settled(known.withColumn("_may", may), "known")
     ranked = both_ends(ranks.with_sizes(known, "_size").where(F.col("_size") >= min_names), "signal", F.col("_may"))
     n = F.greatest(F.lit(1), F.floor(F.col("_size") * q))

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import rows
-from ..sources.scratch import settled
+from ..sources.scratch import merged, settled
 from . import drift, execution, metrics, portfolio, ranks, scoring
 from .panel import asof_dates, densify, inject_delisting, min_history, month_end_last
 from .returns import clip_returns, model_returns, simple_returns, size_proxy
@@ -42,7 +42,7 @@ def run_daily(weights: DataFrame, daily: DataFrame, **options) -> DataFrame:
     """The engine on a dense daily panel for ``weights(date, ticker, w)`` of other dates; every name of the panel has a weight on each date of weights."""
     moved = to_daily(weights, daily)
     dates = daily.select("date", "ticker", "t").join(F.broadcast(moved.select("date").distinct()), "date", "left_semi")  # one row a day
-    dense = dates.join(moved, ["date", "ticker"], "left").select(F.lit("daily").alias("strategy"), "t", "ticker", F.coalesce("w", F.lit(0.0)).alias("w"))
+    dense = dates.join(merged(moved), ["date", "ticker"], "left").select(F.lit("daily").alias("strategy"), "t", "ticker", F.coalesce("w", F.lit(0.0)).alias("w"))
     return drift.backtest(dense, daily, **options)
 
 
@@ -60,7 +60,7 @@ def compared_scores(probs: DataFrame, stats: DataFrame, bench: DataFrame, q: flo
     ``probs(t, ticker, p)``, ``stats(k, mu, sigma2)``, ``bench(t, ticker, signal, fwd)`` with the return that a score of t is for.
     """
     scored = scoring.with_scores(probs, stats).select("t", "ticker", "dpr", F.col("ret_score").alias("ret"), "srp")
-    wide = settled(scored.join(bench.select("t", "ticker", F.col("signal").alias("bench"), "fwd"), ["t", "ticker"]), "scores")
+    wide = settled(scored.join(merged(bench.select("t", "ticker", F.col("signal").alias("bench"), "fwd")), ["t", "ticker"]), "scores")
     out = None
     for name in ("bench", "dpr", "ret", "srp"):
         spread = portfolio.spread_returns(wide.select("t", "ticker", F.col(name).alias("score"), "fwd"), q)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clipped, rows
-from ..sources.scratch import settled
+from ..sources.scratch import merged, settled
 from . import ranks
 
 #: Least trailing dollar volume and one-way cost, or annual borrow fee, from liquid to illiquid.
@@ -38,7 +38,7 @@ def align_rates(panel: DataFrame, rates: DataFrame | float) -> DataFrame:
             raise ValueError("a rate can't be negative")
         return grid.withColumn("rate", F.lit(float(rates)))
     worst = rates.agg(F.max("rate").alias("_worst"))
-    known = grid.join(rates.select("date", "ticker", "rate"), ["date", "ticker"], "left").crossJoin(F.broadcast(worst))  # a single row
+    known = grid.join(merged(rates.select("date", "ticker", "rate")), ["date", "ticker"], "left").crossJoin(F.broadcast(worst))  # a single row
     filled = F.coalesce(F.last("rate", ignorenulls=True).over(rows(None, 0)), F.col("_worst"))
     return known.select("t", "date", "ticker", filled.alias("rate"))
 

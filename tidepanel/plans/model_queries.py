@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import by_ticker
 from ..operators import execution, features, ffd, portfolio, returns, scoring, universe
-from ..sources.scratch import settled
+from ..sources.scratch import merged, settled
 from ..sources.tables import month_panel, smooth_panel
 from .catalog import query, round_all
 from .panel_queries import ELIGIBLE, FLOORS, SIGNAL
@@ -131,7 +131,7 @@ def policy_params(spark, sf_dir):
 def weights_on(source: DataFrame, q: float = 0.1) -> DataFrame:
     """Dense weights of the price-momentum signal: every name of every date from the first signal on."""
     held = portfolio.long_short(features.price_momentum(source), q, min_names=2)
-    dense = source.select("t", "date", "ticker").join(held.select("t", "ticker", "w"), ["t", "ticker"], "left")
+    dense = source.select("t", "date", "ticker").join(merged(held.select("t", "ticker", "w")), ["t", "ticker"], "left")
     return dense.where(F.col("t") >= 13).select("t", "date", "ticker", F.coalesce("w", F.lit(0.0)).alias("w"))
 
 
@@ -278,7 +278,7 @@ def spreads(spark, sf_dir) -> DataFrame:
     source = smooth_panel(spark, sf_dir)
     forward = returns.simple_returns(source).select("t", "ticker", F.lead("ret").over(by_ticker()).alias("fwd"))
     signal = features.price_momentum(source).select("t", "ticker", F.col("signal").alias("score"))
-    return portfolio.spread_returns(signal.join(forward, ["t", "ticker"]))
+    return portfolio.spread_returns(signal.join(merged(forward), ["t", "ticker"]))
 
 
 @query("port_ret", P3 + SPREAD + " SELECT t, round(long_short, 6) AS long_short, round(long_leg, 6) AS long_leg FROM g")
